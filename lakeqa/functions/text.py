@@ -5,10 +5,11 @@ from pyspark.sql import Column, functions as F
 # A word is a maximal run of letters, digits and underscores of any script.
 WORD = r"[\p{L}\p{N}_]+"
 
-# Pieces that together spell the whole text, each one word, one mark or one
-# run of blanks. They stand in for model tokens wherever tokens are counted or cut.
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
-PIECE = r"\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])|\s+"
+# A token is a word or a mark; pieces are tokens with the blanks before them (and the
+# blanks at the end), so that they spell the whole text. They stand in for model tokens wherever
+# tokens are counted or cut.
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
+PIECE = r"[\s\p{Z}]*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}])|[\s\p{Z}]+"
 
 # The common English stop-word list.
 ENGLISH_STOP_WORDS = (
@@ -34,11 +35,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def content_words(text: Column, stop_words=ENGLISH_STOP_WORDS) -> Column:
-    """Words without stop words; stop words are compared as written, before any stemming."""
+def content_words(column: str, stop_words=ENGLISH_STOP_WORDS) -> Column:
+    """Words of a column without stop words, which are compared as written, before any stemming."""
     if not stop_words:
-        return words(text)
-    return F.filter(words(text), lambda w: ~w.isin(*stop_words))
+        return words(F.col(column))
+    listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in stop_words)
+    return F.expr(
+        f"filter(regexp_extract_all(coalesce(`{column}`, ''), r'{WORD}', 0), w -> w not in ({listed}))"
+    )
 
 
 def token_count(text: Column) -> Column:

@@ -1,10 +1,14 @@
 """Lexical retrieval: postings, corpus statistics and BM25 as relational steps.
 
 Relations
+    docs        (ord, table_id)                          ord runs from 0 without gaps
     postings    (field, term, ord, table_id, tf, doc_len)
-    doc_stats   (field, ord, table_id, doc_len)
-    term_stats  (field, term, df, idf)
+    term_stats  (field, term, df, cf, idf)
     field_stats (field, num_docs, avg_len, avg_idf)      one row per field
+
+The statistics take one pass over the text and are written once. Postings of one batch of questions
+are computed from the text on the way to the join (nothing is shuffled for them); for many batches
+``write_index`` stores them.
 """
 
 from dataclasses import dataclass
@@ -12,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from lakeqa.functions import text as text_functions
-from lakeqa.scale import BROADCAST_BYTES, broadcast_if_small, fits_broadcast
+from lakeqa.scale import BROADCAST_BYTES, broadcast_if_small, cut_lineage, fits_broadcast
 
 # The scoring constants of the reference results.
 K1 = 0.9
@@ -27,10 +31,18 @@ SCORE_DIGITS = 9
 
 @dataclass
 class LexicalIndex:
+    docs: DataFrame
     postings: DataFrame
-    doc_stats: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
+    num_fields: int
+    # whether any term can weigh less than zero, which needs a field whose mean weight does
+    below_zero: bool
+    # (term, normal) if postings still hold words as written, else None
+    vocabulary: DataFrame | None = None
+    # function from distinct terms to (term, normal), for the questions
+    normalizer: object = None
+    stop_words: tuple = ()
 
 
 def field_words(
@@ -41,7 +53,7 @@ def field_words(
         *[
             F.struct(
                 F.lit(field).alias("field"),
-                text_functions.content_words(F.col(column), stop_words).alias("words"),
+                text_functions.content_words(column, stop_words).alias("words"),
             )
             for field, column in fields.items()
         ]
@@ -72,14 +84,14 @@ def raw_postings(documents: DataFrame) -> DataFrame:
     )
 
 
-def apply_vocabulary(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def apply_vocabulary(postings: DataFrame, vocabulary: DataFrame, how: str = "left") -> DataFrame:
     """Replace terms by their normal form ``(term, normal)`` and add up the counts that meet.
 
     The vocabulary is broadcast when its measured size allows; else the join is on ``term`` and
     AQE splits the frequent ones. Rows of one table stay few, so the last grouping is balanced.
     """
     return (
-        postings.join(broadcast_if_small(vocabulary), "term", "left")
+        postings.join(broadcast_if_small(vocabulary), "term", how)
         .withColumn("term", F.coalesce("normal", "term"))
         .groupBy("field", "term", "ord", "table_id", "doc_len")
         .agg(F.sum("tf").alias("tf"))
@@ -87,98 +99,129 @@ def apply_vocabulary(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def build_index(
-    tables: DataFrame,
-    fields: dict[str, str],
-    stop_words=text_functions.ENGLISH_STOP_WORDS,
-    vocabulary=None,
-) -> LexicalIndex:
-    """Index ``tables(ord, table_id, …)``; ``fields`` maps field names to text columns.
+_FIELD_STATS = "field string, num_docs bigint, avg_len double, avg_idf double"
 
-    ``vocabulary`` is None, or a function from the distinct terms ``(term)`` to ``(term, normal)``.
-    """
-    documents = field_words(tables, fields, stop_words)
-    doc_stats = documents.select(
-        "field", "ord", "table_id", F.size("words").cast("bigint").alias("doc_len")
-    )
-    postings = raw_postings(documents)
-    if vocabulary is not None:
-        postings = apply_vocabulary(postings, vocabulary(postings.select("term").distinct()))
-    return index_of(postings, doc_stats)
 
-
-def index_of(postings: DataFrame, doc_stats: DataFrame) -> LexicalIndex:
-    """Statistics of an existing postings relation."""
-    lengths = doc_stats.groupBy("field").agg(
-        F.count("*").alias("num_docs"), F.avg("doc_len").alias("avg_len")
+def statistics(postings: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """``(term_stats, field_stats, below_zero)``; the pass over the postings is written and not repeated."""
+    counted = cut_lineage(
+        postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    )
+    plain = counted.withColumn("num_docs", docs.agg(F.count("*")).scalar()).withColumn(
+        "idf", F.log(F.col("num_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     )
-    frequencies = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    # `lengths` has one row per field: a fixed, tiny side.
-    plain = frequencies.join(F.broadcast(lengths), "field").withColumn(
-        "idf",
-        F.log(F.col("num_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5),
+    # One row per indexed field comes back, however large the lake.
+    per_field = plain.groupBy("field").agg(
+        F.first("num_docs"), F.sum("cf") / F.first("num_docs"), F.avg("idf")
     )
-    field_stats = lengths.join(plain.groupBy("field").agg(F.avg("idf").alias("avg_idf")), "field", "left")
+    rows = [tuple(r) for r in per_field.collect()]
+    field_stats = postings.sparkSession.createDataFrame(rows, _FIELD_STATS)
+    below_zero = any(avg_idf < 0 for *_, avg_idf in rows)
     # Common terms with a negative weight get a small share of the mean weight instead. The mean
     # is over all terms, before this replacement.
     term_stats = (
-        plain.drop("num_docs", "avg_len")
-        .join(F.broadcast(field_stats.select("field", "avg_idf")), "field")
+        counted.join(F.broadcast(field_stats), "field")
+        .withColumn("idf", F.log(F.col("num_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         .select(
             "field",
             "term",
             "df",
+            "cf",
             F.when(F.col("idf") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("idf")).alias("idf"),
         )
     )
-    return LexicalIndex(postings, doc_stats, term_stats, field_stats)
+    return term_stats, field_stats, below_zero
+
+
+def build_index(
+    tables: DataFrame,
+    fields: dict[str, str],
+    stop_words=text_functions.ENGLISH_STOP_WORDS,
+    normalizer=None,
+) -> LexicalIndex:
+    """Index ``tables(ord, table_id, …)``; ``fields`` maps field names to text columns.
+
+    ``normalizer`` is None, or a function from the distinct terms ``(term)`` to ``(term, normal)``;
+    it runs once over the distinct words of the lake.
+    """
+    docs = tables.select("ord", "table_id")
+    postings = raw_postings(field_words(tables, fields, stop_words))
+    vocabulary = None
+    counted = postings
+    if normalizer is not None:
+        vocabulary = cut_lineage(normalizer(postings.select("term").distinct()))
+        counted = apply_vocabulary(postings, vocabulary)
+    term_stats, field_stats, below_zero = statistics(counted, docs)
+    return LexicalIndex(
+        docs, postings, term_stats, field_stats, len(fields), below_zero, vocabulary, normalizer,
+        tuple(stop_words),
+    )
+
+
+def normal_postings(index: LexicalIndex) -> DataFrame:
+    """All postings under their normal forms."""
+    if index.vocabulary is None:
+        return index.postings
+    return apply_vocabulary(index.postings, index.vocabulary)
 
 
 def write_index(index: LexicalIndex, path: str) -> None:
-    """Persist an index once per corpus and linearization; hot terms span several files.
+    """Persist an index once per corpus and linearization.
 
     Ranges over (term, ord) keep one term's postings together without forcing them into one task.
     """
     (
-        index.postings.repartitionByRange("field", "term", "ord")
+        normal_postings(index)
+        .repartitionByRange("field", "term", "ord")
         .sortWithinPartitions("field", "term", "ord")
-        .write.mode("errorifexists")
-        .partitionBy("field")
+        .write.partitionBy("field")
         .parquet(f"{path}/postings")
     )
-    spark = index.postings.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
-    index.doc_stats.write.mode("errorifexists").partitionBy("field").parquet(f"{path}/doc_stats")
-    again = index_of(stored, spark.read.parquet(f"{path}/doc_stats"))
-    again.term_stats.write.mode("errorifexists").partitionBy("field").parquet(f"{path}/term_stats")
-    again.field_stats.write.mode("errorifexists").parquet(f"{path}/field_stats")
+    index.docs.write.parquet(f"{path}/docs")
+    index.term_stats.write.partitionBy("field").parquet(f"{path}/term_stats")
+    index.field_stats.write.parquet(f"{path}/field_stats")
 
 
-def read_index(spark: SparkSession, path: str) -> LexicalIndex:
+def read_index(
+    spark: SparkSession, path: str, stop_words=text_functions.ENGLISH_STOP_WORDS, normalizer=None
+) -> LexicalIndex:
+    """A stored index; stop words and normalizer are those it was built with."""
+    docs, postings, term_stats, stored = (
+        spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "term_stats", "field_stats")
+    )
+    per_field = [tuple(r) for r in stored.select("field", "num_docs", "avg_len", "avg_idf").collect()]
+    field_stats = spark.createDataFrame(per_field, _FIELD_STATS)
+    below_zero = any(avg_idf < 0 for *_, avg_idf in per_field)
     return LexicalIndex(
-        *[
-            spark.read.parquet(f"{path}/{name}")
-            for name in ("postings", "doc_stats", "term_stats", "field_stats")
-        ]
+        docs, postings, term_stats, field_stats, len(per_field), below_zero, None, normalizer,
+        tuple(stop_words),
     )
 
 
 def question_terms(
-    questions: DataFrame, stop_words=text_functions.ENGLISH_STOP_WORDS, vocabulary=None
+    questions: DataFrame, stop_words=text_functions.ENGLISH_STOP_WORDS, normalizer=None
 ) -> DataFrame:
     """``(query_id, term, qtf)``: repeated question words count repeatedly."""
     words = questions.select(
-        "query_id", F.explode(text_functions.content_words(F.col("query_text"), stop_words)).alias("term")
+        "query_id", F.explode(text_functions.content_words("query_text", stop_words)).alias("term")
     )
-    if vocabulary is not None:
-        normal = vocabulary(words.select("term").distinct())
-        words = words.join(broadcast_if_small(normal), "term", "left").select(
+    if normalizer is not None:
+        normal = normalizer(words.select("term").distinct())
+        words = words.join(normal, "term", "left").select(
             "query_id", F.coalesce("normal", "term").alias("term")
         )
     return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _match(index: LexicalIndex, weights: DataFrame, small: bool) -> DataFrame:
+def _wanted_postings(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """Postings under normal forms; only words whose normal form is asked for are kept."""
+    if index.vocabulary is None:
+        return index.postings
+    asked = terms.select(F.col("term").alias("normal")).distinct()
+    return apply_vocabulary(index.postings, index.vocabulary.join(asked, "normal", "left_semi"), "inner")
+
+
+def _match(index: LexicalIndex, postings: DataFrame, weights: DataFrame, small: bool) -> DataFrame:
     """Postings of the question terms.
 
     Small weights are broadcast and the postings never move. Otherwise both sides meet on
@@ -186,44 +229,45 @@ def _match(index: LexicalIndex, weights: DataFrame, small: bool) -> DataFrame:
     that share, so no term fills one task. At most 1/HOT_SHARE terms can be that frequent.
     """
     if small:
-        return index.postings.join(F.broadcast(weights), ["field", "term"])
-    total = index.term_stats.agg(F.sum("df")).scalar()
-    slices = (
-        index.term_stats.where(F.col("df") > total * HOT_SHARE)
-        .select("field", "term", F.ceil(F.col("df") / (total * HOT_SHARE)).cast("int").alias("_slices"))
+        return postings.join(F.broadcast(weights), ["field", "term"])
+    share = index.term_stats.agg(F.sum("df") * HOT_SHARE).scalar()
+    hot = F.broadcast(
+        index.term_stats.where(F.col("df") > share).select(
+            "field", "term", F.ceil(F.col("df") / share).cast("bigint").alias("_slices")
+        )
     )
-    hot = F.broadcast(slices)
-    cut_postings = index.postings.join(hot, ["field", "term"], "left").withColumn(
-        "_slice", F.pmod(F.xxhash64("ord"), F.coalesce("_slices", F.lit(1)))
+    slices = F.coalesce("_slices", F.lit(1).cast("bigint"))
+    cut_postings = postings.join(hot, ["field", "term"], "left").withColumn(
+        "_slice", F.pmod(F.xxhash64("ord"), slices)
     )
     cut_weights = weights.join(hot, ["field", "term"], "left").withColumn(
-        "_slice",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_slices", F.lit(1)).cast("bigint") - 1)),
+        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))
     )
     return cut_postings.drop("_slices").join(
         cut_weights.drop("_slices"), ["field", "term", "_slice"]
-    ).drop("_slice")
+    )
 
 
-def score_matches(
-    index: LexicalIndex, terms: DataFrame, num_fields: int = 1, small: bool | None = None
-) -> DataFrame:
+def score_matches(index: LexicalIndex, terms: DataFrame, small: bool | None = None) -> DataFrame:
     """``(query_id, ord, table_id, score)`` of every table sharing a word with the question.
 
     Scores of several fields are averaged: added up and divided by the number of fields. Weights
     are the question terms plus three numbers per field, so measuring the terms bounds them too.
     """
     if small is None:
-        small = fits_broadcast(terms, BROADCAST_BYTES // (4 * num_fields))
-    weights = index.term_stats.join(F.broadcast(terms) if small else terms, "term").select(
-        "field", "term", "query_id", (F.col("qtf") * F.col("idf")).alias("weight")
+        small = fits_broadcast(terms, BROADCAST_BYTES // (4 * index.num_fields))
+    weights = (
+        index.term_stats.join(F.broadcast(terms) if small else terms, "term")
+        .join(F.broadcast(index.field_stats.select("field", "avg_len")), "field")
+        .select(
+            "field", "term", "query_id", "avg_len", (F.col("qtf") * F.col("idf")).alias("weight")
+        )
     )
-    averages = F.broadcast(index.field_stats.select("field", "avg_len"))  # one row per field
-    matched = _match(index, weights.join(averages, "field"), small)
+    matched = _match(index, _wanted_postings(index, terms), weights, small)
     norm = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return matched.groupBy("query_id", "ord", "table_id").agg(
-        (F.sum(part) / num_fields).alias("score")
+        (F.sum(part) / index.num_fields).alias("score")
     )
 
 
@@ -240,28 +284,22 @@ def rank_tables(scored: DataFrame, k: int) -> DataFrame:
 _CHUNK = 4096
 
 
-def zero_fill(questions: DataFrame, scored: DataFrame, doc_ids: DataFrame, k: int) -> DataFrame:
+def zero_fill(questions: DataFrame, off_zero: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Add unmatched tables at score 0, lowest ``ord`` first, where fewer than ``k`` score above 0.
 
-    ``doc_ids(ord, table_id)`` must be numbered 0..n-1 without gaps. Of the first k + b tables, b
-    being how many score below zero, at least as many as are missing score exactly zero; so no
-    higher ordinal is ever needed.
+    Of the first k + b tables, b being how many score below zero, at least as many as are missing
+    score exactly zero; so no higher ordinal is ever needed.
     """
-    off_zero = scored.where(F.round("score", SCORE_DIGITS) != 0)
     counts = off_zero.groupBy("query_id").agg(
         F.count_if(F.col("score") > 0).alias("above"), F.count_if(F.col("score") < 0).alias("below")
     )
-    num_docs = doc_ids.agg(F.count("*")).scalar()
-    needed = (
+    upto = (
         questions.select("query_id")
         .join(counts, "query_id", "left")
         .where(F.coalesce("above", F.lit(0)) < k)
-        .select(
-            "query_id",
-            F.least(k + F.coalesce("below", F.lit(0)), num_docs).alias("upto"),
-        )
+        .select("query_id", (k + F.coalesce("below", F.lit(0))).alias("upto"))
     )
-    chunks = needed.where("upto > 0").select(
+    chunks = upto.select(
         "query_id",
         "upto",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(upto - 1) div {_CHUNK}"))).alias("c"),
@@ -273,27 +311,23 @@ def zero_fill(questions: DataFrame, scored: DataFrame, doc_ids: DataFrame, k: in
         ).alias("ord"),
     )
     empty = positions.join(off_zero.select("query_id", "ord"), ["query_id", "ord"], "left_anti")
-    last = needed.agg(F.max("upto")).scalar()
-    filler = empty.join(doc_ids.where(F.col("ord") < last), "ord").select(
+    first_docs = docs.where(F.col("ord") < upto.agg(F.max("upto")).scalar())
+    filler = empty.join(first_docs, "ord").select(
         "query_id", "ord", "table_id", F.lit(0.0).alias("score")
     )
     return off_zero.select("query_id", "ord", "table_id", "score").unionByName(filler)
 
 
-def bm25_hits(
-    questions: DataFrame,
-    index: LexicalIndex,
-    k: int = 100,
-    num_fields: int = 1,
-    stop_words=text_functions.ENGLISH_STOP_WORDS,
-    vocabulary=None,
-    fill: bool = True,
-) -> DataFrame:
-    """``hits(query_id, table_id, rank, score)``: BM25 over one field, or the mean of several."""
-    terms = question_terms(questions, stop_words, vocabulary)
-    scored = score_matches(index, terms, num_fields)
-    if fill:
-        first_field = index.field_stats.agg(F.min("field")).scalar()
-        doc_ids = index.doc_stats.where(F.col("field") == first_field).select("ord", "table_id")
-        scored = zero_fill(questions, scored, doc_ids, k)
-    return rank_tables(scored, k).drop("ord")
+def bm25_hits(questions: DataFrame, index: LexicalIndex, k: int = 100, fill: bool = True) -> DataFrame:
+    """``hits(query_id, table_id, rank, score)``: BM25 over one field, or the mean of several.
+
+    All tables compete, so with ``fill`` a question always gets min(k, number of tables) hits.
+    """
+    terms = question_terms(questions, index.stop_words, index.normalizer)
+    off_zero = score_matches(index, terms).where(F.round("score", SCORE_DIGITS) != 0)
+    if not fill:
+        return rank_tables(off_zero, k).drop("ord")
+    # Without scores below zero, a question's best k matches are all its matches whenever it has to
+    # be filled, so only those are written.
+    matches = cut_lineage(off_zero if index.below_zero else rank_tables(off_zero, k))
+    return rank_tables(zero_fill(questions, matches, index.docs, k), k).drop("ord")

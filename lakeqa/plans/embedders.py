@@ -11,9 +11,8 @@ def hashed_idf(num_features: int = 256, stop_words=()):
     """``embed`` for ``dense.embed_distinct``: hashed word counts, weighted by rarity, unit length."""
 
     def embed(texts: DataFrame) -> DataFrame:
-        words = texts.select(
-            "text", text_functions.content_words(F.lower("text"), stop_words).alias("words")
-        )
+        lowered = texts.select("text", F.lower("text").alias("lowered"))
+        words = lowered.select("text", text_functions.content_words("lowered", stop_words).alias("words"))
         counted = HashingTF(numFeatures=num_features, inputCol="words", outputCol="tf").transform(words)
         weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
         scaled = Normalizer(inputCol="tfidf", outputCol="unit").transform(weighted)

@@ -9,7 +9,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from lakeqa.functions import linearize as L, parsing, text as text_functions
+from lakeqa.functions import linearize as L, parsing, stem, text as text_functions
 from lakeqa.operators import completions, dense, lexical, ranking, requests as R
 from lakeqa.scale import cut_lineage
 from lakeqa.sources import store
@@ -35,20 +35,21 @@ def oracle_retriever():
 
 def bm25_retriever(
     linearization: str = "csv", num_retrieve: int = 100, separate_names: bool = True,
-    stop_words=text_functions.ENGLISH_STOP_WORDS, vocabulary=None, index=None,
+    stop_words=text_functions.ENGLISH_STOP_WORDS, normalizer=stem.stem_vocabulary, index=None,
 ):
-    """BM25 over table text and, by default, over table names as a second field."""
+    """BM25 over table text and, by default, over table names as a second field.
+
+    ``index`` is a stored index to use instead of building one.
+    """
     fields = {"content": "table_content"}
     if separate_names:
         fields["name"] = "table_name"
 
     def retrieve(questions: DataFrame, tables: DataFrame) -> DataFrame:
         built = index or lexical.build_index(
-            L.linearize(tables, linearization), fields, stop_words, vocabulary
-        )
-        return lexical.bm25_hits(
-            questions, built, num_retrieve, len(fields), stop_words, vocabulary
+            L.linearize(tables, linearization), fields, stop_words, normalizer
         )
+        return lexical.bm25_hits(questions, built, num_retrieve)
 
     retrieve.mode = "open-book"
     return retrieve

@@ -28,8 +28,8 @@ CONTENT = {"content": "table_content"}
 BOTH = {"content": "table_content", "name": "table_name"}
 
 
-def index(spark, sf_dir, fields=CONTENT, vocabulary=None):
-    return lexical.build_index(I.corpus(spark, sf_dir), fields, vocabulary=vocabulary)
+def index(spark, sf_dir, fields=CONTENT, normalizer=None):
+    return lexical.build_index(I.corpus(spark, sf_dir), fields, normalizer=normalizer)
 
 
 def ranked(spark, sf_dir, k=100):
@@ -128,7 +128,7 @@ def sample_questions(spark, sf_dir):
 
 @query
 def tokenize(spark, sf_dir):
-    words = I.corpus(spark, sf_dir).select("table_id", X.content_words(F.col("table_content")).alias("w"))
+    words = I.corpus(spark, sf_dir).select("table_id", X.content_words("table_content").alias("w"))
     return words.select(
         "table_id", F.size("w").cast("bigint").alias("num_words"), F.array_join("w", " ").alias("words")
     )
@@ -142,12 +142,12 @@ def vocab_normalize(spark, sf_dir):
 
 @query
 def lexical_postings(spark, sf_dir):
-    return index(spark, sf_dir, BOTH).postings
+    return lexical.raw_postings(lexical.field_words(I.corpus(spark, sf_dir), BOTH))
 
 
 @query
 def lexical_postings_stemmed(spark, sf_dir):
-    return index(spark, sf_dir, BOTH, stem.stem_vocabulary).postings
+    return lexical.normal_postings(index(spark, sf_dir, BOTH, stem.stem_vocabulary))
 
 
 @query
@@ -170,14 +170,14 @@ def bm25_two_field(spark, sf_dir):
     asked = I.passages(spark, sf_dir).withColumn(
         "query_text", F.concat(F.lit("src"), (F.col("query_ord") % 20).cast("string"), F.lit(" "), F.col("query_text"))
     )
-    hits = lexical.bm25_hits(asked, index(spark, sf_dir, BOTH), 100, num_fields=2)
+    hits = lexical.bm25_hits(asked, index(spark, sf_dir, BOTH), 100)
     return hits.select("query_id", "table_id", "rank", six("score"))
 
 
 @query
 def bm25_stemmed(spark, sf_dir):
     built = index(spark, sf_dir, CONTENT, stem.stem_vocabulary)
-    hits = lexical.bm25_hits(I.passages(spark, sf_dir), built, 100, vocabulary=stem.stem_vocabulary)
+    hits = lexical.bm25_hits(I.passages(spark, sf_dir), built, 100)
     return hits.select("query_id", "table_id", "rank", six("score"))
 
 
