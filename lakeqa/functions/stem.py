@@ -3,7 +3,7 @@
 It is a vocabulary job: it runs once per distinct term, not once per token.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 # Irregular words and their stems.
 IRREGULAR = {
@@ -42,127 +42,66 @@ MEASURE_IS_1 = _FIRST_VOWELS + _CONSONANTS + "(?:" + _VOWELS + ")?$"
 SHORT = "^(?:[^aeiou][^aeiouy]*[aeiouy][^aeiouwxy]|[aeiou][^aeiou])$"
 
 
-def _without(word: Column, num_letters: int) -> Column:
-    return F.substring(word, F.lit(1), F.length(word) - num_letters)
+# The steps are SQL text over the column ``w`` (and ``rest``): one parse per step.
 
 
-def _replace(word: Column, rules, allowed) -> Column:
-    """The first rule whose suffix fits: replaced if ``allowed(rest)``, else the word as it is."""
-    result = F
-    for suffix, replacement in rules:
-        rest = _without(word, len(suffix))
-        result = result.when(
-            F.endswith(word, F.lit(suffix)),
-            F.when(allowed(rest), F.concat(rest, F.lit(replacement))).otherwise(word),
-        )
-    return result.otherwise(word)
+def _cut(word: str, num_letters: int) -> str:
+    return f"left({word}, length({word}) - {num_letters})"
 
 
-def _plural(w: Column) -> Column:
-    return F.when(F.endswith(w, F.lit("ies")) & (F.length(w) == 4), _without(w, 1)).otherwise(
-        _replace(w, PLURALS, lambda rest: F.lit(True))
-    )
-
-
-def _past_and_gerund(w: Column) -> tuple[Column, Column]:
-    """The word after -eed / -ied, and the rest of -ed / -ing words that still need repair."""
-    settled = (
-        F.when(
-            F.endswith(w, F.lit("ied")),
-            F.when(F.length(w) == 4, _without(w, 1)).otherwise(_without(w, 2)),
-        ).when(
-            F.endswith(w, F.lit("eed")),
-            F.when(_without(w, 3).rlike(MEASURE_OVER_0), _without(w, 1)).otherwise(w),
-        )
-    )
-    rest = (
-        F.when(settled.isNotNull(), F.lit(None).cast("string"))
-        .when(F.endswith(w, F.lit("ed")) & _without(w, 2).rlike(HAS_VOWEL), _without(w, 2))
-        .when(F.endswith(w, F.lit("ing")) & _without(w, 3).rlike(HAS_VOWEL), _without(w, 3))
-    )
-    return F.coalesce(settled, w), rest
-
-
-def _repair(rest: Column) -> Column:
-    doubled = (F.right(rest, F.lit(1)) == F.substring(rest, F.length(rest) - 1, F.lit(1))) & ~rest.rlike(
-        "[aeiouy]$"
-    )
-    return (
-        F.when(rest.rlike("(?:at|bl|iz)$"), F.concat(rest, F.lit("e")))
-        .when(
-            (F.length(rest) >= 2) & doubled,
-            F.when(rest.rlike("[lsz]$"), rest).otherwise(_without(rest, 1)),
-        )
-        .when(rest.rlike(MEASURE_IS_1) & rest.rlike(SHORT), F.concat(rest, F.lit("e")))
-        .otherwise(rest)
-    )
-
+def _like(word: str, pattern: str) -> str:
+    return f"{word} rlike r'{pattern}'"
 
-def _final_y(w: Column) -> Column:
-    return F.when(
-        w.rlike("[^aeiouy]y$|[aeiou]yy$") & (F.length(w) > 2), F.concat(_without(w, 1), F.lit("i"))
-    ).otherwise(w)
 
+def _rules(table, measure=None, also=None) -> str:
+    """The first rule whose suffix fits: replaced if the rest is long enough, else kept as it is."""
+    cases = []
+    for suffix, replacement in table:
+        rest = _cut("w", len(suffix))
+        conditions = [_like(rest, p) for p in (measure, (also or {}).get(suffix)) if p]
+        changed = f"concat({rest}, '{replacement}')"
+        kept = f"if({' and '.join(conditions)}, {changed}, w)" if conditions else changed
+        cases.append(f"when endswith(w, '{suffix}') then {kept}")
+    return f"case {' '.join(cases)} else w end"
 
-def _fold_alli(w: Column) -> Column:
-    return F.when(
-        F.endswith(w, F.lit("alli")) & _without(w, 4).rlike(MEASURE_OVER_0), _without(w, 2)
-    ).otherwise(w)
 
+_PLURAL = f"case when endswith(w, 'ies') and length(w) = 4 then {_cut('w', 1)} else {_rules(PLURALS)} end"
 
-def _double_suffix(w: Column) -> Column:
-    by_rule = _replace(w, DOUBLE_SUFFIXES, lambda rest: rest.rlike(MEASURE_OVER_0))
-    logi = F.when(_without(w, 3).rlike(MEASURE_OVER_0), _without(w, 1)).otherwise(w)
-    return F.when(F.endswith(w, F.lit("logi")), logi).otherwise(by_rule)
-
-
-def _ending(w: Column) -> Column:
-    return _replace(w, ENDINGS, lambda rest: rest.rlike(MEASURE_OVER_0))
-
-
-def _remove(w: Column) -> Column:
-    def allowed(suffix):
-        if suffix == "ion":
-            return lambda rest: rest.rlike(MEASURE_OVER_1) & rest.rlike("[st]$")
-        return lambda rest: rest.rlike(MEASURE_OVER_1)
-
-    result = F
-    for suffix in REMOVED:
-        rest = _without(w, len(suffix))
-        result = result.when(
-            F.endswith(w, F.lit(suffix)), F.when(allowed(suffix)(rest), rest).otherwise(w)
-        )
-    return result.otherwise(w)
-
-
-def _final_e(w: Column) -> Column:
-    rest = _without(w, 1)
-    droppable = rest.rlike(MEASURE_OVER_1) | (rest.rlike(MEASURE_IS_1) & ~rest.rlike(SHORT))
-    return F.when(F.endswith(w, F.lit("e")) & droppable, rest).otherwise(w)
-
-
-def _final_ll(w: Column) -> Column:
-    return F.when(
-        F.endswith(w, F.lit("ll")) & _without(w, 1).rlike(MEASURE_OVER_1), _without(w, 1)
-    ).otherwise(w)
+# After -eed / -ied the word is settled; -ed / -ing words with a vowel before leave a rest to repair.
+_SETTLED = f"""case
+  when endswith(w, 'ied') then if(length(w) = 4, {_cut('w', 1)}, {_cut('w', 2)})
+  when endswith(w, 'eed') then if({_like(_cut('w', 3), MEASURE_OVER_0)}, {_cut('w', 1)}, w) end"""
+_REST = f"""case
+  when endswith(w, 'ied') or endswith(w, 'eed') then null
+  when endswith(w, 'ed') and {_like(_cut('w', 2), HAS_VOWEL)} then {_cut('w', 2)}
+  when endswith(w, 'ing') and {_like(_cut('w', 3), HAS_VOWEL)} then {_cut('w', 3)} end"""
+_REPAIRED = f"""case
+  when rest is null then w
+  when {_like('rest', '(?:at|bl|iz)$')} then concat(rest, 'e')
+  when length(rest) >= 2 and right(rest, 1) = left(right(rest, 2), 1) and not {_like('rest', '[aeiouy]$')}
+    then if({_like('rest', '[lsz]$')}, rest, {_cut('rest', 1)})
+  when {_like('rest', MEASURE_IS_1)} and {_like('rest', SHORT)} then concat(rest, 'e')
+  else rest end"""
+_FINAL_Y = f"""if(length(w) > 2 and {_like('w', '[^aeiouy]y$|[aeiou]yy$')}, concat({_cut('w', 1)}, 'i'), w)"""
+_ALLI = f"""if(endswith(w, 'alli') and {_like(_cut('w', 4), MEASURE_OVER_0)}, {_cut('w', 2)}, w)"""
+_DOUBLE = f"""case
+  when endswith(w, 'logi') then if({_like(_cut('w', 3), MEASURE_OVER_0)}, {_cut('w', 1)}, w)
+  else {_rules(DOUBLE_SUFFIXES, MEASURE_OVER_0)} end"""
+_ENDING = _rules(ENDINGS, MEASURE_OVER_0)
+_REMOVED = _rules([(suffix, "") for suffix in REMOVED], MEASURE_OVER_1, {"ion": "[st]$"})
+_FINAL_E = f"""if(endswith(w, 'e') and ({_like(_cut('w', 1), MEASURE_OVER_1)} or
+  ({_like(_cut('w', 1), MEASURE_IS_1)} and not {_like(_cut('w', 1), SHORT)})), {_cut('w', 1)}, w)"""
+_FINAL_LL = f"""if(endswith(w, 'll') and {_like(_cut('w', 1), MEASURE_OVER_1)}, {_cut('w', 1)}, w)"""
+_IRREGULAR = "case term " + " ".join(f"when '{a}' then '{b}'" for a, b in IRREGULAR.items()) + " end"
 
 
 def stem_vocabulary(terms: DataFrame) -> DataFrame:
     """``(term, normal)`` for a relation of distinct terms; each step is its own projection."""
-    irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
-    steps = terms.select("term", F.lower("term").alias("w"))
-    steps = steps.withColumn("w", _plural(F.col("w")))
-    settled, rest = _past_and_gerund(F.col("w"))
-    steps = steps.select("term", settled.alias("w"), rest.alias("rest"))
-    steps = steps.select(
-        "term", F.when(F.col("rest").isNull(), F.col("w")).otherwise(_repair(F.col("rest"))).alias("w")
-    )
-    for step in (_final_y, _fold_alli, _double_suffix, _ending, _remove, _final_e, _final_ll):
-        steps = steps.withColumn("w", step(F.col("w")))
-    return steps.select(
-        "term",
-        F.coalesce(
-            F.try_element_at(irregular, F.col("term")),
-            F.when(F.length("term") <= 2, F.lower("term")).otherwise(F.col("w")),
-        ).alias("normal"),
+    steps = terms.selectExpr("term", "lower(term) as w").selectExpr("term", f"{_PLURAL} as w")
+    steps = steps.selectExpr("term", f"coalesce({_SETTLED}, w) as w", f"{_REST} as rest")
+    steps = steps.selectExpr("term", f"{_REPAIRED} as w")
+    for step in (_FINAL_Y, _ALLI, _DOUBLE, _ENDING, _REMOVED, _FINAL_E, _FINAL_LL):
+        steps = steps.selectExpr("term", f"{step} as w")
+    return steps.selectExpr(
+        "term", f"coalesce({_IRREGULAR}, if(length(term) <= 2, lower(term), w)) as normal"
     )

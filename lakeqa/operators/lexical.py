@@ -38,6 +38,7 @@ class LexicalIndex:
     num_fields: int
     # whether any term can weigh less than zero, which needs a field whose mean weight does
     below_zero: bool
+    num_docs: int
     # (term, normal) if postings still hold words as written, else None
     vocabulary: DataFrame | None = None
     # function from distinct terms to (term, normal), for the questions
@@ -102,17 +103,15 @@ def apply_vocabulary(postings: DataFrame, vocabulary: DataFrame, how: str = "lef
 _FIELD_STATS = "field string, num_docs bigint, avg_len double, avg_idf double"
 
 
-def statistics(postings: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+def statistics(postings: DataFrame, num_docs: int) -> tuple[DataFrame, DataFrame, bool]:
     """``(term_stats, field_stats, below_zero)``; the pass over the postings is written and not repeated."""
     counted = cut_lineage(
         postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     )
-    plain = counted.withColumn("num_docs", docs.agg(F.count("*")).scalar()).withColumn(
-        "idf", F.log(F.col("num_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    )
+    idf = F.log(num_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     # One row per indexed field comes back, however large the lake.
-    per_field = plain.groupBy("field").agg(
-        F.first("num_docs"), F.sum("cf") / F.first("num_docs"), F.avg("idf")
+    per_field = counted.groupBy("field").agg(
+        F.lit(num_docs), F.sum("cf") / num_docs, F.avg(idf)
     )
     rows = [tuple(r) for r in per_field.collect()]
     field_stats = postings.sparkSession.createDataFrame(rows, _FIELD_STATS)
@@ -120,8 +119,8 @@ def statistics(postings: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFra
     # Common terms with a negative weight get a small share of the mean weight instead. The mean
     # is over all terms, before this replacement.
     term_stats = (
-        counted.join(F.broadcast(field_stats), "field")
-        .withColumn("idf", F.log(F.col("num_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        counted.withColumn("idf", idf)
+        .join(F.broadcast(field_stats), "field")
         .select(
             "field",
             "term",
@@ -151,10 +150,11 @@ def build_index(
     if normalizer is not None:
         vocabulary = cut_lineage(normalizer(postings.select("term").distinct()))
         counted = apply_vocabulary(postings, vocabulary)
-    term_stats, field_stats, below_zero = statistics(counted, docs)
+    num_docs = docs.count()
+    term_stats, field_stats, below_zero = statistics(counted, num_docs)
     return LexicalIndex(
-        docs, postings, term_stats, field_stats, len(fields), below_zero, vocabulary, normalizer,
-        tuple(stop_words),
+        docs, postings, term_stats, field_stats, len(fields), below_zero, num_docs, vocabulary,
+        normalizer, tuple(stop_words),
     )
 
 
@@ -193,8 +193,8 @@ def read_index(
     field_stats = spark.createDataFrame(per_field, _FIELD_STATS)
     below_zero = any(avg_idf < 0 for *_, avg_idf in per_field)
     return LexicalIndex(
-        docs, postings, term_stats, field_stats, len(per_field), below_zero, None, normalizer,
-        tuple(stop_words),
+        docs, postings, term_stats, field_stats, len(per_field), below_zero, docs.count(), None,
+        normalizer, tuple(stop_words),
     )
 
 
@@ -249,7 +249,7 @@ def _match(index: LexicalIndex, postings: DataFrame, weights: DataFrame, small:
 
 
 def score_matches(index: LexicalIndex, terms: DataFrame, small: bool | None = None) -> DataFrame:
-    """``(query_id, ord, table_id, score)`` of every table sharing a word with the question.
+    """``(query_id, ord, score)`` of every table sharing a word with the question.
 
     Scores of several fields are averaged: added up and divided by the number of fields. Weights
     are the question terms plus three numbers per field, so measuring the terms bounds them too.
@@ -266,9 +266,8 @@ def score_matches(index: LexicalIndex, terms: DataFrame, small: bool | None = No
     matched = _match(index, _wanted_postings(index, terms), weights, small)
     norm = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    return matched.groupBy("query_id", "ord", "table_id").agg(
-        (F.sum(part) / index.num_fields).alias("score")
-    )
+    # A table's postings sit in one row's neighbourhood, so partial sums are nearly final sums.
+    return matched.groupBy("query_id", "ord").agg((F.sum(part) / index.num_fields).alias("score"))
 
 
 def rank_tables(scored: DataFrame, k: int) -> DataFrame:
@@ -277,14 +276,14 @@ def rank_tables(scored: DataFrame, k: int) -> DataFrame:
     return (
         scored.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("query_id", "table_id", F.col("rank").cast("bigint").alias("rank"), "score", "ord")
+        .select("query_id", "ord", F.col("rank").cast("bigint").alias("rank"), "score")
     )
 
 
 _CHUNK = 4096
 
 
-def zero_fill(questions: DataFrame, off_zero: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def zero_fill(questions: DataFrame, off_zero: DataFrame, num_docs: int, k: int) -> DataFrame:
     """Add unmatched tables at score 0, lowest ``ord`` first, where fewer than ``k`` score above 0.
 
     Of the first k + b tables, b being how many score below zero, at least as many as are missing
@@ -297,7 +296,8 @@ def zero_fill(questions: DataFrame, off_zero: DataFrame, docs: DataFrame, k: int
         questions.select("query_id")
         .join(counts, "query_id", "left")
         .where(F.coalesce("above", F.lit(0)) < k)
-        .select("query_id", (k + F.coalesce("below", F.lit(0))).alias("upto"))
+        .select("query_id", F.least(k + F.coalesce("below", F.lit(0)), F.lit(num_docs)).alias("upto"))
+        .where("upto > 0")
     )
     chunks = upto.select(
         "query_id",
@@ -310,12 +310,10 @@ def zero_fill(questions: DataFrame, off_zero: DataFrame, docs: DataFrame, k: int
             F.sequence(F.col("c") * _CHUNK, F.least((F.col("c") + 1) * _CHUNK, F.col("upto")) - 1)
         ).alias("ord"),
     )
-    empty = positions.join(off_zero.select("query_id", "ord"), ["query_id", "ord"], "left_anti")
-    first_docs = docs.where(F.col("ord") < upto.agg(F.max("upto")).scalar())
-    filler = empty.join(first_docs, "ord").select(
-        "query_id", "ord", "table_id", F.lit(0.0).alias("score")
+    filler = positions.join(off_zero.select("query_id", "ord"), ["query_id", "ord"], "left_anti")
+    return off_zero.select("query_id", "ord", "score").unionByName(
+        filler.select("query_id", "ord", F.lit(0.0).alias("score"))
     )
-    return off_zero.select("query_id", "ord", "table_id", "score").unionByName(filler)
 
 
 def bm25_hits(questions: DataFrame, index: LexicalIndex, k: int = 100, fill: bool = True) -> DataFrame:
@@ -324,10 +322,21 @@ def bm25_hits(questions: DataFrame, index: LexicalIndex, k: int = 100, fill: boo
     All tables compete, so with ``fill`` a question always gets min(k, number of tables) hits.
     """
     terms = question_terms(questions, index.stop_words, index.normalizer)
+    if index.normalizer is not None:
+        terms = cut_lineage(terms)
     off_zero = score_matches(index, terms).where(F.round("score", SCORE_DIGITS) != 0)
-    if not fill:
-        return rank_tables(off_zero, k).drop("ord")
     # Without scores below zero, a question's best k matches are all its matches whenever it has to
     # be filled, so only those are written.
-    matches = cut_lineage(off_zero if index.below_zero else rank_tables(off_zero, k))
-    return rank_tables(zero_fill(questions, matches, index.docs, k), k).drop("ord")
+    keep_all = fill and index.below_zero
+    matches = cut_lineage(off_zero if keep_all else rank_tables(off_zero, k))
+    if fill:
+        matches = rank_tables(zero_fill(questions, matches, index.num_docs, k), k)
+    # Ordinals back to ids for ranked rows only: at most k per question, so measuring the questions
+    # bounds what is sent to the tables.
+    asked = questions.agg(
+        F.count("*").alias("n"), F.coalesce(F.max(F.octet_length("query_id")), F.lit(0)).alias("id_bytes")
+    ).first()
+    small = asked["n"] * k * (asked["id_bytes"] + 64) <= BROADCAST_BYTES
+    return (F.broadcast(matches) if small else matches).join(index.docs, "ord").select(
+        "query_id", "table_id", "rank", "score"
+    )

@@ -225,13 +225,13 @@ vocabulary AS (SELECT term, CASE term {irregular} ELSE
   CASE WHEN len(term) <= 2 THEN lower(term) ELSE w END END AS normal FROM s11)"""
 
 
-def index(fields=("content",), stemmed=False, asked="passages") -> list[str]:
+def index(fields=("content",), stemmed=False, asked="passages", corpus=CORPUS) -> list[str]:
     columns = {"content": "table_content", "name": "table_name"}
     listed = " UNION ALL ".join(
         f"SELECT '{f}' AS field, ord, table_id, {content_words(columns[f])} AS w FROM corpus" for f in fields
     )
     ctes = [
-        CORPUS,
+        corpus,
         f"listed AS ({listed})",
         "raw_words AS (SELECT field, ord, table_id, len(w) AS doc_len, unnest(w) AS term FROM listed)",
         f"raw_asked AS (SELECT query_id, unnest({content_words('query_text')}) AS term FROM {asked})",
@@ -263,8 +263,8 @@ def index(fields=("content",), stemmed=False, asked="passages") -> list[str]:
     ]
 
 
-def bm25(k: int, fields=("content",), stemmed=False, asked="passages") -> list[str]:
-    return index(fields, stemmed, asked) + [
+def bm25(k: int, fields=("content",), stemmed=False, asked="passages", corpus=CORPUS) -> list[str]:
+    return index(fields, stemmed, asked, corpus) + [
         f"""scored AS (
   SELECT query_id, ord, sum(qtf * idf * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * doc_len / avg_len))) / {len(fields)} AS score
   FROM (SELECT query_id, term, count(*) AS qtf FROM asked_words GROUP BY ALL)
@@ -334,6 +334,8 @@ ORACLE["dense_accuracy"] = with_(
     select=f"SELECT count(*) AS num_questions, {accuracies('first_rank')} FROM firsts",
 )
 
+ORACLE["distinct_embed"] = "SELECT DISTINCT text, CAST(256 AS BIGINT) AS num_values FROM documents"
+
 # Ranking stages
 
 ORACLE["oracle_retrieve"] = with_(PASSAGES, CORPUS, GOLD, select="""
@@ -719,3 +721,36 @@ ORACLE["ranked_accuracy"] = with_(
   SELECT query_id, min(rank) AS first_rank FROM gold LEFT JOIN reranked USING (query_id, table_id) GROUP BY query_id)""",
     select=f"SELECT count(*) AS num_questions, {accuracies('first_rank')} FROM firsts",
 )
+
+LINES = f"""corpus AS (
+  SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS table_id, source AS table_name,
+    {csv_line('[CAST(doc_id AS VARCHAR), source]')} || {csv_line("['line']")} ||
+    array_to_string(list_transform(string_split(text, chr(10)), lambda l: {csv_line('[l]')}), '') AS table_content
+  FROM documents)"""
+
+
+def picked(source: str, focus: int, name: str) -> str:
+    return f"""{name} AS (
+  SELECT query_id, table_id, row_number() OVER (PARTITION BY query_id ORDER BY
+    rank > {focus}, NOT (rank <= {focus} AND CAST(table_id AS BIGINT) % 3 = 0), rank) AS rank FROM {source})"""
+
+
+ORACLE["answered_run"] = with_(
+    """asked AS (
+  SELECT 'q' || item_id AS query_id, b.text AS query_text, CAST(min(doc_id) AS VARCHAR) AS gold
+  FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL)""",
+    *bm25(100, stemmed=True, asked="asked", corpus=LINES),
+    picked("bm25_hits", 100, "picked1"),
+    picked("picked1", 10, "picked2"),
+    """answered AS (
+  SELECT query_id, any_value(query_text) AS query_text, any_value(gold) AS gold, arg_min(table_id, rank) AS first_id,
+    string_agg('Table ' || rank || ': ' || table_content, chr(10) ORDER BY rank) AS context
+  FROM picked2 JOIN corpus USING (table_id) JOIN asked USING (query_id) WHERE rank <= 3 GROUP BY query_id)""",
+    select=f"""
+SELECT query_id, 'Table ' || first_id AS prediction,
+  {tokens('context')} > {128000 - T.ANSWER_TOKENS - T.BUFFER_TOKENS} - {tokens(lit(T.answer_template('QTTT', 'nqtables', 'open-book')))} - {tokens('query_text')} AS was_cut,
+  CASE WHEN first_id = gold THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS exact_match,
+  CASE WHEN first_id = gold THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS f1_score,
+  CASE WHEN contains(first_id, gold) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS relaxed_match
+FROM answered""",
+)

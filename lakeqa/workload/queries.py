@@ -212,7 +212,7 @@ def distinct_embed(spark, sf_dir):
     vectors = dense.embed_distinct(
         I.table(spark, sf_dir, "documents"), embedders.hashed_idf(), "text"
     )
-    return vectors.select("text", F.size("vector").alias("num_values"))
+    return vectors.select("text", F.size("vector").cast("bigint").alias("num_values"))
 
 
 # Ranking stages
@@ -698,7 +698,7 @@ def answered_run(spark, sf_dir):
     exchange = stages.store_exchange(path, pick_and_answer)
     tables = lines_lake(spark, sf_dir)
     _, _, scored = experiment.run_experiment(
-        I.questions_with_gold(spark, sf_dir),
+        cut_lineage(I.questions_with_gold(spark, sf_dir)),
         tables,
         stages.bm25_retriever(separate_names=False),
         stages.completion_generator(exchange),

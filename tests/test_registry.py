@@ -8,7 +8,6 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 import __spark_entry__ as entry  # noqa: E402
 
 SF_DIR = os.environ.get("LAKEQA_TEST_DATA", "/root/testdata/sf0.001")
-ROWS_ONLY = {"distinct_embed", "answered_run"}
 # One of each kind; tools/check_oracle.py runs all of them.
 CHECKED = [
     "linearize_csv", "linearize_json", "cell_truncate", "questions_normalized", "bm25_two_field", "dense_topk",
@@ -23,8 +22,7 @@ def rows(names, records):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.queries()) == set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", CHECKED)
