@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeqa.functions import text as text_functions
+from lakeqa.scale import join_to_unique
 
 K_VALUES = (1, 3, 5, 10, 100)
 
@@ -88,27 +89,30 @@ def all_truths_contained(prediction: Column, truths: Column) -> Column:
 def split_by_difficulty(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """Questions answered without any table are easy, the others hard.
 
-    ``answers(partition, id, prediction, answers)`` are closed-book predictions with their
-    references; ``questions(partition, ord, id, answers, …)`` the source. An id alone is not
+    ``answers(partition, ord, id, prediction, answers)`` are closed-book predictions with their
+    references, numbered; ``questions(partition, ord, id, answers, …)`` the source. An id alone is not
     unique, so both sides meet on partition, id and the whole answer list, and of equal questions
     the first in file order counts. Predictions without a source question drop out.
     """
-    repaired = answers.select(
+    truths = text_functions.unquote_answers(F.col("answers"))
+    # The long predictions are judged where they are; only the verdict is joined.
+    judged = answers.withColumn("answers", truths).select(
         "partition",
         "id",
-        "prediction",
-        text_functions.unquote_answers(F.col("answers")).alias("answers"),
+        "answers",
+        F.col("ord").alias("_row"),
+        F.when(all_truths_contained(F.col("prediction"), F.col("answers")), "easy")
+        .otherwise("hard")
+        .alias("difficulty"),
     )
     payload = [c for c in questions.columns if c not in ("partition", "id", "answers", "ord")]
     first = questions.groupBy("partition", "id", "answers").agg(
         F.min_by(F.struct("ord", *payload), "ord").alias("_q")
     )
-    return repaired.join(first, ["partition", "id", "answers"]).select(
+    return join_to_unique(judged, first, ["partition", "id", "answers"], "_row").select(
         "partition",
         "id",
         "answers",
         *[F.col(f"_q.{c}").alias(c) for c in payload],
-        F.when(all_truths_contained(F.col("prediction"), F.col("answers")), "easy")
-        .otherwise("hard")
-        .alias("difficulty"),
+        "difficulty",
     )

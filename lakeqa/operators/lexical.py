@@ -2,7 +2,7 @@
 
 Relations
     docs        (ord, table_id)                          ord runs from 0 without gaps
-    postings    (field, term, ord, table_id, tf, doc_len)
+    postings    (field, term, ord, tf, doc_len)
     term_stats  (field, term, df, cf, idf)
     field_stats (field, num_docs, avg_len, avg_idf)      one row per field
 
@@ -49,7 +49,7 @@ class LexicalIndex:
 def field_words(
     tables: DataFrame, fields: dict[str, str], stop_words=text_functions.ENGLISH_STOP_WORDS
 ) -> DataFrame:
-    """``(field, ord, table_id, words)``: one row per table and indexed field, nothing moved."""
+    """``(field, ord, words)``: one row per table and indexed field, nothing moved."""
     entries = F.array(
         *[
             F.struct(
@@ -59,9 +59,7 @@ def field_words(
             for field, column in fields.items()
         ]
     )
-    return tables.select("ord", "table_id", F.explode(entries).alias("_f")).select(
-        "_f.field", "ord", "table_id", F.col("_f.words").alias("words")
-    )
+    return tables.select("ord", F.explode(entries).alias("_f")).select("_f.field", "ord", "_f.words")
 
 
 def raw_postings(documents: DataFrame) -> DataFrame:
@@ -78,10 +76,10 @@ def raw_postings(documents: DataFrame) -> DataFrame:
         documents.withColumn("_ordered", F.sort_array("words"))
         .withColumn("_starts", text_functions.run_starts(ordered))
         .select(
-            "field", "ord", "table_id", F.size(ordered).cast("bigint").alias("doc_len"),
+            "field", "ord", F.size(ordered).cast("bigint").alias("doc_len"),
             F.explode(counted).alias("_p"),
         )
-        .select("field", "_p.term", "ord", "table_id", "_p.tf", "doc_len")
+        .select("field", "_p.term", "ord", "_p.tf", "doc_len")
     )
 
 
@@ -94,9 +92,9 @@ def apply_vocabulary(postings: DataFrame, vocabulary: DataFrame, how: str = "lef
     return (
         postings.join(broadcast_if_small(vocabulary), "term", how)
         .withColumn("term", F.coalesce("normal", "term"))
-        .groupBy("field", "term", "ord", "table_id", "doc_len")
+        .groupBy("field", "term", "ord", "doc_len")
         .agg(F.sum("tf").alias("tf"))
-        .select("field", "term", "ord", "table_id", "tf", "doc_len")
+        .select("field", "term", "ord", "tf", "doc_len")
     )
 
 
@@ -266,7 +264,8 @@ def score_matches(index: LexicalIndex, terms: DataFrame, small: bool | None = No
     matched = _match(index, _wanted_postings(index, terms), weights, small)
     norm = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    # A table's postings sit in one row's neighbourhood, so partial sums are nearly final sums.
+    # All postings of a table come out of one row, so the partial sums before the exchange are
+    # already whole: one small row per question and matching table moves, and no text.
     return matched.groupBy("query_id", "ord").agg((F.sum(part) / index.num_fields).alias("score"))
 
 

@@ -52,6 +52,36 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> Dat
     return F.broadcast(df) if fits_broadcast(df, limit_bytes) else df
 
 
+# A key held by more than this share of the rows is cut into slices of about that share.
+HOT_SHARE = 1 / 1000
+
+
+def join_to_unique(
+    rows: DataFrame, unique: DataFrame, keys: list[str], row_id: str, how: str = "inner"
+) -> DataFrame:
+    """Join many rows to at most one row per key, however many of the rows share one key.
+
+    Keys are counted first (pre-aggregated, one number per key). At most 1/HOT_SHARE keys can be
+    hot; their rows are spread over slices by a digest of ``row_id``, which a repeated task gets
+    again, and their one partner is copied to each slice.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    share = rows.agg(F.count("*") * HOT_SHARE).scalar()
+    hot = F.broadcast(
+        counts.where(F.col("_n") > share).select(
+            *keys, F.ceil(F.col("_n") / share).cast("bigint").alias("_slices")
+        )
+    )
+    slices = F.coalesce("_slices", F.lit(1).cast("bigint"))
+    cut_rows = rows.join(hot, keys, "left").withColumn(
+        "_slice", F.pmod(F.xxhash64(row_id), slices)
+    )
+    copies = unique.join(hot, keys, "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))
+    )
+    return cut_rows.drop("_slices").join(copies.drop("_slices"), [*keys, "_slice"], how).drop("_slice")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on inputs with fewer splits than cores; inputs with many splits stay in place."""
     cores = df.sparkSession.sparkContext.defaultParallelism

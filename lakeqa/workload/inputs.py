@@ -126,14 +126,8 @@ def questions_with_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 25 = 0").select(
-        F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"), "label"
-    )
-
-
 def table_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "embeddings")).where("vec_id % 25 <> 0").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("ord"),
         F.col("vec_id").cast("string").alias("table_id"),
         F.col("embedding").alias("vector"),
@@ -141,6 +135,18 @@ def table_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per label: the mean of all vectors with that label.
+
+    Means are taken per position before anything is gathered, so a list only holds one vector.
+    """
+    values = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding"))
+    means = values.groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("value"))
+    return means.groupBy("label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("vector")
+    ).select(F.concat_ws(" ", F.lit("label"), "label").alias("query_id"), "vector", "label")
+
+
 SYSTEM = "Answer with one word."
 
 

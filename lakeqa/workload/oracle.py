@@ -290,10 +290,11 @@ ORACLE["vocab_normalize"] = with_(
     select="SELECT term, normal FROM vocabulary",
 )
 ORACLE["lexical_postings"] = with_(
-    PASSAGES, *index(("content", "name")), select="SELECT * FROM postings"
+    PASSAGES, *index(("content", "name")), select="SELECT field, term, ord, tf, doc_len FROM postings"
 )
 ORACLE["lexical_postings_stemmed"] = with_(
-    PASSAGES, *index(("content", "name"), stemmed=True), select="SELECT * FROM postings"
+    PASSAGES, *index(("content", "name"), stemmed=True),
+    select="SELECT field, term, ord, tf, doc_len FROM postings",
 )
 ORACLE["bm25_stats"] = with_(PASSAGES, *index(("content", "name")), select=f"""
 SELECT field, term, df, {six('idf', 'idf')}, num_docs, {six('avg_len', 'avg_len')}, {six('avg_idf', 'avg_idf')}
@@ -310,12 +311,17 @@ ORACLE["bm25_two_field"] = with_(
 
 # Vectors
 
-VECTORS = """pairs AS (
-  SELECT CAST(q.vec_id AS VARCHAR) AS query_id, t.vec_id AS ord, q.label AS label, t.label AS table_label,
-         list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[]))
-           / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))
+VECTORS = """means AS (
+  SELECT label, pos, avg(CAST(value AS DOUBLE)) AS value
+  FROM (SELECT label, unnest(embedding) AS value, unnest(range(len(embedding))) AS pos FROM embeddings)
+  GROUP BY label, pos),
+asked AS (SELECT label, list(value ORDER BY pos) AS vector FROM means GROUP BY label),
+pairs AS (
+  SELECT 'label ' || q.label AS query_id, t.vec_id AS ord, q.label AS label, t.label AS table_label,
+         list_dot_product(q.vector, CAST(t.embedding AS DOUBLE[]))
+           / sqrt(list_dot_product(q.vector, q.vector))
            / sqrt(list_dot_product(CAST(t.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[]))) AS score
-  FROM embeddings q, embeddings t WHERE q.vec_id % 25 = 0 AND t.vec_id % 25 <> 0),
+  FROM asked q CROSS JOIN embeddings t),
 dense AS (
   SELECT query_id, CAST(ord AS VARCHAR) AS table_id, label, table_label, score,
          row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM pairs)"""

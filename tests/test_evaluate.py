@@ -56,12 +56,12 @@ def test_answer_scores(spark):
 def test_split_by_difficulty(spark):
     answers = spark.createDataFrame(
         [
-            ("test", "n1", 'It is "3 M" and Oak', ["'3 m'", "oak"]),  # repaired to "3 m" in double quotes
-            ("test", "n1", "3 m", ["oak"]),
-            ("test", "n2", "x", ["y"]),
-            ("test", "gone", "x", ["x"]),
+            (0, "test", "n1", 'It is "3 M" and Oak', ["'3 m'", "oak"]),  # repaired to "3 m" in double quotes
+            (1, "test", "n1", "3 m", ["oak"]),
+            (2, "test", "n2", "x", ["y"]),
+            (3, "test", "gone", "x", ["x"]),
         ],
-        "partition string, id string, prediction string, answers array<string>",
+        "ord long, partition string, id string, prediction string, answers array<string>",
     )
     questions = spark.createDataFrame(
         [
@@ -72,3 +72,15 @@ def test_split_by_difficulty(spark):
     )
     got = {r.text: r.difficulty for r in evaluate.split_by_difficulty(answers, questions).collect()}
     assert got == {"first": "easy", "third": "hard", "fourth": "hard"}
+
+
+def test_hot_keys_are_cut_without_losing_rows(spark):
+    from lakeqa import scale
+
+    rows = spark.range(3000).select((F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id"))).alias("k"), "id")
+    unique = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    for how in ("left", "inner"):
+        got = scale.join_to_unique(rows, unique, ["k"], "id", how)
+        assert sorted(map(tuple, got.select("k", "id", "v").collect()), key=repr) == sorted(
+            map(tuple, rows.join(unique, "k", how).select("k", "id", "v").collect()), key=repr
+        )
