@@ -47,6 +47,13 @@ def component_names(runs: DataFrame) -> DataFrame:
     return components(runs).select("component").distinct()
 
 
+def runs_with(records: DataFrame, **wanted: str) -> DataFrame:
+    """Runs whose name has all the wanted component values."""
+    for name, value in wanted.items():
+        records = records.where(component(F.col("config.config_name"), name) == value)
+    return records
+
+
 def focus_text(sizes: Column) -> Column:
     """Zoom stages as text, for example ``-1rows-> 10 -5rows-> 3``; '' without zoom."""
     parts = F.transform(

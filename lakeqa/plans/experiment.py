@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from lakeqa.functions import linearize as L
-from lakeqa.operators import costs, evaluate, ranking, requests as R
-from lakeqa.plans import stages as S
+from lakeqa.operators import costs, evaluate, ranking, report, requests as R
 from lakeqa.scale import cut_lineage
 
 
@@ -54,4 +53,27 @@ def run_experiment(
     return hits, accuracies, evaluate.answer_scores(answers)
 
 
-__all__ = ["S", "answered_questions", "gold", "ranked_tables", "run_experiment"]
+def split_questions(
+    records: DataFrame, predictions: DataFrame, references: DataFrame, questions: DataFrame,
+    partition: str, model: str,
+) -> DataFrame:
+    """Easy and hard questions of a partition, judged by its closed-book run with ``model``.
+
+    ``predictions`` and ``references`` are run relations (``sources.store``); of several closed-book
+    runs the first by id counts. ``questions(ord, id, answers, …)`` is the partition's source.
+    """
+    closed = report.runs_with(
+        records, retriever="NoRetriever", reranker="NoReranker", zoom="NoZoom",
+        generator="LLMGenerator", model=model,
+    )
+    first = closed.agg(F.min("run_id")).scalar()
+    said = predictions.where(F.col("run_id") == first)
+    meant = references.where(F.col("run_id") == first)
+    answers = said.join(meant, ["run_id", "query_ord", "query_id"]).select(
+        F.lit(partition).alias("partition"),
+        F.col("query_ord").alias("ord"),
+        F.col("query_id").alias("id"),
+        "prediction",
+        F.col("ground_truth").alias("answers"),
+    )
+    return evaluate.split_by_difficulty(answers, questions.withColumn("partition", F.lit(partition)))

@@ -64,6 +64,35 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_run_relations(hits: DataFrame, qrels: DataFrame, answers: DataFrame, path: str) -> None:
+    """What a run ranked, what was right, what it answered: flat JSON lines, one folder per run.
+
+    Inputs carry ``run_id``. A run may have any number of questions, so these stay relations and are
+    not gathered into its record.
+    """
+    relations = {
+        "run": hits.select("run_id", "query_id", "table_id", "rank", "score"),
+        "qrels": qrels.select("run_id", "query_id", "table_id", "rel"),
+        "predictions": answers.select("run_id", "query_ord", "query_id", "prediction"),
+        "references": answers.select("run_id", "query_ord", "query_id", "ground_truth"),
+    }
+    for name, relation in relations.items():
+        relation.write.mode("append").partitionBy("run_id").json(f"{path}/{name}")
+
+
+_RUN_RELATIONS = {
+    "run": "run_id string, query_id string, table_id string, rank bigint, score double",
+    "qrels": "run_id string, query_id string, table_id string, rel int",
+    "predictions": "run_id string, query_ord bigint, query_id string, prediction string",
+    "references": "run_id string, query_ord bigint, query_id string, ground_truth array<string>",
+}
+
+
+def read_run_relation(spark: SparkSession, path: str, name: str) -> DataFrame:
+    columns = [c.split()[0] for c in _RUN_RELATIONS[name].split(", ")]
+    return spark.read.schema(_RUN_RELATIONS[name]).json(f"{path}/{name}").select(columns)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report has one row per configuration, so one CSV file holds it."""
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

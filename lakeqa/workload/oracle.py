@@ -688,6 +688,8 @@ ORACLE["run_components"] = with_(OUTCOMES, select=" UNION ALL ".join(
         "linearization": "'Linearization.CSV'", "template": "'Template.QTTT'",
     }.items()
 ))
+ORACLE["run_counters"] = with_(OUTCOMES, select="""
+SELECT run_id, cutoff_context_ctr, processed_queries_ctr FROM runs""")
 ORACLE["run_record"] = with_(OUTCOMES, select=f"""
 SELECT run_id, config_name, cutoff_context_ctr, processed_queries_ctr,
   {", ".join(six(f"accuracy_at_{k}", f"accuracy_at_{k}") for k in K_VALUES)},

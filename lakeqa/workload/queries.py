@@ -81,14 +81,11 @@ def cell_truncate(spark, sf_dir):
 
 @query
 def table_title(spark, sf_dir):
-    lake = I.lake(spark, sf_dir)
-    csv = L.linearize(lake, "csv").select(
-        "table_id", F.lit("csv").alias("form"), L.title_of_text(F.col("table_content"), "csv").alias("title")
-    )
-    json = L.linearize(lake, "json").select(
-        "table_id", F.lit("json").alias("form"), L.title_of_text(F.col("table_content"), "json").alias("title")
+    forms = F.array(
+        F.struct(F.lit("csv").alias("form"), L.title_of_text(L.csv_text(), "csv").alias("title")),
+        F.struct(F.lit("json").alias("form"), L.title_of_text(L.json_text(), "json").alias("title")),
     )
-    return csv.unionByName(json)
+    return I.lake(spark, sf_dir).select("table_id", F.explode(forms).alias("f")).select("table_id", "f.*")
 
 
 @query
@@ -198,8 +195,8 @@ def dense_accuracy(spark, sf_dir):
 
     Labels are few, so relevance is looked up on the hits instead of being listed as pairs.
     """
-    questions = I.question_vectors(spark, sf_dir)
-    hits = dense.dense_hits(questions, I.table_vectors(spark, sf_dir), 100)
+    questions = cut_lineage(I.question_vectors(spark, sf_dir))
+    hits = cut_lineage(dense.dense_hits(questions, I.table_vectors(spark, sf_dir), 100))
     labels = I.table_vectors(spark, sf_dir).select("table_id", F.col("label").alias("table_label"))
     judged = hits.join(labels, "table_id").join(questions.select("query_id", "label"), "query_id")
     relevant = judged.where("label = table_label").select("query_id", "table_id", F.lit(1).alias("rel"))
@@ -336,11 +333,10 @@ def template_fill(spark, sf_dir):
 
 @query
 def answer_prompt(spark, sf_dir):
-    """Every answer prompt, filled with every passage and a short context."""
-    parts = [
-        I.passages(spark, sf_dir).select(
-            "query_id", F.lit(template).alias("template"), F.lit(dataset).alias("dataset"),
-            F.lit(mode).alias("mode"),
+    """Every answer prompt, filled with every passage and a short context, in one pass."""
+    prompts = [
+        F.struct(
+            F.lit(template).alias("template"), F.lit(dataset).alias("dataset"), F.lit(mode).alias("mode"),
             T.fill(
                 T.answer_template(template, dataset, mode),
                 query=F.col("query_text"),
@@ -349,10 +345,9 @@ def answer_prompt(spark, sf_dir):
         )
         for template in T.TEMPLATES for dataset in table_sources.DATASETS for mode in T.MODES
     ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return I.passages(spark, sf_dir).select("query_id", F.explode(F.array(*prompts)).alias("p")).select(
+        "query_id", "p.*"
+    )
 
 
 def contexts(spark, sf_dir, template="QTTT", num_context=3):
@@ -373,7 +368,7 @@ def context_assemble_repeated(spark, sf_dir):
 
 @query
 def context_oracle(spark, sf_dir):
-    asked = I.questions_with_gold(spark, sf_dir)
+    asked = cut_lineage(I.questions_with_gold(spark, sf_dir))
     return R.oracle_context(asked, ranking.oracle_hits(asked), I.corpus(spark, sf_dir), "QTQTQT")
 
 
@@ -578,17 +573,18 @@ def split_easy_hard(spark, sf_dir):
 
 
 def records(spark, sf_dir):
-    """Run records from question outcomes: accuracies, answer scores, counters and cost per run."""
-    outcomes = I.run_outcomes(spark, sf_dir)
-    hit = [
-        F.avg(F.when(F.col("found_at") < k, 1.0).otherwise(0.0)).alias(f"accuracy_at_{k}")
-        for k in evaluate.K_VALUES
-    ]
-    retrieval = outcomes.groupBy("run_id").agg(*hit)
-    answers = outcomes.groupBy("run_id").agg(
-        F.avg(F.when(F.col("quality") > 3, 1.0).otherwise(0.0)).alias("exact_match"),
-        F.avg(F.when(F.col("quality") > 1, 1.0).otherwise(0.0)).alias("relaxed_match"),
-        F.avg(F.col("quality") / 7).alias("f1_score"),
+    """Run records from question outcomes, in one pass over the outcomes."""
+    share = lambda condition: F.avg(F.when(condition, 1.0).otherwise(0.0))
+    per_run = cut_lineage(
+        I.run_outcomes(spark, sf_dir).groupBy("run_id", "config_name", "exp", "zoom").agg(
+            *[share(F.col("found_at") < k).alias(f"accuracy_at_{k}") for k in evaluate.K_VALUES],
+            share(F.col("quality") > 3).alias("exact_match"),
+            share(F.col("quality") > 1).alias("relaxed_match"),
+            F.avg(F.col("quality") / 7).alias("f1_score"),
+            F.count_if("was_cut").alias("cutoff_context_ctr"),
+            F.count("*").alias("processed_queries_ctr"),
+            (F.sum("cost") / F.count("*")).alias("cost_per_question"),
+        )
     )
     sizes = F.array(
         *[
@@ -596,7 +592,7 @@ def records(spark, sf_dir):
             for s in stages.ZOOM_STAGES
         ]
     )
-    configs = outcomes.groupBy("run_id", "config_name", "exp", "zoom").agg(F.count("*")).select(
+    configs = per_run.select(
         "run_id",
         F.struct(
             "config_name",
@@ -604,8 +600,13 @@ def records(spark, sf_dir):
             F.struct(F.when(F.col("zoom") == "RowBasedZoom", sizes).alias("next_focus_sizes")).alias("zoom"),
         ).alias("config"),
     )
-    spent = costs.cost_per_question(outcomes, outcomes)
-    return report.run_records(configs, retrieval, answers, report.run_counters(outcomes), spent)
+    counters = per_run.select("run_id", "cutoff_context_ctr", "processed_queries_ctr")
+    return report.run_records(configs, per_run, per_run, counters, per_run)
+
+
+@query
+def run_counters(spark, sf_dir):
+    return report.run_counters(I.run_outcomes(spark, sf_dir))
 
 
 @query

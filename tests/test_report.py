@@ -80,3 +80,29 @@ def test_counters(spark):
     assert got == {"r": (1, 2), "s": (0, 1)}
     sizes = spark.createDataFrame([("r", 3), ("r", 2)], "run_id string, num_selected long")
     assert report.off_size_selections(sizes, 3).first().off_size_ctr == 1
+
+
+def test_run_relations_and_split(spark, tmp_path):
+    from lakeqa.plans import experiment
+
+    path = str(tmp_path / "relations")
+    hits = spark.createDataFrame([("r1", "q1", "t1", 1, 1.0)], "run_id string, query_id string, table_id string, rank long, score double")
+    qrels = spark.createDataFrame([("r1", "q1", "t1", 1)], "run_id string, query_id string, table_id string, rel int")
+    answers = spark.createDataFrame(
+        [("r1", 0, "q1", "It is 3 m.", ["3 m"]), ("r1", 1, "q2", "no idea", ["x"]), ("r2", 0, "q1", "wrong run", ["3 m"])],
+        "run_id string, query_ord long, query_id string, prediction string, ground_truth array<string>",
+    )
+    store.write_run_relations(hits, qrels, answers, path)
+    assert store.read_run_relation(spark, path, "run").collect() == hits.collect()
+    assert store.read_run_relation(spark, path, "qrels").collect() == qrels.collect()
+    runs = records(spark, record("tqa", "NoRetriever"), record("tqa", "BM25Retriever")).withColumn(
+        "run_id", F.when(F.col("config.config_name").contains("NoRetriever"), "r1").otherwise("r2")
+    )
+    questions = spark.createDataFrame(
+        [(0, "q1", ["3 m"], "how tall"), (1, "q2", ["x"], "what")], "ord long, id string, answers array<string>, text string"
+    )
+    split = experiment.split_questions(
+        runs, store.read_run_relation(spark, path, "predictions"), store.read_run_relation(spark, path, "references"),
+        questions, "test", "gpt-4o-mini-2024-07-18",
+    )
+    assert {r.text: r.difficulty for r in split.collect()} == {"how tall": "easy", "what": "hard"}
