@@ -8,14 +8,21 @@ from lakeqa.functions import text as text_functions
 
 
 def hashed_idf(num_features: int = 256, stop_words=()):
-    """``embed`` for ``dense.embed_distinct``: hashed word counts, weighted by rarity, unit length."""
+    """An ``embed`` for ``operators.dense``: hashed word counts, weighted by rarity, unit length.
+
+    Rarity is measured on the first texts that are embedded (the lake's) and kept for later ones
+    (the questions'), so that their vectors can be compared.
+    """
+    fitted = []
 
     def embed(texts: DataFrame) -> DataFrame:
-        lowered = texts.select("text", F.lower("text").alias("lowered"))
-        words = lowered.select("text", text_functions.content_words("lowered", stop_words).alias("words"))
-        counted = HashingTF(numFeatures=num_features, inputCol="words", outputCol="tf").transform(words)
-        weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
-        scaled = Normalizer(inputCol="tfidf", outputCol="unit").transform(weighted)
-        return scaled.select("text", vector_to_array("unit", "float32").alias("vector"))
+        lowered = texts.withColumn("_lowered", F.lower("text"))
+        words = lowered.withColumn("_words", text_functions.content_words("_lowered", stop_words))
+        counted = HashingTF(numFeatures=num_features, inputCol="_words", outputCol="_tf").transform(words)
+        if not fitted:
+            fitted.append(IDF(inputCol="_tf", outputCol="_tfidf").fit(counted))
+        weighted = fitted[0].transform(counted)
+        scaled = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
+        return scaled.select(*texts.columns, vector_to_array("_unit", "float32").alias("vector"))
 
     return embed

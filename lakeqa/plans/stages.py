@@ -64,19 +64,10 @@ def dense_retriever(embed, linearization: str = "csv", num_retrieve: int = 100,
             texts = L.linearize(tables, linearization).select(
                 "ord", "table_id", F.col("table_content").alias("text")
             )
-            asked = questions.select(F.col("query_text").alias("text"))
-            embedded = cut_lineage(
-                dense.embed_distinct(texts.select("text").unionByName(asked), embed)
-            )
-            vectors = texts.join(embedded, "text").select("ord", "table_id", "vector")
-        else:
-            embedded = cut_lineage(
-                dense.embed_distinct(questions.select(F.col("query_text").alias("text")), embed)
-            )
-        question_vectors = questions.join(
-            embedded, questions["query_text"] == embedded["text"]
-        ).select("query_id", "vector")
-        return dense.dense_hits(question_vectors, vectors, num_retrieve)
+            # Vectors are written once; the text they come from goes no further.
+            vectors = cut_lineage(embed(texts).select("ord", "table_id", "vector"))
+        asked = questions.select("query_id", F.col("query_text").alias("text"))
+        return dense.dense_hits(cut_lineage(embed(asked).select("query_id", "vector")), vectors, num_retrieve)
 
     retrieve.mode = "open-book"
     return retrieve

@@ -762,3 +762,18 @@ SELECT query_id, 'Table ' || first_id AS prediction,
   CASE WHEN contains(first_id, gold) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS relaxed_match
 FROM answered""",
 )
+
+ORACLE["dense_passages"] = with_(
+    PASSAGES,
+    LINES,
+    f"asked AS (SELECT query_id, {letters('query_text')} AS a FROM passages)",
+    f"lake AS (SELECT ord, table_id, {letters('table_content')} AS b FROM corpus)",
+    """pairs AS (
+  SELECT query_id, ord, table_id, CASE WHEN list_dot_product(a, a) > 0 AND list_dot_product(b, b) > 0
+    THEN list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) ELSE 0.0 END AS score
+  FROM asked CROSS JOIN lake)""",
+    """best AS (
+  SELECT query_id, table_id, score,
+    row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM pairs)""",
+    select=HITS + "best WHERE rank <= 100",
+)

@@ -204,6 +204,14 @@ def dense_accuracy(spark, sf_dir):
     return evaluate.top_k_accuracy(hits, relevant.unionByName(unjudged))
 
 
+@query
+def dense_passages(spark, sf_dir):
+    """Passages against whole documents, both embedded by letter counts."""
+    retrieve = stages.dense_retriever(passage_vectors)
+    hits = retrieve(I.passages(spark, sf_dir), lines_lake(spark, sf_dir))
+    return hits.select("query_id", "table_id", "rank", six("score"))
+
+
 @query
 def distinct_embed(spark, sf_dir):
     vectors = dense.embed_distinct(
@@ -283,7 +291,7 @@ def parse_questions(spark, sf_dir):
 def passage_vectors(texts):
     """A small repeatable embedder for checks: how often each of eight letters occurs."""
     counts = [F.regexp_count("text", F.lit(letter)).cast("float") for letter in "aeinorst"]
-    return texts.select("text", F.array(*counts).alias("vector"))
+    return texts.withColumn("vector", F.array(*counts))
 
 
 def similarities(spark, sf_dir, hits):

@@ -95,7 +95,7 @@ def test_bm25_with_zoom(spark, exchange):
 
 
 def bag_of_letters(texts):
-    return texts.select("text", F.array(*[F.regexp_count("text", F.lit(c)).cast("float") for c in "abcdefghijklmnoprstuvwxy"]).alias("vector"))
+    return texts.withColumn("vector", F.array(*[F.regexp_count("text", F.lit(c)).cast("float") for c in "abcdefghijklmnoprstuvwxy"]))
 
 
 def test_reranker_moves_the_table_whose_question_was_asked(spark, exchange):

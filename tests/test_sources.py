@@ -77,7 +77,7 @@ def test_embed_into_store_embeds_only_new_texts(spark, tmp_path):
     store.create_vector_store(spark, path)
 
     def embed(texts):
-        return texts.select("text", F.array(F.length("text").cast("float")).alias("vector"))
+        return texts.withColumn("vector", F.array(F.length("text").cast("float")))
 
     def frame(*values):
         return spark.createDataFrame([(v,) for v in values], "text string")
