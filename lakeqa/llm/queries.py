@@ -1,8 +1,9 @@
 """Registered queries: each applies one operator to its whole table and derives the contract's columns."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeqa.llm import urls, warc
+from lakeqa.llm import decontaminate, html_text, language, mixing, packing, secrets, urls, warc
 
 QUERIES = {}
 
@@ -55,3 +56,77 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     judged = urls.judge_urls(table(spark, sf_dir, "pages"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("hit_words", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("hit_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.train(docs))
+    joined = lambda kept: F.array_join(
+        F.transform(
+            F.filter("findings", kept),
+            lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string")),
+        ),
+        ",",
+    )
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(joined(lambda f: f["kind"] != "model"), 256).alias("base_sha256"),
+        joined(lambda f: f["kind"].isNotNull()).alias("spans"),
+        count("model").alias("n_model"),
+    )
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def digest_share(column: str, parts: int):
+    """crc32 of an id as text, by ``parts``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % parts
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.where(digest_share("doc_id", 5) != 0))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", (digest_share("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.learn(pages.select("html")))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = digest_share("doc_id", 7) == 2
+    scored = mixing.score_texts(docs, docs.where(~held_out).select("text"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
