@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeqa.llm import decontaminate, html_text, language, mixing, packing, secrets, urls, warc
+from lakeqa.llm import decontaminate, html_text, language, mixing, ngram_join, packing, secrets, urls, warc
 
 QUERIES = {}
 
@@ -130,3 +130,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
