@@ -8,7 +8,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 WINDOW = 10
 # So much benchmark text is searched for in one pass over the documents; more takes more passes.
@@ -243,8 +243,8 @@ def find_contamination(
     return out
 
 
-def remove_spans(text: F.Column, spans: F.Column) -> F.Column:
-    """``text`` without the ``spans``; each leaves one space between what stood around it."""
+def replace_spans(text: Column, spans: Column, filler: str = " ") -> Column:
+    """``text`` with ``filler`` in place of each of the sorted, disjoint ``spans`` (code points)."""
     pieces = F.transform(
         F.sequence(F.lit(0), F.size(spans)),
         lambda i: F.substring(
@@ -256,7 +256,7 @@ def remove_spans(text: F.Column, spans: F.Column) -> F.Column:
             ).cast("int"),
         ),
     )
-    return F.when(F.size(spans) > 0, F.array_join(pieces, " ")).otherwise(text)
+    return F.when(F.size(spans) > 0, F.array_join(pieces, filler)).otherwise(text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -268,7 +268,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = find_contamination(docs, benchmark, window)
     hit = F.aggregate("hit_words", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     left = found.where((hit == 0) | (hit < F.col("n_words")))
-    new = {"text": remove_spans(F.col("text"), F.col("spans"))}
+    new = {"text": replace_spans(F.col("text"), F.col("spans"))}
     if "n_chars" in docs.columns:
         length = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
         new["n_chars"] = F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars"))

@@ -17,11 +17,13 @@ from lakeqa.scale import cut_lineage
 
 # Contexts of 1 to 5 bytes; each has so many pages (a power of two) of counts for a half byte.
 ORDERS = (1, 2, 3, 4, 5)
-PAGE_BITS = (14, 16, 17, 17, 17)
+PAGE_BITS = (14, 16, 18, 18, 18)
 SPAN = max(ORDERS)
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 PRIOR = 0.4
-GATES = 8 * (len(ORDERS) + 1)
+# A gate for each bit, number of orders that know the context, and how often the longest of them saw it.
+SEEN_SIZES = 4
+GATES = 8 * (len(ORDERS) + 1) * SEEN_SIZES
 STEPS = 33  # places of the refinement's table between stretched chances of -8 and 8
 CHUNK = 4 << 20
 # Words that every task holds; the counts of all others are met by a join.
@@ -119,7 +121,7 @@ class MixModel:
                 bits[:, 4 * h + depth] = (half >> (3 - depth)) & 1
                 node[:, 4 * h + depth] = (1 << depth) + (half >> (4 - depth))
         stretched = np.empty((*shape, len(ORDERS)), np.float32)
-        seen = np.zeros(shape, np.int64)
+        seen, sizes = np.zeros(shape, np.int64), np.zeros(shape, np.float32)
         first = _first_slots()
         for k in range(len(ORDERS)):
             upper, lower = _pages(windows, k)
@@ -128,8 +130,11 @@ class MixModel:
             if leave_out:
                 n1, n0 = np.maximum(n1 - bits, 0), np.maximum(n0 - (1 - bits), 0)
             stretched[:, :, k] = np.log((n1 + PRIOR) / (n0 + PRIOR))
-            seen += (n0 + n1) > 0
-        gates = np.arange(8) * (len(ORDERS) + 1) + seen
+            both = n0 + n1
+            seen += both > 0
+            sizes = np.where(both > 0, both, sizes)
+        size = np.minimum(np.log2(np.maximum(sizes, 1)) / 2, SEEN_SIZES - 1).astype(np.int64)
+        gates = (np.arange(8) * (len(ORDERS) + 1) + seen) * SEEN_SIZES + size
         partial = np.concatenate([node[:, :4], 16 * (1 + halves[0][:, None]) + node[:, 4:]], axis=1) % 272
         return stretched.reshape(-1, len(ORDERS)), gates.ravel(), bits.ravel(), partial.ravel()
 
@@ -137,14 +142,13 @@ class MixModel:
         w = self.weights[gates]
         return np.clip(np.einsum("nk,nk->n", stretched, w[:, :-1]) + w[:, -1], -7.99, 7.99)
 
-    def train_online(self, windows: np.ndarray, counts: np.ndarray, rate: float, batch: int = 2048, seed: int = 1) -> np.ndarray:
+    def train_online(self, windows: np.ndarray, counts: np.ndarray, rate: float, batch: int = 8192, seed: int = 1) -> np.ndarray:
         """One pass of online steps over windows, each weighted by its count; returns each gate's weight."""
         load = np.zeros(GATES)
         for rows in np.array_split(np.random.default_rng(seed).permutation(len(windows)), max(1, len(windows) // batch)):
             stretched, gates, bits, _ = self.inputs(windows[rows], True)
             x = np.column_stack([stretched, np.ones(len(stretched))])
-            # Roots keep a few very frequent windows from being all that a step sees.
-            weight = np.repeat(np.sqrt(counts[rows]), 8)
+            weight = np.repeat(counts[rows].astype(np.float64), 8)
             p = 1 / (1 + np.exp(-self.mixed(stretched, gates)))
             slope, curve = weight * (p - bits), weight * p * (1 - p)
             for k in range(x.shape[1]):
@@ -258,7 +262,7 @@ def train_mixer(grams: DataFrame) -> MixModel:
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     model = MixModel(counts)
 
-    for rate in (0.3, 0.1):
+    for rate in (1.0, 0.5):
         held = session.sparkContext.broadcast(model)
 
         def learn(batches: Iterator[pa.RecordBatch], held=held, rate=rate) -> Iterator[pa.RecordBatch]:

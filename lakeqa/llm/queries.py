@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeqa.llm import decontaminate, html_text, language, mixing, ngram_join, packing, secrets, urls, warc
+from lakeqa.llm import decontaminate, html_text, language, metric_search, mixing, ngram_join, packing, secrets, urls, warc
 
 QUERIES = {}
 
@@ -135,3 +135,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = metric_search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+    return found.select("query_id", "rank", "vec_id", "score")
