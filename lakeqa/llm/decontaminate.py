@@ -31,6 +31,8 @@ class FMIndex:
     """Suffix order, wavelet ranks and sampled positions of a text of symbols; 0 separates and is never searched."""
 
     def __init__(self, text: np.ndarray, sample_every: int = SAMPLE_EVERY):
+        if len(text) and text[-1]:
+            text = np.append(text, 0)
         n = len(text)
         breaks = text == 0
         self.order = self._suffix_order(text, breaks)
@@ -259,6 +261,12 @@ def replace_spans(text: Column, spans: Column, filler: str = " ") -> Column:
     return F.when(F.size(spans) > 0, F.array_join(pieces, filler)).otherwise(text)
 
 
+def replaced_length(text: Column, spans: Column, filler: str = " ") -> Column:
+    """Code points of what ``replace_spans`` gives."""
+    gone = F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return F.length(text) - gone + F.size(spans) * len(filler)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every benchmark passage cut out of ``text``; ``n_chars``, if there, follows.
 
@@ -270,6 +278,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     left = found.where((hit == 0) | (hit < F.col("n_words")))
     new = {"text": replace_spans(F.col("text"), F.col("spans"))}
     if "n_chars" in docs.columns:
-        length = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
+        length = replaced_length(F.col("text"), F.col("spans")).cast(docs.schema["n_chars"].dataType)
         new["n_chars"] = F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars"))
     return left.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])

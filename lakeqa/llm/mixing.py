@@ -346,9 +346,11 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
                     counted[END_WORD] = 1
                     base, found, rare = 0.0, 0, []
                     for word, n in counted.items():
+                        if len(word) > LONGEST_KEY:
+                            word = word_key(word)
                         log = logs.get(word)
                         if log is None:
-                            rare.append({"word": word_key(word), "n": n})
+                            rare.append({"word": word, "n": n})
                         else:
                             base += n * log
                             found += n

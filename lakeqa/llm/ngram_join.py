@@ -60,9 +60,8 @@ def band_starts(percent: int) -> tuple[int, ...]:
     """Least sizes of the bands: a set links only with sets of its own band and the neighbouring ones."""
     starts = [1]
     while starts[-1] < 1 << 40:
-        starts.append(-(-starts[-1] * 100 // percent))
-        if starts[-1] == starts[-2]:
-            starts[-1] += 1
+        # Sets that must be equal never differ in size; any bands do.
+        starts.append(-(-starts[-1] * 100 // percent) if percent < 100 else 2 * starts[-1])
     return tuple(starts)
 
 
@@ -231,7 +230,7 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def check_pairs(members: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links among the sets of one family, or between two blocks of it: exact, from whole sets.
 
-    ``members``: band, block, digest, n, copies, shingles. A row for each set with links: one set of
+    ``members``: band, block, across (two blocks, not one), digest, n, copies, shingles. A row for each set with links: one set of
     what it is connected to here, and its number of linked documents.
     """
     members = members.drop_duplicates(["digest", "block"]).sort_values(["block", "digest"], ignore_index=True)
@@ -258,8 +257,8 @@ def check_pairs(members: pd.DataFrame, percent: int) -> pd.DataFrame:
     larger = band_of(np.maximum(n[:, None], n[None, :]).ravel(), percent).reshape(size, size)
     linked &= larger == int(members["band"].iloc[0])
     np.fill_diagonal(linked, False)
-    block = members["block"].to_numpy()
-    if block[0] != block[-1]:
+    if members["across"].iloc[0]:
+        block = members["block"].to_numpy()
         linked &= block[:, None] != block[None, :]
     links = linked @ members["copies"].to_numpy()
     label = np.arange(size)
@@ -321,7 +320,8 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     lot = F.when(F.col("blocks") == 1, F.concat(F.lit("lot "), F.pmod(F.xxhash64("band", "family"), F.lit(lots)))).otherwise(
         F.concat_ws(" ", "band", "family", *pair)
     )
-    work = members.select("band", "family", "block", "digest", "copies", "n", lot.alias("lot")).join(whole, "digest")
+    across = (F.col("block") != F.col("other")).alias("across")
+    work = members.select("band", "family", "block", across, "digest", "copies", "n", lot.alias("lot")).join(whole, "digest")
 
     def check(lot: pd.DataFrame) -> pd.DataFrame:
         found = [check_pairs(family, percent) for _, family in lot.groupby(["band", "family"], sort=True)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 from functools import reduce
 
@@ -9,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeqa.scale import cut_lineage
 
-HASHES = 7
 BITS_PER_KEY = 10
 # The filters travel inside the plan; a longer list than this allows is refused, not cut.
 MAX_FILTER_BYTES = 64 * 1024 * 1024
@@ -28,7 +28,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every key a rule could have to fit this url, longest first.
+    """Every key a rule could have to fit this url, longest first, and of equal length the longest host.
 
     A key is a suffix of the host at a label's start, with a prefix of the path; only prefixes as
     long as some rule's path can fit.
@@ -42,11 +42,11 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
         F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths)]),
         lambda p: p.isNotNull(),
     )
-    keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    order = F.transform(
-        F.array_distinct(keys), lambda k: F.struct((-F.length(k)).alias("shorter"), k.alias("key"))
+    ranked = lambda h, p: F.struct(
+        (-F.length(h) - F.length(p)).alias("shorter"), F.length(p).alias("n"), F.concat(h, p).alias("key")
     )
-    return F.transform(F.array_sort(order), lambda s: s["key"])
+    keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: ranked(h, p))))
+    return F.transform(F.array_sort(F.array_distinct(keys)), lambda s: s["key"])
 
 
 class Bloom:
@@ -54,6 +54,7 @@ class Bloom:
 
     def __init__(self, keys: DataFrame, level: int, bits_per_key: int = BITS_PER_KEY):
         self.level = level
+        self.hashes = max(1, round(bits_per_key * math.log(2)))
         self.size = max(64, -(-keys.count() * bits_per_key // 8) * 8)
         if self.size // 8 > MAX_FILTER_BYTES:
             raise ValueError(f"{self.size // 8} bytes of filter; the bound is {MAX_FILTER_BYTES}")
@@ -69,7 +70,7 @@ class Bloom:
     def _places(self, key: Column) -> list[Column]:
         one = F.pmod(F.xxhash64(key, F.lit(2 * self.level)), F.lit(self.size))
         two = F.pmod(F.xxhash64(key, F.lit(2 * self.level + 1)), F.lit(self.size))
-        return [(one + i * two) % self.size for i in range(HASHES)]
+        return [(one + i * two) % self.size for i in range(self.hashes)]
 
     def might_contain(self, key: Column) -> Column:
         def is_set(place: Column) -> Column:
@@ -121,8 +122,8 @@ def judge_urls(
     """Adds ``host``, ``path``, ``rule`` and ``verdict`` to ``pages``; columns of those names are replaced.
 
     ``rules`` has ``host``, ``path`` and ``verdict`` (allow or block). A rule fits its host and all
-    subdomains if the url's path starts with the rule's; the longest wins, and block where both are
-    given for one key. The longest fitting key is the rule itself, so two exact memberships decide:
+    subdomains if the url's path starts with the rule's; the longest wins, of equal length that with
+    the longer host, and block where both are given for one key. The longest fitting key is the rule itself, so two exact memberships decide:
     is the key a rule, and is that rule a blocking one. Urls without a rule get ``unlisted``, null
     in ``rule``; null urls have empty host and path. Rules with null host or path are left out.
     Repeated rows stay; an empty table or rule list gives what that means.
