@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -89,7 +90,11 @@ class MixModel:
         self._nodes = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_nodes": None}
+        # Most slots of a small corpus are empty, and every executor keeps a file of what is sent.
+        return self.__dict__ | {"_nodes": None, "counts": zlib.compress(self.counts.tobytes(), 1)}
+
+    def __setstate__(self, state):
+        self.__dict__ = state | {"counts": np.frombuffer(zlib.decompress(state["counts"]), np.int32)}
 
     def nodes(self) -> tuple[np.ndarray, np.ndarray]:
         """Of every page and every node of its binary tree: how often 0 and 1 followed."""
@@ -281,6 +286,7 @@ def train_mixer(grams: DataFrame) -> MixModel:
         for row in learned.collect():
             if row["load"] > 0:
                 model.weights[row["gate"]] = [row[n] / row["load"] for n in names]
+        held.destroy()
 
     held = session.sparkContext.broadcast(model)
 
@@ -295,6 +301,7 @@ def train_mixer(grams: DataFrame) -> MixModel:
     found = grams.mapInArrow(refine, "place bigint, total double, ones double").groupBy("place")
     for row in found.agg(F.sum("total").alias("total"), F.sum("ones").alias("ones")).collect():
         table[:, row["place"]] = row["total"], row["ones"]
+    held.destroy()
     model.set_refinement(*table)
     return model
 
