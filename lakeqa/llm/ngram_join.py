@@ -60,8 +60,8 @@ def band_starts(percent: int) -> tuple[int, ...]:
     """Least sizes of the bands: a set links only with sets of its own band and the neighbouring ones."""
     starts = [1]
     while starts[-1] < 1 << 40:
-        # Sets that must be equal never differ in size; any bands do.
-        starts.append(-(-starts[-1] * 100 // percent) if percent < 100 else 2 * starts[-1])
+        # Never narrower than for 90 %: bands have eight bits, and wider ones are right as well.
+        starts.append(-(-starts[-1] * 100 // min(percent, 90)))
     return tuple(starts)
 
 
@@ -151,29 +151,30 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     return cut_lineage(rows.mapInArrow(measure, "doc_id bigint, n bigint, digest binary"))
 
 
+# A vertex is 54 bits of a set's digest, then 8 of the band and 2 of the role: two numbers a row are
+# all that is dealt. Equal bits of different sets only add candidates.
+_ROLE, _BAND = 3, 255 << 2
+
+
 def _vertex(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+    return int.from_bytes(digest[:8], "little", signed=True) & ~1023
 
 
 def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(band, a, b): of all sets that meet under a key which one of them probes, a star.
 
-    Sets are told by half their digest here; a collision only adds candidates. Each task first
+    Each task first
     joins the sets of its own batch that meet, and passes one of them on for each key, so a key
     that very many sets have is a row a batch when rows are dealt by key; keys are then read as
     sorted runs, of which only the first set is held.
     """
-    fields = "band int, key bigint, vertex bigint, role tinyint"
-    schema = pa.schema([("band", pa.int32()), ("key", pa.int64()), ("vertex", pa.int64()), ("role", pa.int8())])
-
-    def batch_of(band, key, vertex, role) -> pa.RecordBatch:
-        arrays = [pa.array(np.asarray(x), f.type) for x, f in zip((band, key, vertex, role), schema, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+    def batch_of(key: np.ndarray, vertex: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(vertex)], names=["key", "vertex"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[bytes] = set()
-            keys, vertices, roles, bands = [], [], [], []
+            keys, vertices = [], []
             for body in _bodies(batch.column(0)):
                 shingles = shingles_of(body, words)
                 if not len(shingles) or (digest := set_digest(shingles)) in seen:
@@ -181,49 +182,47 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 seen.add(digest)
                 for band, own, role in keys_of(shingles, percent):
                     keys.append(own)
-                    roles.append(role)
-                    vertices.append(np.full(len(own), _vertex(digest), np.int64))
-                    bands.append(np.full(len(own), band, np.int32))
+                    vertices.append(_vertex(digest) + (band << 2) + role.astype(np.int64))
             if not keys:
                 continue
             key, vertex = np.concatenate(keys).view(np.int64), np.concatenate(vertices)
-            role, band = np.concatenate(roles), np.concatenate(bands)
-            del keys, vertices, roles, bands
-            order = np.lexsort((-role, key))
-            key, vertex, role, band = key[order], vertex[order], role[order], band[order]
+            del keys, vertices
+            order = np.lexsort((-(vertex & _ROLE), key))
+            key, vertex = key[order], vertex[order]
             fresh = np.concatenate([[True], key[1:] != key[:-1]])
             head = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-            met = ~fresh & (role[head] == PROBE)
-            linked = met & (vertex[head] != vertex)
+            met = ~fresh & (vertex[head] & _ROLE == PROBE)
+            linked = met & (vertex[head] | _ROLE != vertex | _ROLE)
             if linked.any():
-                star = np.unique(np.stack([vertex[head][linked], vertex[linked], band[linked].astype(np.int64)], 1), axis=0)
-                yield batch_of(star[:, 2], star[:, 0], star[:, 1], np.full(len(star), EDGE))
+                star = np.unique(np.stack([vertex[head][linked] | _ROLE, vertex[linked] & ~_ROLE | EDGE], 1), axis=0)
+                yield batch_of(star[:, 0], star[:, 1])
             rest = np.flatnonzero(~met)
             for at in range(0, len(rest), 200_000):
-                part = rest[at : at + 200_000]
-                yield batch_of(band[part], key[part], vertex[part], role[part])
+                yield batch_of(key[rest[at : at + 200_000]], vertex[rest[at : at + 200_000]])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, lead, probed = None, 0, False
         for batch in batches:
-            band, key, vertex, role = (c.to_numpy() for c in batch.columns)
-            done = role == EDGE
-            out = [np.stack([band[done], key[done], vertex[done]], 1)]
-            band, key, vertex, role = (x[~done] for x in (band, key, vertex, role))
+            key, vertex = (c.to_numpy() for c in batch.columns)
+            done = vertex & _ROLE == EDGE
+            out = [np.stack([key[done], vertex[done]], 1)]
+            key, vertex = key[~done], vertex[~done]
             if len(key):
                 fresh = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
                 head = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
                 first = np.where(head >= 0, vertex[head], lead)
-                ask = np.where(head >= 0, role[head] == PROBE, probed)
-                linked = ~fresh & ask & (first != vertex)
-                out.append(np.stack([band[linked], first[linked], vertex[linked]], 1))
+                ask = np.where(head >= 0, vertex[head] & _ROLE == PROBE, probed)
+                linked = ~fresh & ask & (first | _ROLE != vertex | _ROLE)
+                out.append(np.stack([first[linked], vertex[linked]], 1))
                 last_key, lead, probed = key[-1], int(first[-1]), bool(ask[-1])
-            rows = np.unique(np.concatenate(out).astype(np.int64), axis=0)
+            rows = np.unique(np.concatenate(out) & ~_ROLE, axis=0)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["band", "a", "b"])
+                band = ((rows[:, 1] & _BAND) >> 2).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(rows[:, 0] & ~1023), pa.array(rows[:, 1] & ~1023)], names=["band", "a", "b"])
 
-    rows = docs.select("text").mapInArrow(emit, fields)
-    dealt = rows.repartition("key").sortWithinPartitions("key", F.desc("role"), "vertex")
+    rows = docs.select("text").mapInArrow(emit, "key bigint, vertex bigint")
+    probes_first = F.col("vertex").bitwiseAND(F.lit(_ROLE)).desc()
+    dealt = rows.repartition("key").sortWithinPartitions("key", probes_first, "vertex")
     return dealt.mapInArrow(meet, "band int, a bigint, b bigint")
 
 
@@ -348,9 +347,9 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def _half_digest(column: str):
-    """The first eight bytes, little end first, as a signed number."""
+    """The bits of a digest that a vertex has: of its first eight bytes, little end first."""
     bytes_of = [F.hex(F.substring(column, i, 1)) for i in range(8, 0, -1)]
-    return F.conv(F.concat(*bytes_of), 16, -10).cast("bigint")
+    return F.conv(F.concat(*bytes_of), 16, -10).cast("bigint").bitwiseAND(F.lit(~1023))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
