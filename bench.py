@@ -11,9 +11,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from lakeqa.workload.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
-    "linearize_csv tokenize vocab_normalize lexical_postings bm25_topk bm25_stemmed dense_topk "
-    "dense_passages zoom_two_stage rerank_merge context_budget parse_answer cache_lookup "
-    "complete_requests cost_per_query topk_accuracy answer_metrics split_easy_hard run_record "
+    "linearize_csv linearize_json tokenize vocab_normalize lexical_postings bm25_stats bm25_topk "
+    "bm25_two_field bm25_stemmed dense_topk dense_accuracy dense_passages zoom_requests zoom_two_stage "
+    "rerank_requests rerank_merge context_assemble context_budget parse_answer cache_lookup cache_misses "
+    "complete_requests cost_per_query cost_estimate topk_accuracy answer_metrics split_easy_hard run_record "
+    "report_flat "
     "report_pivot ranked_accuracy answered_run"
 ).split()
 

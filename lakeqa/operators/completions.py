@@ -37,10 +37,10 @@ def known_responses(store: DataFrame) -> DataFrame:
 def look_up(requests: DataFrame, store: DataFrame) -> DataFrame:
     """Requests (with digests) with their stored ``response``, null where there is none.
 
-    The store has one response per request: only misses are ever completed and appended. Both
-    sides of the join are plain scans, so AQE can split a request that is repeated very often.
+    Responses that several writers or a repeated append stored for one request count once, so no
+    request is doubled.
     """
-    return requests.join(store.select(*_KEYS, "response"), _KEYS, "left")
+    return requests.join(known_responses(store), _KEYS, "left")
 
 
 def misses(requests: DataFrame, store: DataFrame) -> DataFrame:

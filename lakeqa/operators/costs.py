@@ -58,10 +58,20 @@ def response_costs(
         "model", F.col("response.model")
     )
     # The price list has one row per model.
-    priced = answered.join(F.broadcast(price_list), "model").withColumn("cost", cost)
+    priced = _with_prices(answered, price_list).withColumn("cost", cost)
     return priced.drop(*[c for c in price_list.columns if c != "model"])
 
 
+def _with_prices(rows: DataFrame, price_list: DataFrame) -> DataFrame:
+    """Rows with the prices of their ``model``; one that the list lacks is an error, not free of charge."""
+    unknown = F.raise_error(F.concat(F.lit("no price for model "), F.coalesce("model", F.lit("null"))))
+    absent = F.col("input_usd").isNull()
+    dollars = [c for c in price_list.columns if c.endswith("_usd")]
+    return rows.join(F.broadcast(price_list), "model", "left").withColumns(
+        {c: F.when(absent, unknown.cast("double")).otherwise(F.col(c)) for c in dollars}
+    )
+
+
 def cost_per_question(costs: DataFrame, questions: DataFrame) -> DataFrame:
     """``(run_id, total_cost, num_questions, cost_per_question)``; each relation is pre-aggregated."""
     spent = costs.groupBy("run_id").agg(F.sum("cost").alias("total_cost"))
@@ -89,7 +99,7 @@ def estimate_costs(
     )
     return (
         requests.withColumn("model", F.col("request.model"))
-        .join(F.broadcast(price_list), "model")
+        .transform(_with_prices, price_list)
         .withColumn("input_tokens", input_tokens(F.col("request.messages"), token_count))
         .withColumn("output_limit", F.coalesce(*limits, left).cast("bigint"))
         .withColumn("max_usage", F.col("input_tokens") + F.col("output_limit"))

@@ -13,6 +13,8 @@ are computed from the text on the way to the join (nothing is shuffled for them)
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from lakeqa.functions import text as text_functions
@@ -44,6 +46,8 @@ class LexicalIndex:
     # function from distinct terms to (term, normal), for the questions
     normalizer: object = None
     stop_words: tuple = ()
+    # whether the postings of a table follow each other in one partition
+    by_table: bool = False
 
 
 def field_words(
@@ -152,7 +156,7 @@ def build_index(
     term_stats, field_stats, below_zero = statistics(counted, num_docs)
     return LexicalIndex(
         docs, postings, term_stats, field_stats, len(fields), below_zero, num_docs, vocabulary,
-        normalizer, tuple(stop_words),
+        normalizer, tuple(stop_words), True,
     )
 
 
@@ -246,26 +250,131 @@ def _match(index: LexicalIndex, postings: DataFrame, weights: DataFrame, small:
     )
 
 
-def score_matches(index: LexicalIndex, terms: DataFrame, small: bool | None = None) -> DataFrame:
-    """``(query_id, ord, score)`` of every table sharing a word with the question.
+def _small_terms(index: LexicalIndex, terms: DataFrame) -> bool:
+    """Weights are the question terms plus three numbers per field, so measuring the terms bounds them too."""
+    return fits_broadcast(terms, BROADCAST_BYTES // (4 * index.num_fields))
 
-    Scores of several fields are averaged: added up and divided by the number of fields. Weights
-    are the question terms plus three numbers per field, so measuring the terms bounds them too.
-    """
-    if small is None:
-        small = fits_broadcast(terms, BROADCAST_BYTES // (4 * index.num_fields))
-    weights = (
+
+def _weights(index: LexicalIndex, terms: DataFrame, small: bool) -> DataFrame:
+    return (
         index.term_stats.join(F.broadcast(terms) if small else terms, "term")
         .join(F.broadcast(index.field_stats.select("field", "avg_len")), "field")
         .select(
             "field", "term", "query_id", "avg_len", (F.col("qtf") * F.col("idf")).alias("weight")
         )
     )
+
+
+def best_in_tasks(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame | None:
+    """``(query_id, ord, score)``: the best ``k`` matches of every question in every task.
+
+    A table's postings follow each other where they are made from its text, so a task adds up whole
+    scores as they pass by and keeps ``k`` for each question; nothing else is moved. The weights go
+    to the tasks; None if they, or the asked part of the vocabulary, are too many for that.
+    """
+    asked = terms.select("term").distinct()
+    rows = index.postings
+    if index.vocabulary is None:
+        rows = rows.join(F.broadcast(asked), "term", "left_semi")
+    else:
+        known = index.vocabulary.join(asked.withColumnRenamed("term", "normal"), "normal", "left_semi")
+        if not fits_broadcast(known):
+            return None
+        rows = rows.join(F.broadcast(known), "term").withColumn("term", F.col("normal"))
+    found = sorted(tuple(r) for r in _weights(index, terms, True).collect())
+    questions = sorted({r[2] for r in found})
+    number = {q: i for i, q in enumerate(questions)}
+    spans: dict[str, dict[str, tuple[int, int]]] = {}
+    lengths: dict[str, float] = {}
+    for at, (field, term, _, avg_len, _) in enumerate(found):
+        lengths[field] = avg_len
+        begin = spans.setdefault(field, {}).get(term, (at, at))[0]
+        spans[field][term] = (begin, at + 1)
+    asking = np.array([number[r[2]] for r in found], np.int64)
+    weight = np.array([r[4] for r in found], np.float64)
+    num_fields = index.num_fields
+
+    def score(rows: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        """Sums by question and table of whole tables' postings."""
+        whom, what, value = [], [], []
+        for field, begin, size, ords, counts in rows:
+            reps = np.repeat(np.arange(len(ords)), size)
+            at = np.arange(len(reps)) - np.repeat(np.cumsum(size) - size, size) + begin[reps]
+            whom.append(asking[at])
+            what.append(ords[reps])
+            value.append(weight[at] * counts[reps])
+        whom, what, value = np.concatenate(whom), np.concatenate(what), np.concatenate(value)
+        order = np.lexsort((what, whom))
+        whom, what, value = whom[order], what[order], value[order]
+        first = np.flatnonzero(np.concatenate([[True], (whom[1:] != whom[:-1]) | (what[1:] != what[:-1])]))
+        return whom[first], what[first], np.add.reduceat(value, first) / num_fields
+
+    def best(batches):
+        import pandas as pd
+
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        rest = None
+
+        def take(frame):
+            nonlocal kept
+            # Words with one normal form count together.
+            summed = frame.groupby(["ord", "field", "term", "doc_len"], sort=False, as_index=False)["tf"].sum()
+            parts = []
+            for field, own in summed.groupby("field", sort=False):
+                place = own["term"].map(spans.get(field, {}))
+                own, place = own[place.notna()], place[place.notna()]
+                if len(own):
+                    bounds = np.array(place.tolist(), np.int64)
+                    tf, length = own["tf"].to_numpy(np.float64), own["doc_len"].to_numpy(np.float64)
+                    norm = K1 * (1 - B + B * length / lengths[field])
+                    parts.append((field, bounds[:, 0], bounds[:, 1] - bounds[:, 0], own["ord"].to_numpy(), tf * (K1 + 1) / (tf + norm)))
+            if not parts:
+                return
+            new = score(parts)
+            whom, what, value = (np.concatenate(pair) for pair in zip(kept, new, strict=True))
+            near = np.round(value, SCORE_DIGITS)
+            order = np.lexsort((what, -near, whom))
+            order = order[near[order] != 0]
+            whom = whom[order]
+            start = np.searchsorted(whom, whom)
+            cut = order[np.arange(len(order)) - start < k]
+            source = [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
+            kept = [x[cut] for x in source]
+
+        for batch in batches:
+            frame = batch.to_pandas()
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            # The last table may go on in the next batch.
+            open_from = int(np.flatnonzero(frame["ord"].to_numpy() != frame["ord"].iloc[-1])[-1:].sum() + 1) if frame["ord"].nunique() > 1 else 0
+            rest = frame.iloc[open_from:]
+            if open_from:
+                take(frame.iloc[:open_from])
+        if rest is not None and len(rest):
+            take(rest)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([questions[i] for i in kept[0].tolist()], pa.string()), pa.array(kept[1]), pa.array(kept[2])],
+            names=["query_id", "ord", "score"],
+        )
+
+    return rows.select("ord", "field", "term", "tf", "doc_len").mapInArrow(
+        best, "query_id string, ord bigint, score double"
+    )
+
+
+def score_matches(index: LexicalIndex, terms: DataFrame, small: bool | None = None) -> DataFrame:
+    """``(query_id, ord, score)`` of every table sharing a word with the question.
+
+    Scores of several fields are averaged: added up and divided by the number of fields.
+    """
+    if small is None:
+        small = _small_terms(index, terms)
+    weights = _weights(index, terms, small)
     matched = _match(index, _wanted_postings(index, terms), weights, small)
     norm = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    # All postings of a table come out of one row, so the partial sums before the exchange are
-    # already whole: one small row per question and matching table moves, and no text.
+    # One small row per question and matching table moves, and no text.
     return matched.groupBy("query_id", "ord").agg((F.sum(part) / index.num_fields).alias("score"))
 
 
@@ -323,11 +432,14 @@ def bm25_hits(questions: DataFrame, index: LexicalIndex, k: int = 100, fill: boo
     terms = question_terms(questions, index.stop_words, index.normalizer)
     if index.normalizer is not None:
         terms = cut_lineage(terms)
-    off_zero = score_matches(index, terms).where(F.round("score", SCORE_DIGITS) != 0)
     # Without scores below zero, a question's best k matches are all its matches whenever it has to
     # be filled, so only those are written.
     keep_all = fill and index.below_zero
-    matches = cut_lineage(off_zero if keep_all else rank_tables(off_zero, k))
+    small = _small_terms(index, terms)
+    scored = best_in_tasks(index, terms, k) if small and index.by_table and not keep_all else None
+    if scored is None:
+        scored = score_matches(index, terms, small).where(F.round("score", SCORE_DIGITS) != 0)
+    matches = cut_lineage(scored if keep_all else rank_tables(scored, k))
     if fill:
         matches = rank_tables(zero_fill(questions, matches, index.num_docs, k), k)
     # Ordinals back to ids for ranked rows only: at most k per question, so measuring the questions

@@ -65,8 +65,15 @@ def focus_text(sizes: Column) -> Column:
     return F.coalesce(F.array_join(parts, " "), F.lit(""))
 
 
-def report_rows(records: DataFrame, names) -> DataFrame:
-    """One row per run: components, stage sizes, metrics rounded to two digits, cost in cents."""
+def report_rows(records: DataFrame, names=None) -> DataFrame:
+    """One row per run: components, stage sizes, metrics rounded to two digits, cost in cents.
+
+    Without ``names`` the components are those that the layouts need and all that the runs' names hold.
+    """
+    if names is None:
+        named = records.select("run_id", F.col("config.config_name").alias("config_name"))
+        found = {r["component"] for r in component_names(named).collect()}
+        names = [*COMPONENTS, *sorted(found - {*COMPONENTS, "next_focus_sizes"})]
     return records.select(
         *[component(F.col("config.config_name"), n).alias(n) for n in names],
         focus_text(F.col("config.zoom.next_focus_sizes")).alias("next_focus_sizes"),
@@ -85,7 +92,7 @@ COMPONENTS = (
 def flat_report(records: DataFrame, experiment: str) -> DataFrame:
     """The rows of one experiment, its own columns, sorted on all of them."""
     columns = [*FLAT_REPORTS[experiment], *ACCURACIES, COST]
-    rows = report_rows(records, COMPONENTS).where(F.col("exp") == experiment)
+    rows = report_rows(records).where(F.col("exp") == experiment)
     return rows.select(*columns).orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in columns])
 
 
@@ -95,7 +102,7 @@ def pivot_report(records: DataFrame, experiment: str, models=MODELS) -> DataFram
     Each cell is the single value found for it, so the pivot is one grouping with no wide shuffle.
     """
     index, metrics = PIVOT_REPORTS[experiment]
-    rows = report_rows(records, COMPONENTS).where(F.col("exp") == experiment)
+    rows = report_rows(records).where(F.col("exp") == experiment)
 
     def cell(metric: str, model: str) -> Column:
         here = F.col("model") == model

@@ -23,14 +23,34 @@ def request_struct(
 
 
 def with_table_text(hits: DataFrame, tables_text: DataFrame) -> DataFrame:
-    """Hits with their table's text. Only tables that are hit survive before any text moves.
+    """Hits with their table's text; a table that the lake lacks is an error when the row is made.
 
-    Few hits (measured) are broadcast, so the table side stays in place. Otherwise both sides are
-    shuffled by table id, and AQE splits tables that are hit very often.
+    Of tables that share an id the last one counts. Only tables that are hit are moved.
     """
-    wanted = hits.select("query_id", "table_id", "rank")
-    return broadcast_if_small(wanted).join(
-        tables_text.select("table_id", "table_name", "table_content"), "table_id"
+    shown = hit_tables(hits, tables_text.select(*_order_of(tables_text), "table_id", "table_name", "table_content"))
+    joined = hits.select("query_id", "table_id", "rank").join(shown.withColumn("_there", F.lit(True)), "table_id", "left")
+    absent = F.raise_error(F.concat(F.lit("no table "), F.coalesce("table_id", F.lit("null")))).cast("string")
+    text = F.when(F.col("_there").isNull(), absent).otherwise(F.col("table_content"))
+    return joined.withColumn("table_content", text).drop("_there", "ord")
+
+
+def _order_of(tables: DataFrame) -> list[str]:
+    return ["ord"] if "ord" in tables.columns else []
+
+
+def hit_tables(hits: DataFrame, tables: DataFrame) -> DataFrame:
+    """The tables that ``hits`` name, one for each id: of those sharing it the last one in file order.
+
+    The distinct ids of the hits go to the tables (broadcast if measured small), so tables that are
+    not hit stay where they are; those that are meet on their id once.
+    """
+    ids = hits.where("table_id IS NOT NULL").select("table_id").distinct()
+    found = tables.join(broadcast_if_small(ids), "table_id", "left_semi").select(*tables.columns)
+    if "ord" not in tables.columns:
+        return found
+    last = F.max_by(F.struct(*[c for c in tables.columns if c != "table_id"]), "ord").alias("_last")
+    return found.groupBy("table_id").agg(last).select(
+        *[F.col("table_id") if c == "table_id" else F.col(f"_last.{c}").alias(c) for c in tables.columns]
     )
 
 
@@ -189,8 +209,8 @@ def question_requests(
     The prompt does not depend on the question, so a table hit by many questions is asked once.
     """
     wanted = hits.where(F.col("rank") <= num_rerank).select("table_id").distinct()
-    tables = tables_text.select("table_id", "table_name", "table_content").join(
-        broadcast_if_small(wanted), "table_id", "left_semi"
+    tables = hit_tables(
+        wanted, tables_text.select(*_order_of(tables_text), "table_id", "table_name", "table_content")
     )
     values = {"table_id": F.col("table_id"), "table": F.col("table_content")}
     if dataset == "aitqa":

@@ -4,20 +4,48 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakeqa.functions import linearize as L
 from lakeqa.operators import costs, evaluate, ranking, report, requests as R
-from lakeqa.scale import cut_lineage
+from lakeqa.scale import broadcast_if_small, cut_lineage
+
+
+def by_position(questions: DataFrame) -> DataFrame:
+    """Questions under their position instead of their id, which several may share."""
+    return questions.withColumn("query_id", F.col("query_ord").cast("string"))
+
+
+def by_id(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """Rows of positions under ``query_ord`` and the ids of ``questions`` again."""
+    ids = questions.select(F.col("query_ord").cast("string").alias("_at"), "query_ord", F.col("query_id").alias("_id"))
+    named = rows.withColumnRenamed("query_id", "_at").join(broadcast_if_small(ids), "_at")
+    return named.withColumnRenamed("_id", "query_id").drop("_at")
 
 
 def ranked_tables(questions: DataFrame, tables: DataFrame, retriever, zoom=None, reranker=None) -> DataFrame:
     """``hits`` after all ranking stages, with reciprocal-rank scores after each of them."""
-    hits = ranking.reciprocal_rank(retriever(questions, tables))
+    return _ranked(questions, tables, retriever, zoom, reranker)[0]
+
+
+def _ranked(questions, tables, retriever, zoom, reranker) -> tuple[DataFrame, DataFrame]:
+    """Hits, and the tables that retrieval hit, written once: no later stage reads the lake again."""
+    hits = cut_lineage(ranking.reciprocal_rank(retriever(questions, tables)))
+    if retriever.mode == "closed-book":
+        return hits, tables
+    met = cut_lineage(R.hit_tables(hits, tables))
     for stage in (zoom, reranker):
         if stage is not None:
-            hits = ranking.reciprocal_rank(stage(questions, hits))
-    return hits
+            hits = ranking.reciprocal_rank(stage(questions, hits, met))
+    return cut_lineage(hits), met
 
 
 def gold(questions: DataFrame) -> DataFrame:
-    return questions.select("query_id", "table_id", F.lit(1).alias("rel"))
+    return questions.where("table_id IS NOT NULL").select("query_id", "table_id", F.lit(1).alias("rel"))
+
+
+def scored_run(hits: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits and gold pairs as a run is scored: of questions that share an id, the last one's."""
+    latest = questions.groupBy("query_id").agg(F.max("query_ord").alias("query_ord"))
+    kept = questions.join(latest, ["query_id", "query_ord"])
+    own = hits.join(latest, ["query_id", "query_ord"])
+    return ranking.last_question_only(own), gold(kept)
 
 
 def answered_questions(
@@ -44,13 +72,17 @@ def run_experiment(
     questions: DataFrame, tables: DataFrame, retriever, generator, model: str, dataset: str,
     zoom=None, reranker=None, **settings,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(hits, accuracies, answer scores per question)``; the mode follows from the retriever."""
-    hits = cut_lineage(ranked_tables(questions, tables, retriever, zoom, reranker))
-    accuracies = evaluate.top_k_accuracy(hits, gold(questions))
-    answers = answered_questions(
-        questions, tables, hits, retriever.mode, generator, model, dataset, **settings
-    )
-    return hits, accuracies, evaluate.answer_scores(answers)
+    """``(hits, accuracies, answer scores per question)``; the mode follows from the retriever.
+
+    A question is its position ``query_ord`` all along; ids, which several questions may share, come
+    back at the end, and only the scoring of the retrieval goes by them.
+    """
+    asked = by_position(questions)
+    hits, met = _ranked(asked, tables, retriever, zoom, reranker)
+    answers = answered_questions(asked, met, hits, retriever.mode, generator, model, dataset, **settings)
+    named = by_id(hits, questions)
+    accuracies = evaluate.top_k_accuracy(*scored_run(named, questions))
+    return named, accuracies, by_id(evaluate.answer_scores(answers), questions)
 
 
 def split_questions(

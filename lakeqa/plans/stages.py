@@ -1,8 +1,8 @@
 """Interchangeable stages: functions that are bound to their settings once and then applied.
 
     retriever   (questions, tables) -> hits
-    zoom        (questions, hits)   -> hits
-    reranker    (questions, hits)   -> hits
+    zoom        (questions, hits, tables) -> hits    tables: those that were hit, else the bound ones
+    reranker    (questions, hits, tables) -> hits
     generator   (requests)          -> answers
     exchange    (requests)          -> requests with responses
 """
@@ -85,7 +85,7 @@ def store_exchange(path: str, complete_batch=None, num_tasks: int | None = None)
 
 
 def no_zoom():
-    return lambda questions, hits: hits
+    return lambda questions, hits, tables=None: hits
 
 
 def check_stages(num_zoom: int, stages) -> None:
@@ -103,8 +103,10 @@ def row_zoom(
     """Let a model pick tables from a few rows of each, in ever smaller circles."""
     check_stages(num_zoom, stages)
 
-    def zoom(questions: DataFrame, hits: DataFrame) -> DataFrame:
-        focus = num_zoom
+    lake = tables
+
+    def zoom(questions: DataFrame, hits: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+        tables, focus = lake if tables is None else tables, num_zoom
         for stage in stages:
             # Each stage's hits are written once: the next stage, its requests and the reordering
             # all read them, and no model call is ever repeated by a recomputation.
@@ -125,7 +127,7 @@ def row_zoom(
 
 
 def no_reranker():
-    return lambda questions, hits: hits
+    return lambda questions, hits, tables=None: hits
 
 
 def parse_generated(hits: DataFrame, replies: DataFrame, num_rerank: int) -> DataFrame:
@@ -154,7 +156,10 @@ def question_reranker(
 ):
     """Let a model invent questions per table and rank tables by the one closest to the asked one."""
 
-    def rerank(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    lake = tables
+
+    def rerank(questions: DataFrame, hits: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+        tables = lake if tables is None else tables
         hits = cut_lineage(hits)
         asked = R.question_requests(
             hits, L.linearize(tables, linearization), num_rerank, dataset, model

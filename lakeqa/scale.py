@@ -77,9 +77,3 @@ def join_to_unique(
         "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1))
     )
     return cut_rows.drop("_slices").join(copies.drop("_slices"), [*keys, "_slice"], how).drop("_slice")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on inputs with fewer splits than cores; inputs with many splits stay in place."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

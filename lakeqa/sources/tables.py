@@ -13,29 +13,40 @@ def _check(dataset: str) -> None:
         raise ValueError(f"dataset must be one of {DATASETS}")
 
 
-def with_ordinals(df: DataFrame, name: str = "ord") -> DataFrame:
-    """Number rows 0..n-1 in file order, without moving them.
+def with_ordinals(df: DataFrame, name: str = "ord", place: tuple[str, ...] = ()) -> DataFrame:
+    """Number rows 0..n-1 without moving them, in the order of the columns ``place`` of their splits.
 
-    Row counts per input partition (one small row each) give every partition its first number.
+    Row counts per split (one small row each) give every split its first number. ``place`` says
+    where a split starts, the same for all its rows; without it partitions count in their order.
     The input must read the same way twice, as files and written tables do.
     """
+    keys = [*place, "_part"]
     placed = df.withColumn("_part", F.spark_partition_id()).withColumn(
         "_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     )
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    counts = placed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     starts = counts.selectExpr(
-        "_part",
-        "coalesce(sum(_n) over (order by _part rows between unbounded preceding and 1 preceding), 0)"
+        *keys,
+        "_first",
+        f"coalesce(sum(_n) over (order by {', '.join(keys)} rows between unbounded preceding and 1 preceding), 0)"
         " as _start",
     )
-    # One row per input partition: bounded by the number of files, whatever the row count.
+    # One row per split: bounded by the bytes of the files, whatever the row count.
     return (
-        placed.join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + F.col("_at"))
-        .drop("_part", "_at", "_start")
+        placed.join(F.broadcast(starts), keys)
+        .withColumn(name, F.col("_start") + F.col("_at") - F.col("_first"))
+        .drop(*keys, "_at", "_first", "_start")
     )
 
 
+def _read_in_order(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of JSON lines, numbered by file path and place in the file, however Spark splits the files."""
+    rows = spark.read.schema(schema).json(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+    return with_ordinals(rows, place=("_file", "_block"))
+
+
 def normalize_tables(tables: DataFrame, dataset: str) -> DataFrame:
     """``(ord, dataset, table_id, table_name, column_header, row_header, data)`` from either form."""
     _check(dataset)
@@ -69,7 +80,7 @@ def read_tables(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """Read lake tables from JSON lines; file order becomes ``ord``."""
     _check(dataset)
     schema = schemas.AITQA_TABLE if dataset == "aitqa" else schemas.NQ_TABLE
-    return normalize_tables(with_ordinals(spark.read.schema(schema).json(path)), dataset)
+    return normalize_tables(_read_in_order(spark, path, schema), dataset)
 
 
 def last_of_each_id(tables: DataFrame) -> DataFrame:
@@ -121,10 +132,13 @@ def normalize_questions(questions: DataFrame, dataset: str) -> DataFrame:
 def read_questions(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     _check(dataset)
     schema = schemas.AITQA_QUESTION if dataset == "aitqa" else schemas.NQ_QUESTION
-    return normalize_questions(with_ordinals(spark.read.schema(schema).json(path)), dataset)
+    return normalize_questions(_read_in_order(spark, path, schema), dataset)
 
 
 def sample_questions(questions: DataFrame, num_questions: int, seed: int) -> DataFrame:
-    """A repeatable sample: order by a seeded digest, keep the first ones (all if there are fewer)."""
+    """A repeatable sample: order by a seeded digest, keep the first ones (all if there are fewer).
+
+    Questions that share an id follow each other by position."""
     digest = F.md5(F.concat(F.col("query_id"), F.lit(f"-{seed}")))
-    return questions.orderBy(digest, "query_id").limit(num_questions)
+    place = [c for c in ("query_ord",) if c in questions.columns]
+    return questions.orderBy(digest, "query_id", *place).limit(num_questions)

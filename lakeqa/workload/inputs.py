@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeqa.functions import text as text_functions
 from lakeqa.operators import completions, requests as R
-from lakeqa.scale import broadcast_if_small, spread
+from lakeqa.scale import broadcast_if_small
 from lakeqa.sources import tables as table_sources
 
 MODEL = "gpt-4o-mini-2024-07-18"
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on the test files, which are one split each. Fewer than 8 splits hold no more
+    than 8 of a split's bytes, so nothing large is ever moved; larger inputs stay in place."""
+    return df.repartition(8) if df.rdd.getNumPartitions() < 8 else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as linearized lake tables; ``doc_id`` runs from 0 without gaps."""
     return spread(table(spark, sf_dir, "documents")).select(
@@ -92,7 +98,8 @@ def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(query_id, table_id, rel)``: tables whose text contains the whole question.
 
     Candidates meet on the question's longest inner word, which any such text must have as a word;
-    the containment itself is then checked on the candidates' whole texts.
+    the containment itself is then checked on the candidates' whole texts. Questions of one or two
+    words have no inner word and are looked for in every text, in place.
     """
     inner = text_functions.words(F.col("query_text"))
     anchored = passages(spark, sf_dir).select(
@@ -106,23 +113,39 @@ def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )["w"].alias("word"),
     )
     tables = corpus(spark, sf_dir)
+    long = anchored.where("word IS NOT NULL")
     candidates = tables.select(
         "ord", F.explode(F.array_distinct(text_functions.words(F.col("table_content")))).alias("word")
-    ).join(broadcast_if_small(anchored), "word")
-    return (
-        candidates.join(tables, "ord")
-        .where(F.contains("table_content", F.col("query_text")))
-        .select("query_id", "table_id", F.lit(1).alias("rel"))
+    ).join(broadcast_if_small(long), "word")
+    # The candidates move to the texts, not the texts to them.
+    found = broadcast_if_small(candidates.drop("word")).join(tables, "ord")
+    short = anchored.where("word IS NULL").select("query_id", "query_text")
+    if not short.isEmpty():
+        asked = [F.struct(*[F.lit(v) for v in (r["query_id"], r["query_text"])]) for r in short.collect()]
+        each = F.explode(F.array(*asked)).alias("q")
+        found = found.select("query_id", "query_text", "table_id", "table_content").unionByName(
+            tables.select("table_id", "table_content", each).select(
+                F.col("q.col1").alias("query_id"), F.col("q.col2").alias("query_text"), "table_id", "table_content"
+            )
+        )
+    return found.where(F.contains("table_content", F.col("query_text"))).select(
+        "query_id", "table_id", F.lit(1).alias("rel")
     )
 
 
 def questions_with_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with one gold table, the first of those containing them, and their ground truth."""
+    return questions_and_gold(spark, sf_dir).where("table_id IS NOT NULL")
+
+
+def questions_and_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions; those that no table contains have no gold table, and ``none`` as the truth."""
     first = gold_pairs(spark, sf_dir).groupBy("query_id").agg(
         F.min(F.col("table_id").cast("bigint")).cast("string").alias("table_id")
     )
-    return passages(spark, sf_dir).join(first, "query_id").withColumn(
-        "ground_truth", F.array(F.col("table_id"), F.concat(F.lit("table "), F.col("table_id")))
+    known = F.array(F.col("table_id"), F.concat(F.lit("table "), F.col("table_id")))
+    return passages(spark, sf_dir).join(first, "query_id", "left").withColumn(
+        "ground_truth", F.when(F.col("table_id").isNotNull(), known).otherwise(F.array(F.lit("none")))
     )
 
 

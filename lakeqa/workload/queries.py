@@ -117,7 +117,7 @@ def questions_normalized(spark, sf_dir):
 
 @query
 def sample_questions(spark, sf_dir):
-    return table_sources.sample_questions(I.passages(spark, sf_dir), 300, 230032298)
+    return table_sources.sample_questions(I.passages(spark, sf_dir), 15, 230032298)
 
 
 # Words and the lexical index
@@ -708,7 +708,7 @@ def answered_run(spark, sf_dir):
     exchange = stages.store_exchange(path, pick_and_answer)
     tables = lines_lake(spark, sf_dir)
     _, _, scored = experiment.run_experiment(
-        cut_lineage(I.questions_with_gold(spark, sf_dir)),
+        cut_lineage(I.questions_and_gold(spark, sf_dir)),
         tables,
         stages.bm25_retriever(separate_names=False),
         stages.completion_generator(exchange),
@@ -717,3 +717,33 @@ def answered_run(spark, sf_dir):
         zoom=stages.row_zoom(tables, exchange, I.MODEL),
     )
     return scored.select("query_id", "was_cut", "prediction", "exact_match", six("f1_score"), "relaxed_match")
+
+
+@query
+def repeated_ids_run(spark, sf_dir):
+    """A run whose questions share ids and whose tables share ids; each question is answered once.
+
+    One question has a single word, one has two. Of tables with one id the last is shown.
+    """
+    path = new_shared_path(spark, "responses")
+    store.create_response_store(spark, path)
+    position = F.col("query_ord")
+    short = F.when(position == 0, F.lit("the")).when(position == 1, F.lit("to the")).otherwise(F.col("query_text"))
+    asked = I.questions_and_gold(spark, sf_dir).select(
+        "query_ord",
+        F.concat(F.lit("q"), (position % 7).cast("string")).alias("query_id"),
+        short.alias("query_text"),
+        (F.col("table_id").cast("bigint") % 100).cast("string").alias("table_id"),
+        "ground_truth",
+    )
+    number = (F.col("ord") % 100).cast("string")
+    tables = lines_lake(spark, sf_dir).withColumn("table_id", number)
+    _, _, scored = experiment.run_experiment(
+        cut_lineage(asked),
+        tables,
+        stages.bm25_retriever(separate_names=False),
+        stages.completion_generator(stages.store_exchange(path, pick_and_answer)),
+        I.MODEL,
+        "nqtables",
+    )
+    return scored.select("query_ord", "query_id", "was_cut", "prediction")
