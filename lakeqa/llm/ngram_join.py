@@ -15,9 +15,10 @@ from lakeqa.scale import cut_lineage
 
 WORDS = 3
 PERCENT = 90
-# Segments whose one-deletion neighbourhoods are indexed, and the chance, for the cost of a lookup,
-# that a document without a common origin has a given shingle.
+# Segments whose one-deletion neighbourhoods are indexed; one in how many segments is spare; and the
+# chance, for the cost of a lookup, that a document without a common origin has a given shingle.
 DELETION_SEGMENTS = 1
+SPARE_SHARE = 8
 SHARED_CHANCE = 0.3
 # A task checks at most two blocks of a family against each other.
 BLOCK_SHINGLES = 2_000_000
@@ -76,25 +77,33 @@ def differences(band: int, percent: int) -> int:
     return (100 - percent) * 2 * largest // (100 + percent)
 
 
-def allocation(sizes: np.ndarray, deletable: int) -> np.ndarray:
-    """Threshold of each segment for a probe: 0 by default, so one more than the differences in all.
+def spare_segments(most: int) -> int:
+    """Segments beyond one more than the differences: so many may each set give up."""
+    return 1 + (most + 1) // SPARE_SHARE
 
-    A segment that many sets share by chance (few shingles in it) is given up, -1, if another can
-    take one deletion, 1, at less cost; the sum stays, and with it the pigeonhole. Costs are chances
-    of meeting a set without a common origin, over all the lookups.
+
+def allocation(sizes: np.ndarray, deletable: int, spare: int) -> np.ndarray:
+    """Threshold of each segment for a probe; with one added to each they sum to one more than the differences.
+
+    The ``spare`` segments that most sets share by chance (those with the fewest shingles) are given
+    up, -1; the others are looked up exactly, 0. Of these, one more is given up for each segment that
+    can take one deletion, 1, at less cost; the sum stays, and with it the pigeonhole. Costs are
+    chances of meeting a set without a common origin, over all the lookups.
     """
     thresholds = np.zeros(len(sizes), np.int64)
     exact = SHARED_CHANCE ** sizes.astype(float)
-    spare = sorted(range(deletable), key=lambda i: -sizes[i])
+    thresholds[np.argsort(sizes, kind="stable")[:spare]] = -1
+    exact[thresholds < 0] = 0
+    wide = sorted((i for i in range(deletable) if not thresholds[i]), key=lambda i: -sizes[i])
     for i in np.argsort(-exact, kind="stable").tolist():
-        if not spare:
+        if not wide:
             break
-        j = spare[0]
+        j = wide[0]
         wider = (sizes[j] + 1) * SHARED_CHANCE ** max(0.0, float(sizes[j]) - 1)
         if i == j or thresholds[i] or exact[i] <= wider:
             break
         thresholds[i], thresholds[j] = -1, 1
-        spare.pop(0)
+        wide.pop(0)
     return thresholds
 
 
@@ -109,7 +118,8 @@ def keys_of(shingles: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, n
         most = differences(band, percent)
         if most == 0:
             continue  # linked sets are equal here
-        parts = most + 1
+        spare = spare_segments(most)
+        parts = most + 1 + spare
         segment = ((_mix(shingles * _M1) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         weights = _mix(shingles[order] + _M3)
@@ -121,7 +131,7 @@ def keys_of(shingles: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, n
         deletable = min(DELETION_SEGMENTS, parts)
         exact, everywhere = key(content, slice(None)), np.arange(parts)
         keys, roles = [exact], [np.full(parts, INDEX)]
-        thresholds = allocation(np.diff(bounds), deletable) if band == own else None
+        thresholds = allocation(np.diff(bounds), deletable, spare) if band == own else None
         if thresholds is not None:
             roles[0] = np.where(thresholds[everywhere] >= 0, PROBE, INDEX)
         for j in range(deletable):

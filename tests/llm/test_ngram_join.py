@@ -96,9 +96,11 @@ def test_linked_sets_meet_under_a_probed_key():
 
 def test_allocation_keeps_the_sum():
     for sizes in ([0, 9, 9], [9, 0, 0, 0], [1], [5, 5], [0, 0]):
-        sizes = np.array(sizes)
-        assert (J.allocation(sizes, 1) + 1).sum() == len(sizes)
-    assert J.allocation(np.array([9, 0, 9]), 1).tolist() == [1, -1, 0]
+        for spare in range(len(sizes)):
+            found = J.allocation(np.array(sizes), 1, spare)
+            assert (found + 1).sum() == len(sizes) - spare and found.min() >= -1
+    assert J.allocation(np.array([9, 0, 9]), 1, 0).tolist() == [1, -1, 0]
+    assert J.allocation(np.array([9, 0, 9, 1]), 1, 1).tolist() == [1, -1, 0, -1]
 
 
 def test_one_of_each_group_stays(spark):
