@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
 from collections import Counter
@@ -27,24 +26,27 @@ SEEN_SIZES = 4
 GATES = 8 * (len(ORDERS) + 1) * SEEN_SIZES
 STEPS = 33  # places of the refinement's table between stretched chances of -8 and 8
 CHUNK = 4 << 20
-# Words that every task holds; the counts of all others are met by a join.
-HELD_WORDS = 200_000
+SCORE_CHUNK = 1 << 20
+# Words that every task holds (16 bytes each); the counts of all others are met by a join.
+HELD_WORDS = 1_500_000
 END_WORD = b" "  # no word holds a space
-LONGEST_KEY = 48
+WORD, GRAM = 0, 1
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
-def word_key(word: bytes) -> bytes:
-    """The word, or a digest where it is long."""
-    return word if len(word) <= LONGEST_KEY else b"\t" + hashlib.sha256(word).digest()
+def word_keys(words) -> np.ndarray:
+    """64-bit digests; words are told apart by them."""
+    from xxhash import xxh3_64_intdigest
 
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64).view(np.int64)
 
-def chunks_of(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK bytes together."""
+
+def chunks_of(bodies: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes together."""
     first, held = 0, 0
     for i, body in enumerate(bodies):
         held += len(body)
-        if held >= CHUNK:
+        if held >= size:
             yield first, i + 1
             first, held = i + 1, 0
     if first < len(bodies):
@@ -95,6 +97,8 @@ class MixModel:
 
     def __setstate__(self, state):
         self.__dict__ = state | {"counts": np.frombuffer(zlib.decompress(state["counts"]), np.int32)}
+        self.nodes()
+        self.counts = None  # in tasks only the nodes are used
 
     def nodes(self) -> tuple[np.ndarray, np.ndarray]:
         """Of every page and every node of its binary tree: how often 0 and 1 followed."""
@@ -220,20 +224,25 @@ def count_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             bodies = _lowered(batch.column(0))
             words: Counter = Counter()
-            for first, last in chunks_of(bodies):
+            for first, last in chunks_of(bodies, CHUNK):
                 part = bodies[first:last]
                 for body in part:
                     words.update(body.split())
                 grams, counts = np.unique(windows_of(part)[0], return_counts=True)
-                none = pa.nulls(len(grams), pa.binary())
-                yield pa.RecordBatch.from_arrays([none, pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], names=["word", "gram", "n"])
+                yield rows_of(GRAM, grams.view(np.int64), counts)
             words[END_WORD] += len(bodies)
-            keys = [word_key(w) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "gram", "n"])
+            yield rows_of(WORD, word_keys(words), np.fromiter(words.values(), np.int64))
+
+    def rows_of(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(counts, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "n"])
 
-    rows = docs.select("text").mapInArrow(gather, "word binary, gram bigint, n bigint")
-    sums = cut_lineage(rows.groupBy("word", "gram").agg(F.sum("n").alias("n")))
-    return sums.where("word IS NOT NULL").select("word", "n"), sums.where("gram IS NOT NULL").select("gram", "n")
+    rows = docs.select("text").mapInArrow(gather, "kind tinyint, key bigint, n bigint")
+    sums = cut_lineage(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    return (
+        sums.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n"),
+        sums.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n"),
+    )
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -257,9 +266,9 @@ def train_mixer(grams: DataFrame) -> MixModel:
             for k in range(len(ORDERS)):
                 upper, lower = _pages(windows, k)
                 slots = np.concatenate([upper * 16 + high, lower * 16 + low])
-                sums = np.bincount(slots, np.concatenate([counts, counts]), int(first[k + 1] - first[k]))
-                used = np.flatnonzero(sums)
-                yield pa.RecordBatch.from_arrays([pa.array(used + first[k], pa.int64()), pa.array(sums[used].astype(np.int64))], names=["slot", "n"])
+                used, place = np.unique(slots, return_inverse=True)
+                sums = np.bincount(place, np.concatenate([counts, counts]))
+                yield pa.RecordBatch.from_arrays([pa.array(used + first[k], pa.int64()), pa.array(sums.astype(np.int64))], names=["slot", "n"])
 
     sums = grams.mapInArrow(to_slots, "slot bigint, n bigint").groupBy("slot")
     found = sums.agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).select(F.col("slot").cast("int"), "n").toArrow()
@@ -271,9 +280,8 @@ def train_mixer(grams: DataFrame) -> MixModel:
         held = session.sparkContext.broadcast(model)
 
         def learn(batches: Iterator[pa.RecordBatch], held=held, rate=rate) -> Iterator[pa.RecordBatch]:
-            base = held.value
-            own = MixModel(base.counts)
-            own._nodes, own.weights = base.nodes(), base.weights.copy()
+            own = MixModel.__new__(MixModel)
+            own.__dict__ = held.value.__dict__ | {"weights": held.value.weights.copy()}
             load = np.zeros(GATES)
             for batch in batches:
                 load += own.train_online(*_arrays(batch), rate)
@@ -314,8 +322,9 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     of the lower-cased text's UTF-8 bytes and its end. Rows that repeat are scored each. Without
     training rows every count is 0 and the model is uniform.
 
-    The most frequent words, HELD_WORDS at most, go to every task; other words meet their counts in
-    a join, one row for each document and such word, so no key there is frequent in training.
+    Words are told apart by 64-bit digests. The most frequent ones, HELD_WORDS at most, go to every
+    task; the others meet their counts in a join, a row an occurrence, so no key there is frequent
+    in training.
     """
     words, grams = count_corpus(training)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -327,53 +336,49 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
             break
         limit = row["size"]
     frequent = F.floor(F.log2("n")) >= limit
-    known = {bytes(r["word"]): math.log10(r["n"] + 1) for r in words.where(frequent).toLocalIterator()}
+    found = words.where(frequent).toArrow()
+    order = np.argsort(found.column("word").to_numpy())
+    known = found.column("word").to_numpy()[order], np.log10(found.column("n").to_numpy()[order] + 1.0)
     model = train_mixer(grams)
     context = docs.sparkSession.sparkContext
     shared, table = context.broadcast(model), context.broadcast(known)
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [c for c in docs.columns if c not in added]
     body = docs.select(*[F.col(f"`{c}`") for c in kept])
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
     names = [*kept, "_uid", "n_tokens", "_known", "_base", "score", "_rare"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, logs = shared.value, table.value
+        mixer, (keys, logs) = shared.value, table.value
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             bodies = _lowered(batch.column(batch.schema.get_field_index("text")))
-            for first, last in chunks_of(bodies):
+            for first, last in chunks_of(bodies, SCORE_CHUNK):
                 part = bodies[first:last]
                 windows, starts = windows_of(part)
                 codes, distinct = pd.factorize(windows)
                 scores = -np.add.reduceat(mixer.byte_costs(distinct)[codes], starts)
-                rows = []
-                for text in part:
-                    counted = Counter(text.split())
-                    counted[END_WORD] = 1
-                    base, found, rare = 0.0, 0, []
-                    for word, n in counted.items():
-                        if len(word) > LONGEST_KEY:
-                            word = word_key(word)
-                        log = logs.get(word)
-                        if log is None:
-                            rare.append({"word": word, "n": n})
-                        else:
-                            base += n * log
-                            found += n
-                    rows.append((uid, counted.total(), found, base, rare))
-                    uid += 1
-                uids, tokens, found, base, rare = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, pa.array(uids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, rare_type)], names=names)
+                split = [[*text.split(), END_WORD] for text in part]
+                sizes = np.array([len(w) for w in split], np.int64)
+                words_here = word_keys(w for own in split for w in own)
+                owner = np.repeat(np.arange(len(part)), sizes)
+                place = np.minimum(np.searchsorted(keys, words_here), max(0, len(keys) - 1))
+                there = keys[place] == words_here if len(keys) else np.zeros(len(place), bool)
+                base = np.bincount(owner[there], logs[place[there]], len(part))
+                found = np.bincount(owner[there], minlength=len(part))
+                bounds = np.concatenate([[0], np.cumsum(sizes - found)]).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(bounds), pa.array(words_here[~there]))
+                uids = uid + np.arange(len(part))
+                uid += len(part)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, pa.array(uids), pa.array(sizes), pa.array(found.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(scores), rare], names=names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema]
-    fields += ["_uid bigint", "n_tokens bigint", "_known bigint", "_base double", "score double", "_rare array<struct<word:binary,n:bigint>>"]
+    fields += ["_uid bigint", "n_tokens bigint", "_known bigint", "_base double", "score double", "_rare array<bigint>"]
     scored = cut_lineage(body.mapInArrow(score, ", ".join(fields)).drop("text"))
     met = (
-        scored.select("_uid", F.inline("_rare"))
-        .join(words.where(~frequent).withColumnRenamed("n", "c"), "word")
+        scored.select("_uid", F.explode("_rare").alias("word"))
+        .join(words.where(~frequent), "word")
         .groupBy("_uid")
-        .agg(F.sum("n").alias("_more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("_rest"))
+        .agg(F.count("*").alias("_more"), F.sum(F.log10(F.col("n") + 1)).alias("_rest"))
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
     size = math.log10(total["n"] + total["v"] + 1)

@@ -64,7 +64,7 @@ def test_windows_do_not_cross_texts():
 def test_chunks_do_not_change_scores(spark, monkeypatch):
     texts = corpus(3, 40)
     whole = {r["doc_id"]: r["score"] for r in M.score_texts(rows_of(spark, texts), rows_of(spark, texts)).collect()}
-    monkeypatch.setattr(M, "CHUNK", 100)
+    monkeypatch.setattr(M, "SCORE_CHUNK", 100)
     parts = {r["doc_id"]: r["score"] for r in M.score_texts(rows_of(spark, texts), rows_of(spark, texts)).collect()}
     assert whole.keys() == parts.keys() and all(math.isclose(whole[k], parts[k], rel_tol=1e-6) for k in whole)
 
