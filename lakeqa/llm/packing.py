@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -21,6 +22,72 @@ ROUNDS = 6
 LOOSE_SHARE = 0.002
 CACHE_WORDS = 400_000
 END_ID = 0
+_MARKS = b".,!?;:"
+
+
+class WordEncoder:
+    """Ids of words as bytes, each word encoded once.
+
+    Words of letters, the marks behind them apart, are encoded many at a time: their last token
+    ends with the vocabulary's mark of a word's end, so the ids can be told apart. Other words, and
+    all where the vocabulary has no such mark, are encoded one by one.
+    """
+
+    def __init__(self, definition: str):
+        from tokenizers import Tokenizer
+
+        self.encoder = Tokenizer.from_str(definition)
+        vocabulary = self.encoder.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        coded = self.encoder.encode_batch(texts, add_special_tokens=False)
+        return [np.array(c.ids, np.uint32).tobytes() for c in coded]
+
+    def _together(self, stems: list[bytes]) -> list[bytes]:
+        ids = np.array(self.encoder.encode(b" ".join(stems).decode(), add_special_tokens=False).ids, np.uint32)
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(stems) or ends[-1] != len(ids):
+            return self._one_by_one(stems)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, words: list[bytes]) -> None:
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
+        plan, others, tails = [], [], {b""}
+        for word in words:
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha():
+                key = stem.lower()
+            elif stem and not stem.isascii() and _letters(stem):
+                key = stem
+            else:
+                others.append(word)
+                continue
+            tails.add(word[len(stem) :])
+            plan.append((word, key, word[len(stem) :]))
+        fresh = [k for k in dict.fromkeys(k for _, k, _ in plan) if k not in self.stems]
+        for at in range(0, len(fresh), 500):
+            self.stems.update(zip(fresh[at : at + 500], self._together(fresh[at : at + 500]), strict=True))
+        for at in range(0, len(others), 5000):
+            self.words.update(zip(others[at : at + 5000], self._one_by_one(others[at : at + 5000]), strict=True))
+        ends = dict(zip(tails, self._one_by_one(list(tails)), strict=True))
+        for word, key, tail in plan:
+            self.words[word] = self.stems[key] + ends[tail]
+
+
+def _letters(stem: bytes) -> bool:
+    """Whether the tokenizer's normal form of this word is one run of letters, as the word is."""
+    try:
+        text = stem.decode()
+    except UnicodeDecodeError:
+        return False
+    return text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()
 
 
 def tokenize(
@@ -29,7 +96,7 @@ def tokenize(
     """Pieces of all documents (doc_id, text): uid, doc_id, piece, start, length, ids_crc32, and ids on request.
 
     ``tokenizer`` is the path of a tokenizers file whose ids never span white space; words are
-    looked up in a bounded cache and encoded once a task otherwise. A document is its ids and an
+    looked up in a bounded cache and encoded as they are met. A document is its ids and an
     end id; null text is empty. Only longer documents are cut, at multiples of ``capacity``. ``uid``
     tells rows apart where doc_ids repeat or are null; the pieces are written once, so it stays.
     """
@@ -42,27 +109,19 @@ def tokenize(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_str(definition.value)
-        known: dict[bytes, bytes] = {}
+        encoder = WordEncoder(definition.value)
+        known = encoder.words
         uid = TaskContext.get().partitionId() << 33
         end = np.uint32(END_ID).tobytes()
 
-        def learn(words: list[bytes]) -> None:
-            for at in range(0, len(words), 5000):
-                part = words[at : at + 5000]
-                texts = [w.decode("utf-8", "replace") for w in part]
-                for word, coded in zip(part, encoder.encode_batch(texts, add_special_tokens=False), strict=True):
-                    known[word] = np.array(coded.ids, np.uint32).tobytes()
-
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 split = [(b or b"").split() for b in part.column(1).cast(pa.binary()).to_pylist()]
+                distinct = dict.fromkeys(w for words in split for w in words)
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                learn([w for w in dict.fromkeys(w for words in split for w in words) if w not in known])
+                encoder.learn([w for w in distinct if w not in known])
                 rows = []
                 for doc_id, words in zip(part.column(0).to_pylist(), split, strict=True):
                     ids = b"".join(map(known.__getitem__, words)) + end
