@@ -98,6 +98,12 @@ def _loss(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(-((1 - doubt) * right + doubt * (logs.sum(1) - right) / max(1, logs.shape[1] - 1)).mean())
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _texts(column: pa.Array) -> list[str | None]:
     return [None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
 
@@ -113,7 +119,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, total = np.zeros(BINS, np.int64), 0
-        for batch in batches:
+        for batch in _parts(batches):
             for text in _texts(batch.column(0)):
                 sums[gram_counts(text)[0]] += 1
                 total += 1
@@ -139,7 +145,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     drawn = rows.where(F.pmod(digest, F.lit(scale)) < bound[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             counted = [gram_counts(t) for t in _texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([u.astype(np.uint16).tobytes() for u, _ in counted], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in counted], pa.binary())], names=["lang", "digest", "used", "counts"])
 
@@ -163,7 +169,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             found = [held.value.predict(t) for t in _texts(batch.column(batch.schema.get_field_index(text)))]
             arrays = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*kept, "lang_pred", "score"])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lakeqa.llm.components import connected
-from lakeqa.scale import cut_lineage
+from lakeqa.scale import broadcast_if_small, cut_lineage
 
 WORDS = 3
 PERCENT = 90
@@ -23,6 +23,7 @@ SHARED_CHANCE = 0.3
 # A task checks at most two blocks of a family against each other.
 BLOCK_SHINGLES = 2_000_000
 BLOCK_SETS = 2048
+SLICE_BYTES = 8 << 20
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -149,11 +150,19 @@ def _bodies(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes, or of one row that is larger."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
     """Written: doc_id, n (size of the set), digest of the set, for every row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles_of(b, words) for b in _bodies(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())], names=["doc_id", "n", "digest"])
 
@@ -174,15 +183,15 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(band, a, b): of all sets that meet under a key which one of them probes, a star.
 
     Each task first
-    joins the sets of its own batch that meet, and passes one of them on for each key, so a key
-    that very many sets have is a row a batch when rows are dealt by key; keys are then read as
+    joins the sets of a slice of its own that meet, and passes one of them on for each key, so a key
+    that very many sets have is a row a slice when rows are dealt by key; keys are then read as
     sorted runs, of which only the first set is held.
     """
     def batch_of(key: np.ndarray, vertex: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(vertex)], names=["key", "vertex"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seen: set[bytes] = set()
             keys, vertices = [], []
             for body in _bodies(batch.column(0)):
@@ -255,24 +264,28 @@ def check_pairs(members: pd.DataFrame, percent: int) -> pd.DataFrame:
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
     common = np.zeros((size, size), np.float32)
-    step = 4096
+    step = 2048
     for at in range(0, len(shared), step):
         a, b = np.searchsorted(place, [at, at + step])
         dense = np.zeros((size, min(step, len(shared) - at)), np.float32)
         dense[owner[a:b], place[a:b] - at] = 1
         common += dense @ dense.T
-    both = n[:, None] + n[None, :]
-    linked = common.astype(np.int64) * (100 + percent) >= percent * both
-    larger = band_of(np.maximum(n[:, None], n[None, :]).ravel(), percent).reshape(size, size)
-    linked &= larger == int(members["band"].iloc[0])
+    linked, own_band = np.zeros((size, size), bool), band_of(n, percent)
+    for at in range(0, size, 256):
+        rows = slice(at, at + 256)
+        enough = common[rows].astype(np.int64) * (100 + percent) >= percent * (n[rows, None] + n[None, :])
+        # The band of the larger set is the larger of the bands.
+        linked[rows] = enough & (np.maximum(own_band[rows, None], own_band[None, :]) == int(members["band"].iloc[0]))
+    del common
     np.fill_diagonal(linked, False)
     if members["across"].iloc[0]:
         block = members["block"].to_numpy()
         linked &= block[:, None] != block[None, :]
-    links = linked @ members["copies"].to_numpy()
+    copies = members["copies"].to_numpy()
+    links = np.array([int(copies[row].sum()) for row in linked])
     label = np.arange(size)
     while True:
-        near = np.minimum(label, np.where(linked, label[None, :], size).min(axis=1))
+        near = np.array([min(own, label[row].min(initial=size)) for own, row in zip(label, linked, strict=True)])
         near = near[near]
         if (near == label).all():
             break
@@ -309,11 +322,12 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles_of(b, words) for b in _bodies(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["digest", "shingles"])
 
-    wanted = members.select(F.col("head").alias("id")).distinct()
+    # Ids, not texts, move as long as the ids are measured to be few.
+    wanted = broadcast_if_small(members.select(F.col("head").alias("id")).distinct())
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
     whole = texts.mapInArrow(read, "digest binary, shingles binary")
     loads = members.groupBy("band", "family").agg(F.sum("n").alias("load"), F.count("*").alias("sets"))
@@ -370,6 +384,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     found = cut_lineage(link_documents(docs, words, percent))
     gone = found.where("doc_id IS NOT NULL AND n_shingles > 0 AND component_id < doc_id").select("doc_id").distinct()
+    gone = broadcast_if_small(cut_lineage(gone))
     kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     ids = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count()
     repeated = cut_lineage(ids.where("count > 1").select("doc_id"))
