@@ -26,7 +26,7 @@ SEEN_SIZES = 4
 GATES = 8 * (len(ORDERS) + 1) * SEEN_SIZES
 STEPS = 33  # places of the refinement's table between stretched chances of -8 and 8
 CHUNK = 4 << 20
-SCORE_CHUNK = 1 << 20
+SCORE_CHUNK = 3 << 20
 # Words that every task holds (16 bytes each); the counts of all others are met by a join.
 HELD_WORDS = 1_500_000
 END_WORD = b" "  # no word holds a space
@@ -89,11 +89,11 @@ class MixModel:
         self.counts = counts
         self.weights = np.tile(np.array([0.3] * len(ORDERS) + [0.0]), (GATES, 1))
         self.refined: np.ndarray | None = None
-        self._nodes = None
+        self._nodes = self._stretched = None
 
     def __getstate__(self):
         # Most slots of a small corpus are empty, and every executor keeps a file of what is sent.
-        return self.__dict__ | {"_nodes": None, "counts": zlib.compress(self.counts.tobytes(), 1)}
+        return self.__dict__ | {"_nodes": None, "_stretched": None, "counts": zlib.compress(self.counts.tobytes(), 1)}
 
     def __setstate__(self, state):
         self.__dict__ = state | {"counts": np.frombuffer(zlib.decompress(state["counts"]), np.int32)}
@@ -114,37 +114,86 @@ class MixModel:
             self._nodes = zero.ravel(), one.ravel()
         return self._nodes
 
-    def inputs(self, windows: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Stretched chances (bit, order), gates, bits and nodes for the 8 bits of each window's byte.
-
-        ``leave_out`` takes one occurrence of the window itself out of all counts, so that in
-        training each bit is predicted from the others.
-        """
-        zero, one = self.nodes()
-        symbols = (windows & np.uint64(255)).astype(np.int64)
+    def stretched(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of every node: its stretched chance, and 0 where it was never seen, else one more than its size's class."""
+        if self._stretched is None:
+            zero, one = self.nodes()
+            chance, size = np.empty(len(zero), np.float32), np.empty(len(zero), np.uint8)
+            for at in range(0, len(zero), 1 << 20):
+                part = slice(at, at + (1 << 20))
+                chance[part] = np.log((one[part] + PRIOR) / (zero[part] + PRIOR))
+                both = zero[part] + one[part]
+                classes = np.minimum(np.log2(np.maximum(both, 1)) / 2, SEEN_SIZES - 1).astype(np.uint8)
+                size[part] = np.where(both > 0, classes + 1, 0)
+            self._stretched = chance, size
+            if self.counts is None:
+                self._nodes = None  # a task that scores needs no more than this
+        return self._stretched
+
+    @staticmethod
+    def _bits(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the 8 bits of each window's byte: the bit, its node in the half byte, the part of the byte before it."""
+        symbols = (windows & np.uint64(255)).astype(np.int32)
         shape = (len(windows), 8)
-        bits, node = np.empty(shape, np.int64), np.empty(shape, np.int64)
+        bits, node = np.empty(shape, np.int32), np.empty(shape, np.int32)
         halves = symbols >> 4, symbols & 15
         for h, half in enumerate(halves):
             for depth in range(4):
                 bits[:, 4 * h + depth] = (half >> (3 - depth)) & 1
                 node[:, 4 * h + depth] = (1 << depth) + (half >> (4 - depth))
+        partial = np.concatenate([node[:, :4], 16 * (1 + halves[0][:, None]) + node[:, 4:]], axis=1) % 272
+        return bits, node, partial
+
+    @staticmethod
+    def _slots(windows: np.ndarray, node: np.ndarray, k: int, first: int) -> np.ndarray:
+        slots = np.empty_like(node)
+        for half, pages in enumerate(_pages(windows, k)):
+            slots[:, 4 * half : 4 * half + 4] = (pages * 16 + first).astype(np.int32)[:, None]
+        slots += node
+        return slots
+
+    def values(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mixed stretched chances, bits and parts of bytes, for the 8 bits of each window's byte."""
+        chance, sizes = self.stretched()
+        bits, node, partial = self._bits(windows)
+        first, parts = _first_slots(), []
+        seen, size = np.zeros(node.shape, np.uint8), np.zeros(node.shape, np.uint8)
+        for k in range(len(ORDERS)):
+            slots = self._slots(windows, node, k, int(first[k]))
+            parts.append(chance.take(slots, mode="clip"))
+            known = sizes.take(slots, mode="clip")
+            there = known > 0
+            seen += there
+            np.copyto(size, known, where=there)
+        gates = (np.arange(8, dtype=np.int32) * (len(ORDERS) + 1) + seen) * SEEN_SIZES + (np.maximum(size, 1) - 1)
+        weights = self.weights.T.astype(np.float32)
+        value = weights[-1].take(gates, mode="clip")
+        for part, weight in zip(parts, weights[:-1], strict=True):
+            value += part * weight.take(gates, mode="clip")
+        return np.clip(value, -7.99, 7.99).ravel(), bits.ravel(), partial.ravel()
+
+    def inputs(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Stretched chances (bit, order), gates, bits and parts of bytes for the 8 bits of each window's byte.
+
+        One occurrence of the window itself is taken out of all counts, so that in training each bit
+        is predicted from the others.
+        """
+        zero, one = self.nodes()
+        bits, node, partial = self._bits(windows)
+        shape = node.shape
         stretched = np.empty((*shape, len(ORDERS)), np.float32)
         seen, sizes = np.zeros(shape, np.int64), np.zeros(shape, np.float32)
         first = _first_slots()
         for k in range(len(ORDERS)):
-            upper, lower = _pages(windows, k)
-            slots = node + np.repeat(np.stack([upper, lower], 1), 4, axis=1) * 16 + first[k]
+            slots = self._slots(windows, node, k, int(first[k]))
             n0, n1 = zero[slots], one[slots]
-            if leave_out:
-                n1, n0 = np.maximum(n1 - bits, 0), np.maximum(n0 - (1 - bits), 0)
+            n1, n0 = np.maximum(n1 - bits, 0), np.maximum(n0 - (1 - bits), 0)
             stretched[:, :, k] = np.log((n1 + PRIOR) / (n0 + PRIOR))
             both = n0 + n1
             seen += both > 0
             sizes = np.where(both > 0, both, sizes)
         size = np.minimum(np.log2(np.maximum(sizes, 1)) / 2, SEEN_SIZES - 1).astype(np.int64)
         gates = (np.arange(8) * (len(ORDERS) + 1) + seen) * SEEN_SIZES + size
-        partial = np.concatenate([node[:, :4], 16 * (1 + halves[0][:, None]) + node[:, 4:]], axis=1) % 272
         return stretched.reshape(-1, len(ORDERS)), gates.ravel(), bits.ravel(), partial.ravel()
 
     def mixed(self, stretched: np.ndarray, gates: np.ndarray) -> np.ndarray:
@@ -155,7 +204,7 @@ class MixModel:
         """One pass of online steps over windows, each weighted by its count; returns each gate's weight."""
         load = np.zeros(GATES)
         for rows in np.array_split(np.random.default_rng(seed).permutation(len(windows)), max(1, len(windows) // batch)):
-            stretched, gates, bits, _ = self.inputs(windows[rows], True)
+            stretched, gates, bits, _ = self.inputs(windows[rows])
             x = np.column_stack([stretched, np.ones(len(stretched))])
             weight = np.repeat(counts[rows].astype(np.float64), 8)
             p = 1 / (1 + np.exp(-self.mixed(stretched, gates)))
@@ -177,7 +226,7 @@ class MixModel:
         sums = np.zeros((2, 272 * STEPS))
         for at in range(0, len(windows), 20_000):
             part = windows[at : at + 20_000]
-            stretched, gates, bits, partial = self.inputs(part, True)
+            stretched, gates, bits, partial = self.inputs(part)
             low, share = self._places(self.mixed(stretched, gates))
             weight = np.repeat(counts[at : at + 20_000], 8).astype(np.float64)
             for step, portion in ((0, weight * (1 - share)), (1, weight * share)):
@@ -196,8 +245,7 @@ class MixModel:
         costs = np.empty(len(windows))
         for at in range(0, len(windows), 20_000):
             part = windows[at : at + 20_000]
-            stretched, gates, bits, partial = self.inputs(part, False)
-            value = self.mixed(stretched, gates)
+            value, bits, partial = self.values(part)
             chance = 1 / (1 + np.exp(-value))
             if self.refined is not None:
                 low, share = self._places(value)
