@@ -21,8 +21,8 @@ DELETION_SEGMENTS = 1
 SPARE_SHARE = 8
 SHARED_CHANCE = 0.3
 # A task checks at most two blocks of a family against each other.
-BLOCK_SHINGLES = 2_000_000
-BLOCK_SETS = 2048
+BLOCK_SHINGLES = 1_000_000
+BLOCK_SETS = 1024
 SLICE_BYTES = 8 << 20
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -254,15 +254,21 @@ def check_pairs(members: pd.DataFrame, percent: int) -> pd.DataFrame:
     members = members.drop_duplicates(["digest", "block"]).sort_values(["block", "digest"], ignore_index=True)
     sets = [np.frombuffer(s, np.uint64) for s in members["shingles"]]
     size, n = len(sets), members["n"].to_numpy()
-    owner = np.repeat(np.arange(size), n)
-    terms, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(counts > 1)
-    column = np.full(len(terms), -1)
-    column[shared] = np.arange(len(shared))
-    place = column[inverse]
-    owner, place = owner[place >= 0], place[place >= 0]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
+    owner = np.repeat(np.arange(size, dtype=np.int32), n)
+    terms = np.concatenate(sets)
+    del sets
+    order = np.argsort(terms, kind="stable")
+    terms, owner = terms[order], owner[order]
+    del order
+    # Runs of equal shingles are the columns; those of one set alone are in no intersection.
+    fresh = np.concatenate([[True], terms[1:] != terms[:-1]])
+    starts = np.flatnonzero(fresh)
+    runs = np.diff(np.append(starts, len(terms)))
+    kept = np.repeat(runs > 1, runs)
+    shared = np.flatnonzero(runs > 1)
+    place = np.repeat(np.arange(len(shared), dtype=np.int32), runs[shared])
+    owner = owner[kept]
+    del terms, fresh, kept
     common = np.zeros((size, size), np.float32)
     step = 2048
     for at in range(0, len(shared), step):
@@ -334,7 +340,7 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     blocks = F.greatest(F.ceil(F.col("load") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
     loads = loads.withColumn("blocks", blocks)
     small = loads.where("blocks = 1").agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
-    lots = max(1, -(-small // (BLOCK_SHINGLES // 4)))
+    lots = max(1, -(-small // (BLOCK_SHINGLES // 2)))
     members = members.join(loads.select("band", "family", "blocks"), ["band", "family"])
     members = members.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     # A set goes to each pair of blocks that its block is in; small families share lots.
