@@ -27,6 +27,11 @@ def words_of(body: bytes | None) -> list[bytes]:
     return body.translate(_TO_WORDS).split() if body else []
 
 
+def in_order(ids: set[str | None]) -> list[str | None]:
+    """Sorted ids; null, if there, is last."""
+    return sorted(ids - {None}) + [None] * (None in ids)
+
+
 class FMIndex:
     """Suffix order, wavelet ranks and sampled positions of a text of symbols; 0 separates and is never searched."""
 
@@ -119,15 +124,15 @@ class FMIndex:
 class Phrases:
     """The windows of a block of benchmark items, over the block's own vocabulary (numbers from 1)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple, set[str]] = {}
+        owners: dict[tuple, set[str | None]] = {}
         for item, body in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(body)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 owners.setdefault(tuple(ids[at : at + window]), set()).add(item)
         self.by_length = {
-            n: (np.array(own, np.int64).reshape(len(own), n), [sorted(owners[w]) for w in own])
+            n: (np.array(own, np.int64).reshape(len(own), n), [in_order(owners[w]) for w in own])
             for n in {len(w) for w in owners}
             if (own := [w for w in owners if len(w) == n])
         }
@@ -194,18 +199,22 @@ def find_contamination(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     text: str = "text",
+    unnamed: bool = False,
 ) -> DataFrame:
     """Adds ``n_words``, ``hit_words``, ``hit_items`` and ``spans`` to ``docs``; columns of those names are replaced.
 
     Words are runs of letters a-z (A-Z lower-cased), digits and characters beyond ASCII. A window is
     ``window`` consecutive words of a benchmark item (item_id, text), or all of a shorter item; an
-    item without words, or with null text or id, has none. ``hit_words`` are the merged word spans
+    item without words, or with null text, has none, and one with null id only if ``unnamed``: all
+    such items are then one, a null at the end of ``hit_items`` (so it counts in its size and is not
+    in its joined text). ``hit_words`` are the merged word spans
     inside any occurrence of a window, ``spans`` the same as code points of the text, ``hit_items``
     the item ids, as sorted strings. Null texts have no words. Each Arrow batch of documents (64 MB
     at most, or one document) is a shard with an index of its own, so rows never move. The
     benchmark is read in blocks of at most about ``block_bytes``, each a further pass.
     """
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(
+    named = F.lit(True) if unnamed else F.col("item_id").isNotNull()
+    items = benchmark.where(named & F.col("text").isNotNull()).select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("body")
     )
     total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
@@ -221,7 +230,7 @@ def find_contamination(
     as_rows = lambda spans: [{"start": a, "end": b} for a, b in spans]
 
     for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        mine = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block)
         phrases = Phrases([(r["item"], bytes(r["body"])) for r in mine.toLocalIterator()], window)
 
         def find(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
@@ -236,7 +245,7 @@ def find_contamination(
                     spans = merge_spans([*new, *((s["start"], s["end"]) for s in old)])
                     rows["n_words"].append(n)
                     rows["hit_words"].append(as_rows(spans))
-                    rows["hit_items"].append(sorted({*own, *ids}))
+                    rows["hit_items"].append(in_order({*own, *ids}))
                     rows["spans"].append(as_rows(text_spans(body, spans)) if spans else [])
                 arrays = [held[c] for c in kept] + [pa.array(rows[c], kinds[c]) for c in added]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *added])
@@ -268,12 +277,13 @@ def replaced_length(text: Column, spans: Column, filler: str = " ") -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with every benchmark passage cut out of ``text``; ``n_chars``, if there, follows.
+    """``docs`` with every benchmark passage cut out of ``text``, those of items without an id too;
+    ``n_chars``, if there, follows.
 
     Documents without a hit keep their text unchanged. A document that is left without words goes;
     one that had none before stays.
     """
-    found = find_contamination(docs, benchmark, window)
+    found = find_contamination(docs, benchmark, window, unnamed=True)
     hit = F.aggregate("hit_words", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     left = found.where((hit == 0) | (hit < F.col("n_words")))
     new = {"text": replace_spans(F.col("text"), F.col("spans"))}

@@ -61,7 +61,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     hit = F.aggregate("hit_words", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
         "doc_id",

@@ -77,3 +77,33 @@ def test_empty_tables(spark):
     row = D.find_contamination(rows_of(spark, ["a b"]), none).first()
     assert (row["n_words"], row["hit_items"], row["spans"]) == (2, [], [])
     assert D.find_contamination(rows_of(spark, ["a"]).where("1 = 0"), none).collect() == []
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_items_without_an_id(spark, block_bytes):
+    passage, other = "one two three four five six seven eight nine ten", "red green blue"
+    docs = [f"x {passage}, y", f"{passage} {other}", "clean", other]
+    bench = spark.createDataFrame([(None, passage), (None, other), (7, other)], "item_id long, text string")
+    found = D.find_contamination(rows_of(spark, docs), bench, block_bytes=block_bytes, unnamed=True)
+    assert {r["doc_id"]: r["hit_items"] for r in found.collect()} == {0: [None], 1: ["7", None], 2: [], 3: ["7", None]}
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in D.decontaminate(rows, bench).collect()} == {0: "x  , y", 2: "clean"}
+
+
+def test_query_against_sql_with_null_ids(spark, tmp_path):
+    import duckdb
+
+    from lakeqa.llm.oracle import ORACLE
+    from lakeqa.llm.queries import QUERIES
+
+    passage, other = "one two three four five six seven eight nine ten", "red green blue"
+    docs = list(enumerate([f"x {passage}, y", f"{passage} {other}", "clean", other]))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bench = [(None, passage), (None, other), (7, other), (8, None)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    base = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        base.execute(f"CREATE VIEW {name} AS FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = QUERIES["op5_decontamination"](spark, str(tmp_path))
+    wanted = base.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE['op5_decontamination']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
