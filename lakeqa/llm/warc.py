@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakeqa.scale import cut_lineage, new_shared_path
 
 MAGIC = b"\x1f\x8b\x08"
-HEADER_LIMIT = 1 << 16
+VERSION = b"WARC/"
 CHUNK = 1 << 18
 ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 16 << 20
@@ -101,32 +101,40 @@ def write_archives(
 
 
 def _member(source, at: int) -> tuple[dict, bytes, int] | None:
-    """Headers, block and end of the record whose gzip member starts at ``at``; None if none does."""
-    unzip, plain, pos, head_end = zlib.decompressobj(31), bytearray(), at, -1
+    """Headers, block and end of the record whose gzip member starts at ``at``; None if none does.
+
+    What decodes to the start of a WARC header is a record, however long its header is; one that is
+    broken or cut off is an error.
+    """
+    unzip, plain, pos, head_end, looked = zlib.decompressobj(31), bytearray(), at, -1, 0
+    begun = lambda: plain[: len(VERSION)] == VERSION
     while not unzip.eof:
         source.seek(pos)
         data = source.read(CHUNK)
         try:
             plain += unzip.decompress(data)
         except zlib.error:
-            if head_end < 0:
+            if not begun():
                 return None
             raise ValueError(f"broken record at byte {at}") from None
+        if not VERSION.startswith(bytes(plain[: len(VERSION)])):
+            return None
         if head_end < 0:
-            head_end = plain.find(b"\r\n\r\n", 0, HEADER_LIMIT)
-            if plain[:5] != b"WARC/"[: len(plain)] or (head_end < 0 and len(plain) >= HEADER_LIMIT):
-                return None
+            head_end = plain.find(b"\r\n\r\n", looked)
+            looked = max(0, len(plain) - 3)
         if not data and not unzip.eof:
-            if head_end < 0:
+            if not begun():
                 return None
             raise ValueError(f"cut-off record at byte {at}")
         pos += len(data)
-    if head_end < 0:
+    if not begun():
         return None
+    if head_end < 0:
+        raise ValueError(f"record without an end of its header at byte {at}")
     lines = bytes(plain[:head_end]).decode("utf-8", "replace").split("\r\n")[1:]
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     if not headers.get("content-length", "").isdigit():
-        return None
+        raise ValueError(f"record without a length at byte {at}")
     block = bytes(plain[head_end + 4 : head_end + 4 + int(headers["content-length"])])
     return headers, block, pos - len(unzip.unused_data)
 
@@ -156,11 +164,12 @@ def read_archives(
     split_bytes: int = SPLIT_BYTES,
     with_payload: bool = True,
 ) -> DataFrame:
-    """Every record of the archives in ``manifest`` (path, bytes), one row each, in splits of ``split_bytes``.
+    """Every record of the archives in ``manifest`` (path, bytes, records), one row each, in splits of ``split_bytes``.
 
     A task owns the records that start inside its range, wherever they end, so any split size gives
     the same rows. Digest and length of a response come from its payload as read; a revisit has no
-    payload and keeps those its header names. ``payload`` is null unless asked for.
+    payload and keeps those its header names. ``payload`` is null unless asked for. The rows are
+    written once, and counted: an archive with more or fewer records than ``records`` says is an error.
     """
     places = manifest.select(
         "path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(split_bytes).cast("bigint"))).alias("start"), "bytes"
@@ -193,7 +202,13 @@ def read_archives(
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return places.repartition(max(1, int(tasks))).mapInArrow(read, RECORD)
+    found = cut_lineage(places.repartition(max(1, int(tasks))).mapInArrow(read, RECORD))
+    told = manifest.groupBy("path").agg(F.sum("records").alias("records"))
+    counts = told.join(found.groupBy("path").agg(F.count("*").alias("read")), "path", "left")
+    wrong = counts.where(F.col("records") != F.coalesce("read", F.lit(0))).orderBy("path").take(3)
+    if wrong:
+        raise ValueError("; ".join(f"{r['path']}: {r['read'] or 0} records of {r['records']}" for r in wrong))
+    return found
 
 
 def archive_pages(

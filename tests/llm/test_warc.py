@@ -99,3 +99,28 @@ def test_broken_archive_is_told(spark):
 def test_query_columns(spark):
     df = queries.QUERIES["op1_warc"](spark, "/root/testdata/sf0.001")
     assert df.columns[:5] == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    import random
+
+    draw = random.Random(1)
+    urls = ["http://a/?" + "x" * 70_000, "data:," + "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=900_000))]
+    rows = [*ROWS, *[(20 + i, u, f"page {i}", 1, "x") for i, u in enumerate(urls)]]
+    found, got = result(spark, rows, tmp_path, 5000)
+    assert got == expected(rows)
+    targets = {r["record_id"]: r["target_uri"] for r in found.collect()}
+    assert [targets["urn:page:20"], targets["urn:page:21"]] == urls
+
+
+def test_records_are_counted(spark, tmp_path):
+    manifest = warc.archive_pages(pages_of(spark, ROWS), str(tmp_path / "out"), archive_bytes=900)
+    for more in (1, -1):
+        with pytest.raises(ValueError, match="records of"):
+            warc.read_archives(spark, manifest.withColumn("records", F.col("records") + more), split_bytes=500)
+
+
+def test_record_without_end_of_header_is_told():
+    member = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n", mtime=0)
+    with pytest.raises(ValueError):
+        list(warc.records_of_range(io.BytesIO(member), 0, len(member)))
