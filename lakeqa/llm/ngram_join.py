@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lakeqa.llm.components import connected
 from lakeqa.scale import broadcast_if_small, cut_lineage
@@ -313,6 +313,11 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     shingle universe, or one but for a deletion, come into one family for each band of sizes;
     families are checked exactly, large ones block against block, every block bounded.
     """
+    return _linked(docs, words, percent).drop("digest")
+
+
+def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """What ``link_documents`` gives, and the digest of each row's set."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = document_sets(docs, words)
     classes = cut_lineage(
@@ -370,6 +375,7 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     zero = F.lit(0).cast("bigint")
     return out.select(
         "doc_id",
+        "digest",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "head")).alias("component_id"),
         F.when(F.col("n") == 0, zero).otherwise(F.col("copies") - 1 + F.coalesce("links", zero)).alias("n_links"),
@@ -386,16 +392,31 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without near copies: of each component the document with the smallest doc_id stays.
 
     Rows that repeat an id and a text are copies, and one stays; documents without an id or without
-    words stay. Columns are those of ``docs``.
+    words stay. Rows that repeat an id with different texts are documents each: those go whose own
+    text is in a component with a smaller id, the others stay. Columns are those of ``docs``.
     """
-    found = cut_lineage(link_documents(docs, words, percent))
-    gone = found.where("doc_id IS NOT NULL AND n_shingles > 0 AND component_id < doc_id").select("doc_id").distinct()
-    gone = broadcast_if_small(cut_lineage(gone))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    ids = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count()
+    found = cut_lineage(_linked(docs, words, percent))
+    found = found.where("doc_id IS NOT NULL AND n_shingles > 0")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("count"))
     repeated = cut_lineage(ids.where("count > 1").select("doc_id"))
+    gone = found.where("component_id < doc_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("_same", F.sha2("text", 256))
-    single = again.dropDuplicates(["doc_id", "_same"]).drop("_same")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(single)
+        gone = broadcast_if_small(cut_lineage(gone.select("doc_id")))
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    few = broadcast_if_small(repeated)
+    single = broadcast_if_small(cut_lineage(gone.join(few, "doc_id", "left_anti").select("doc_id")))
+    kept = docs.join(few, "doc_id", "left_anti").join(single, "doc_id", "left_anti").select(*columns)
+    # Only rows of repeated ids need their sets' digests.
+    gone = broadcast_if_small(cut_lineage(gone.join(few, "doc_id").select("doc_id", F.col("digest").alias("_set")).distinct()))
+    again = docs.join(few, "doc_id", "left_semi").select(*columns)
+    names = [*docs.columns, "_set"]
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [set_digest(shingles_of(b, words)) for b in _bodies(batch.column(batch.schema.get_field_index("text")))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=names)
+
+    again = again.mapInArrow(digests, T.StructType([*docs.schema, T.StructField("_set", T.BinaryType())]))
+    again = again.join(gone, ["doc_id", "_set"], "left_anti").drop("_set").withColumn("_same", F.sha2("text", 256))
+    return kept.unionByName(again.dropDuplicates(["doc_id", "_same"]).drop("_same").select(*columns))

@@ -113,6 +113,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["text"] for r in J.keep_one(rows_of(spark, same)).collect()) == ["a b", "other text"]
 
 
+def test_only_the_copy_goes_where_ids_repeat(spark):
+    long = [f"t{i}" for i in range(60)]
+    near, nearer = " ".join([*long, "x"]), " ".join(["y", *long])
+    docs = [(3, " ".join(long)), (7, near), (7, "b c d e f g h"), (7, "b c d e f g h"), (7, None), (9, nearer), (9, near), (None, near), (11, near)]
+    kept = J.keep_one(rows_of(spark, docs))
+    assert kept.columns == ["doc_id", "text", "n"]
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(3, " ".join(long)), (7, "b c d e f g h"), (7, None), (None, near)], key=repr)
+
+
 def test_empty_table(spark):
     assert J.link_documents(rows_of(spark, [])).collect() == []
     assert J.keep_one(rows_of(spark, [])).collect() == []
