@@ -25,6 +25,10 @@ BOILERPLATE_WORDS = frozenset(
     "hidden skip tracking".split()
 )
 CONTENT_WORDS = frozenset("article main content post entry story".split())
+# Within a compound name these often tell of a layout (right-sidebar), so what is below may be content;
+# a compound with a word of state (no-sidebar, overflow-hidden) tells nothing.
+LAYOUT_WORDS = frozenset("sidebar hidden search form header nav navbar menu banner toolbar".split())
+STATE_WORDS = frozenset("no not non without with has have off overflow".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 SKIPPED_TAGS = frozenset(
@@ -67,29 +71,87 @@ class Block(NamedTuple):
     heading: bool
 
 
+# Parts while they are told apart: content, none, boilerplate by a layout's name, boilerplate for sure.
+CONTENT, NONE, UNSURE, SURE = 1, 0, -1, -2
+
+
 def _part_of(tag: str, attributes: str, inherited: int) -> int:
     """The part an element names, else that of the elements around it. A header inside content is its headline."""
+    if tag in ("html", "body"):
+        return inherited
     words: set[str] = set()
+    layout: set[str] = set()
     if "=" in attributes:
         for found in _NAMES.findall(attributes):
-            words.update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower()))
+            for name in "".join(found).split():
+                own = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+                if len(own) == 1:
+                    words.update(own)
+                elif STATE_WORDS.isdisjoint(own):
+                    unsure = LAYOUT_WORDS.intersection(own)
+                    layout |= unsure
+                    words.update(w for w in own if not unsure or w not in CONTENT_WORDS and w not in LAYOUT_WORDS)
     if inherited > 0:
         words.discard("header")
+        layout.discard("header")
         if tag == "header":
             tag = "div"
     if tag in BOILERPLATE_TAGS or words & BOILERPLATE_WORDS or (attributes and _HIDDEN.search(attributes)):
-        return -1
-    if tag in CONTENT_TAGS or (words & CONTENT_WORDS and inherited >= 0):
-        return 1
-    return inherited
+        return SURE
+    if tag in CONTENT_TAGS or (words & CONTENT_WORDS and inherited >= UNSURE):
+        return CONTENT
+    return min(inherited, UNSURE) if layout else inherited
+
+
+def _parts(elements: list[tuple[int, str, str]], blocks: list[Block]) -> list[int]:
+    """Of each element (the one around it, tag, attributes) the part its text is in.
+
+    A class, id or role, or a form, that holds most of the page's unlinked text is a wrapper and marks
+    nothing, unless other elements outside it are named as content.
+    """
+    wrappers: set[int] = set()
+    sizes = None
+    while True:
+        parts = [NONE] * len(elements)
+        for i, (up, tag, attributes) in enumerate(elements[1:], 1):
+            plain = i in wrappers or not (attributes or tag in BOILERPLATE_TAGS or tag in CONTENT_TAGS)
+            parts[i] = parts[up] if plain else _part_of(tag, attributes, parts[up])
+        if min(parts) >= NONE:
+            return parts
+        if sizes is None:
+            sizes = [0] * len(elements)
+            for block in blocks:
+                sizes[block.part] += max(0, len(block.text) - block.linked)
+            whole = _with_inner(elements, sizes)
+        content = _with_inner(elements, [n if p > 0 else 0 for n, p in zip(sizes, parts, strict=True)])
+        fresh = {
+            i
+            for i, (up, tag, attributes) in enumerate(elements)
+            if parts[i] < NONE <= parts[up]
+            and 2 * whole[i] > whole[0]
+            and content[i] == content[0]
+            and (tag == "form" or tag not in BOILERPLATE_TAGS)
+            and not _HIDDEN.search(attributes)
+        }
+        if not fresh:
+            return parts
+        wrappers |= fresh
+
+
+def _with_inner(elements: list[tuple[int, str, str]], sizes: list[int]) -> list[int]:
+    out = list(sizes)
+    for i in range(len(elements) - 1, 0, -1):
+        out[elements[i][0]] += out[i]
+    return out
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in its order, as loosely as browsers read markup."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]  # tag, number, part, listed, link
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, listed, link
+    elements: list[tuple[int, str, str]] = [(0, "", "")]  # number of the one around it, tag, attributes
     pieces: list[str] = []
-    linked, numbers, at, size = 0, 0, 0, len(html)
+    linked, at, size = 0, 0, len(html)
     heading = False
 
     def flush() -> None:
@@ -100,7 +162,7 @@ def blocks_of(html: str) -> list[Block]:
                 holder = next(x for x in reversed(stack) if x[0] in BLOCK_TAGS or not x[0])
                 up = stack.index(holder)
                 parent = stack[up - 1][1] if up and holder[0] in ("p", "li", "h1", "h2", "h3") else holder[1]
-                blocks.append(Block(text, parent, stack[-1][2], linked, stack[-1][3], heading))
+                blocks.append(Block(text, parent, stack[-1][1], linked, stack[-1][2], heading))
         pieces, linked = [], 0
 
     def say(text: str) -> None:
@@ -108,7 +170,7 @@ def blocks_of(html: str) -> list[Block]:
         if text:
             text = unescape(text) if "&" in text else text
             pieces.append(text)
-            if stack[-1][4]:
+            if stack[-1][3]:
                 linked += len(text)
 
     while at < size:
@@ -161,13 +223,13 @@ def blocks_of(html: str) -> list[Block]:
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
             if tag == "hr":
                 continue
-        numbers += 1
-        _, _, part, listed, link = stack[-1]
-        if tag in BOILERPLATE_TAGS or tag in CONTENT_TAGS or attributes:
-            part = _part_of(tag, attributes, part)
-        stack.append((tag, numbers, part, listed or tag in ("li", "td", "th"), link or tag == "a"))
+        _, around, listed, link = stack[-1]
+        stack.append((tag, len(elements), listed or tag in ("li", "td", "th"), link or tag == "a"))
+        elements.append((around, tag, attributes))
     flush()
-    return blocks
+    # So far the part of a block is the number of its element.
+    parts = _parts(elements, blocks)
+    return [b._replace(part=max(-1, parts[b.part])) for b in blocks]
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:

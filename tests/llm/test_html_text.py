@@ -34,6 +34,29 @@ def test_pages(html, text):
     assert H.main_text(html, H.PRIOR) == text
 
 
+WRAPPED = f"<div class='entry-content'><p>{LONG}</p><p>{LONG}</p></div>"
+SITE = "<footer>All rights reserved here, and more of that.</footer>"
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<body class='single right-sidebar'>", "<html class='search'><body id=hidden>", "<div class='no-sidebar'>", "<div class='overflow-hidden'>",
+        "<div class='layout right-sidebar'>", "<div class='searchForm page'>", "<form id=aspnetForm>", "<div class='related'>", "<div class=share>", "<div class='sidebar'>",
+    ],
+)
+def test_layout_names_do_not_lose_the_article(start):
+    end = "</form>" if start[1] == "f" else "</div>" if start[1] == "d" else ""
+    assert H.main_text(f"{start}{WRAPPED}{end}{SITE}", H.PRIOR) == f"{LONG}\n\n{LONG}"
+    assert H.main_text(f"{start}<div><p>{LONG}</p><p>{LONG}</p></div>{end}{SITE}", H.PRIOR) == f"{LONG}\n\n{LONG}"
+
+
+def test_named_boilerplate_stays_out():
+    for name in ("comments", "right-sidebar", "related-posts", "visually-hidden", "search-form"):
+        more = f"<div class='{name}'>" + f"<p>{LONG}</p>" * 5 + "</div>"
+        assert H.main_text(f"<body>{more}{WRAPPED}{more}</body>", H.PRIOR) == f"{LONG}\n\n{LONG}"
+
+
 def test_cut_against_exhaustive_search():
     draw = random.Random(5)
     for _ in range(300):
