@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeqa.llm import decontaminate, html_text, language, metric_search, mixing, ngram_join, packing, secrets, urls, warc
+from lakeqa.llm import decontaminate, html_text, language, metric_search, mixing, ngram_join, packing, secrets, token_files, urls, warc
+from lakeqa.scale import new_shared_path
 
 QUERIES = {}
 
@@ -142,3 +143,11 @@ def op2_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = metric_search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
     return found.select("query_id", "rank", "vec_id", "score")
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = new_shared_path(spark, "tokens")
+    token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.check_sums(token_files.read_token_files(spark, folder))
