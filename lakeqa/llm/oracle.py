@@ -90,3 +90,99 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+# States: 0 nothing yet, 1 a system turn, 2 a user's last, 3 an assistant's last. crc32 is built bit by bit.
+ORACLE["op13_conversation_repair"] = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+k AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(name, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 20
+    AS kind FROM t),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM k WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role,
+      sha256(octet_length(encode(role))::VARCHAR || ':' || role || text), copy) AS i,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail FROM d),
+m AS (
+  SELECT *, tail = '' AS blank,
+    tail <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+    role[1] AS c, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+f AS (SELECT *, tail NOT IN ('', '.', '!', '?') AND NOT duplicate AS truncated FROM m),
+ins(st, too, n, added) AS (VALUES (0, 0, 0, []::VARCHAR[]), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []),
+  (0, 2, 1, ['user:']), (0, 3, 2, ['user:', 'assistant:']), (1, 2, 1, ['user:']), (1, 3, 2, ['user:', 'assistant:']),
+  (2, 3, 1, ['assistant:']), (3, 2, 1, ['user:'])),
+edit(st, c, too, kind, price, role) AS (VALUES
+  (0, 's', 1, 'K', 0, NULL), (0, 'u', 2, 'K', 0, NULL), (1, 'u', 2, 'K', 0, NULL), (2, 'a', 3, 'K', 0, NULL),
+  (3, 'u', 2, 'K', 0, NULL), (0, NULL, 2, 'R', 2, 'user'), (1, NULL, 2, 'R', 2, 'user'),
+  (2, NULL, 3, 'R', 2, 'assistant'), (3, NULL, 2, 'R', 2, 'user'),
+  (0, NULL, 0, 'D', 3, NULL), (1, NULL, 1, 'D', 3, NULL), (2, NULL, 2, 'D', 3, NULL), (3, NULL, 3, 'D', 3, NULL)),
+p AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS st, 0 AS cost, '' AS audit, []::VARCHAR[] AS kept FROM f
+  UNION ALL
+  SELECT conv_id, i, st, w.cost, w.audit, w.kept FROM (
+    SELECT conv_id, i, st, min({'cost': cost, 'audit': audit, 'kept': kept}) AS w FROM (
+      SELECT f.conv_id, f.i, edit.too AS st,
+        p.cost + 2 * ins.n + price + CASE WHEN f.truncated AND edit.kind <> 'D' THEN 1 ELSE 0 END AS cost,
+        p.audit || repeat('I', ins.n) || edit.kind AS audit,
+        list_concat(p.kept, list_concat(ins.added,
+          CASE WHEN edit.kind = 'D' THEN [] ELSE [coalesce(edit.role, f.role) || ':' || f.text] END)) AS kept
+      FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1
+        JOIN ins ON ins.st = p.st JOIN edit ON edit.st = ins.too
+      WHERE edit.kind = 'D' OR NOT (f.blank OR f.duplicate) AND (edit.kind = 'R' OR edit.c = f.c))
+    GROUP BY conv_id, i, st)),
+e AS (
+  SELECT conv_id, min({'cost': cost, 'audit': audit, 'kept': kept}) AS w FROM (
+    SELECT p.conv_id, p.cost + 2 * ins.n AS cost, p.audit || repeat('I', ins.n) AS audit,
+      list_concat(p.kept, ins.added) AS kept
+    FROM p JOIN ins ON ins.st = p.st AND ins.too IN (0, 3)
+    WHERE p.i = (SELECT max(f.i) FROM f WHERE f.conv_id IS NOT DISTINCT FROM p.conv_id))
+  GROUP BY conv_id),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.cost, 0)::BIGINT AS cost,
+  coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.kept, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+  LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+ORACLE["op11_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (
+  SELECT lang, term FROM (SELECT lang, id, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 3),
+c AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN k USING (lang, term)
+  GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(s.total, 0) + v.v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang) + v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) JOIN v USING (lang)),
+a AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(m.value, 0)::BIGINT AS value
+  FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source
+    GROUP BY x.lang, x.source, y.source) m ON m.lang = g.lang AND m.source = g.source AND m.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM a)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeqa.llm import decontaminate, html_text, language, metric_search, mixing, ngram_join, packing, secrets, token_files, urls, warc
+from lakeqa.llm import conversation_repair, decontaminate, divergence, html_text, language, metric_search, mixing, ngram_join, packing, secrets, token_files, urls, warc
 from lakeqa.scale import new_shared_path
 
 QUERIES = {}
@@ -151,3 +151,31 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_shared_path(spark, "tokens")
     token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
     return token_files.check_sums(token_files.read_token_files(spark, folder))
+
+
+def damage(turns: DataFrame) -> DataFrame:
+    """The contract's damage by a digest of id and turn; a dropped turn stays as a row that isn't present."""
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn"))) % 20
+    rows = turns.select("conv_id", "turn", text_of("role").alias("role"), text_of("text").alias("text"), kind.alias("kind"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("kind") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, F.lit(""))
+        .when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text"))
+        .alias("text"),
+        (F.col("kind") != 0).alias("present"),
+        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(damage(table(spark, sf_dir, "conversations")), present="present")
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))

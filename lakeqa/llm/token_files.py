@@ -119,40 +119,39 @@ def _is_space(character: str) -> bool:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, uid, n_tokens, ids_crc32 and ids of every row of ``docs`` (doc_id, text), written once.
+    """doc_id, uid, n_tokens, ids_crc32, width and ids of every row of ``docs`` (doc_id, text), written once.
 
-    ``uid`` tells rows apart that share a doc_id; the table is written, so it stays.
+    ``ids`` are little-endian integers of ``width`` bytes: two where the vocabulary allows it, else
+    four. ``uid`` tells rows apart that share a doc_id; the table is written, so it stays.
     """
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))]
-    )
+    names = ("doc_id", "uid", "n_tokens", "ids_crc32")
+    schema = pa.schema([*((n, pa.int64()) for n in names), ("width", pa.int8()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = PieceEncoder(definition.value)
+        width = 2 if max(len(encoder.starts) - 1, end_id) < 1 << 16 else 4
         uid = TaskContext.get().partitionId() << 33
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 coded = [ids + end for ids in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
-                sizes = np.array([len(ids) // 4 for ids in coded], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(coded))])
                 columns = [
                     part.column(0),
                     pa.array(np.arange(uid, uid + len(coded))),
-                    pa.array(sizes),
+                    pa.array([len(ids) // 4 for ids in coded], pa.int64()),
                     pa.array([zlib.crc32(ids) for ids in coded], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), values),
-                ]
+                    pa.array(np.full(len(coded), width, np.int8)),
+                    pa.array([ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes() for ids in coded], pa.binary()),
+                ]
                 uid += len(coded)
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    fields = "doc_id bigint, uid bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>"
+    fields = ", ".join(f"{n} bigint" for n in names) + ", width tinyint, ids binary"
     return cut_lineage(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, fields))
 
 
@@ -188,14 +187,17 @@ def write_token_files(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc_id, n_tokens, ids = batch.columns
+            doc_id, n_tokens, width, packed = batch.columns
+            raw = b"".join(packed.to_pylist())
+            ids = pa.array(np.frombuffer(raw, f"<u{width[0].as_py()}").astype(np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_tokens.to_numpy())]).astype(np.int32)), ids)
             ends = before + np.cumsum(n_tokens.to_numpy())
             places = pa.array(ends - n_tokens.to_numpy())
             before = int(ends[-1])
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.full(batch.num_rows, shard, np.int32)), places, n_tokens, ids], schema=schema)
 
     ordered = coded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    placed = ordered.select("doc_id", "n_tokens", "ids").mapInArrow(
+    placed = ordered.select("doc_id", "n_tokens", "width", "ids").mapInArrow(
         place, "doc_id bigint, shard int, place bigint, n_tokens bigint, ids array<int>"
     )
     placed.write.options(
