@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,8 +25,37 @@ _SPACES = "\u180e\u200b\ufeff"
 _MARKS = ".,!?;:"
 
 
+class _Pool:
+    """Id sequences by code, one behind the other in one array."""
+
+    def __init__(self):
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.count = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Codes of new sequences, given joined."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.count + len(sizes) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        codes = np.arange(self.count, self.count + len(sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[codes] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[codes] = sizes
+        self.used += len(ids)
+        self.count += len(sizes)
+        return codes
+
+    def joined(self, codes: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[codes]
+        shift = np.repeat(self.starts[codes] - (np.cumsum(sizes) - sizes), sizes)
+        return self.ids[shift + np.arange(len(shift))]
+
+
 class PieceEncoder:
-    """Ids of whole texts as little-endian bytes, each distinct piece between blanks encoded once.
+    """Ids of whole texts, each distinct piece between blanks encoded once.
 
     A byte-level vocabulary never joins what lies before a blank to what lies behind it, if neither
     neighbour of the blank is white space; there a text can be cut. A token that starts with the
@@ -34,84 +64,123 @@ class PieceEncoder:
     one. The cache holds two generations, so frequent pieces outlive its bound.
     """
 
-    def __init__(self, definition: str):
+    UNSAFE = -1
+
+    def __init__(self, definition: str, end_id: int | None = None):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_str(definition)
         vocabulary = self.encoder.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.ending = np.array([] if end_id is None else [end_id], np.uint32)
+        self._renew({}, _Pool())
+
+    def _renew(self, older: dict[str, int], older_pool: _Pool) -> None:
+        self.older, self.older_pool = older, older_pool
+        self.known: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
+        self.firsts: dict[str, int] = {}
+        self.pool = _Pool()
+        self.end, self.empty = self.pool.add(self.ending, np.array([len(self.ending), 0])).tolist()
 
     def _encode(self, text: str) -> np.ndarray:
         coded = self.encoder.encode_batch_fast([text], add_special_tokens=False)
         return np.array(coded[0].ids, np.uint32)
 
-    def _learn(self, pieces: dict[str, None]) -> None:
-        marked, fresh = [], {}
+    def _add(self, text: str) -> int:
+        ids = self._encode(text)
+        return int(self.pool.add(ids, np.array([len(ids)]))[0])
+
+    def _learn(self, pieces: list[str]) -> None:
+        marked, fresh, again, older = [], {}, {}, self.older.get
         for piece in pieces:
-            if piece in self.older:
-                self.known[piece] = self.older[piece]
-            elif not piece or _is_space(piece[0]) or _is_space(piece[-1]):
-                self.known[piece] = None
-            else:
+            if not piece.isalpha():
+                if not piece or _is_space(piece[0]) or _is_space(piece[-1]):
+                    self.known[piece] = self.UNSAFE
+                    continue
                 # A letter (of a script that every library knows) and a mark are never one token.
                 stem = piece.rstrip(_MARKS)
-                if not stem or len(stem) == len(piece) or stem[-1] > "\u024f" or not stem[-1].isalpha():
-                    fresh[piece] = None
-                    continue
-                marked.append((piece, stem))
-                if stem not in self.known:
-                    if stem in self.older:
-                        self.known[stem] = self.older[stem]
-                    else:
-                        fresh[stem] = None
+                if stem and len(stem) < len(piece) and stem[-1] <= "\u024f" and stem[-1].isalpha():
+                    marked.append((piece, stem, piece[len(stem) :]))
+                    if stem in self.known:
+                        continue
+                    piece = stem
+            (again if older(piece, self.UNSAFE) >= 0 else fresh)[piece] = None
+        again = list(again)
+        codes = np.array([self.older[p] for p in again], np.int64)
+        self.known.update(zip(again, self.pool.add(self.older_pool.joined(codes), self.older_pool.sizes[codes]).tolist(), strict=True))
         fresh = list(fresh)
         for at in range(0, len(fresh), 2000):
             part = fresh[at : at + 2000]
             ids = self._encode(" " + " ".join(part))
-            begins = np.flatnonzero(self.starts[ids]).tolist()
-            raw = ids.tobytes()
+            begins = np.flatnonzero(self.starts[ids])
             if len(begins) == len(part) and begins[0] == 0:
-                coded = [raw[4 * a : 4 * b] for a, b in zip(begins, [*begins[1:], len(ids)], strict=True)]
+                new = self.pool.add(ids, np.diff(begins, append=len(ids))).tolist()
             else:
-                coded = [self._encode(" " + piece).tobytes() for piece in part]
-            self.known.update(zip(part, coded, strict=True))
-        for piece, stem in marked:
-            tail = piece[len(stem) :]
-            if tail not in self.tails:
-                if len(self.tails) > CACHE_PIECES:
-                    self.tails.clear()
-                self.tails[tail] = self._encode(tail).tobytes()
-            self.known[piece] = self.known[stem] + self.tails[tail]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [text.split(" ") for text in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.older = {}, self.known
-        self._learn(dict.fromkeys(p for pieces in split for p in pieces[1:] if p not in self.known))
-        for text, pieces in zip(texts, split, strict=True):
-            first, rest = pieces[0], list(map(self.known.__getitem__, pieces[1:]))
-            if None not in rest and (not rest or not first or not _is_space(first[-1])) and (first or not rest):
-                yield self._encode(first).tobytes() + b"".join(rest)
+                new = [self._add(" " + piece) for piece in part]
+            self.known.update(zip(part, new, strict=True))
+        for tail in {t for _, _, t in marked if t not in self.tails}:
+            self.tails[tail] = self._add(tail)
+        both = np.array([c for _, stem, tail in marked for c in (self.known[stem], self.tails[tail])], np.int64)
+        sizes = self.pool.sizes[both].reshape(-1, 2).sum(axis=1)
+        new = self.pool.add(self.pool.joined(both), sizes).tolist()
+        self.known.update(zip([p for p, _, _ in marked], new, strict=True))
+
+    def _slow(self, pieces: list[str]) -> int:
+        """The code of a text where a run of pieces around each unsafe blank is one piece."""
+        out, run, held = [], [pieces[0]], not pieces[0] or _is_space(pieces[0][-1])
+        for piece in pieces[1:]:
+            if held or self.known[piece] < 0:
+                run.append(piece)
+                held = not piece or _is_space(piece[-1])
                 continue
-            # A run of pieces around each unsafe blank is one piece.
-            out, run, held = [], [first], not first or _is_space(first[-1])
-            for piece, code in zip(pieces[1:], rest, strict=True):
-                if held or code is None:
-                    run.append(piece)
-                    held = not piece or _is_space(piece[-1])
-                    continue
-                if run:
-                    out.append(self._encode(("" if not out else " ") + " ".join(run)).tobytes())
-                    run = []
-                out.append(code)
-                held = False
             if run:
-                out.append(self._encode(("" if not out else " ") + " ".join(run)).tobytes())
-            yield b"".join(out)
+                out.append(self._encode(" " * bool(out) + " ".join(run)))
+                run = []
+            at = self.pool.starts[self.known[piece]]
+            out.append(self.pool.ids[at : at + self.pool.sizes[self.known[piece]]])
+        if run:
+            out.append(self._encode(" " * bool(out) + " ".join(run)))
+        ids = np.concatenate(out)
+        return int(self.pool.add(ids, np.array([len(ids)]))[0])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` (no nulls), joined, with the end id behind each, and their counts."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.known) > CACHE_PIECES or self.pool.used > 16 * CACHE_PIECES:
+            self._renew(self.known, self.pool)
+        lists = pc.split_pattern(texts, " ")
+        begins = lists.offsets.to_numpy().astype(np.int64)
+        first_at = begins[:-1]
+        rest = np.ones(begins[-1], bool)
+        rest[first_at] = False
+        flat = lists.values
+        coded = flat.filter(pa.array(rest)).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self.known])
+        codes = np.full(begins[-1], self.empty, np.int64)
+        place = np.array([self.known[w] for w in words], np.int64)
+        codes[rest] = place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else []
+        unsafe = np.zeros(len(texts), bool)
+        doc = np.repeat(np.arange(len(texts)), np.diff(begins))
+        unsafe[doc[codes < 0]] = True
+        for i, first in enumerate(flat.take(pa.array(first_at)).to_pylist()):
+            if begins[i + 1] - begins[i] > 1 and (not first or _is_space(first[-1])):
+                unsafe[i] = True
+            elif not unsafe[i]:
+                if first not in self.firsts:
+                    self.firsts[first] = self._add(first) if first else self.empty
+                codes[first_at[i]] = self.firsts[first]
+        for i in np.flatnonzero(unsafe).tolist():
+            own = slice(int(begins[i]), int(begins[i + 1]))
+            code = self._slow(flat[own.start : own.stop].to_pylist())
+            codes[own] = self.empty
+            codes[own.start] = code
+        ended = np.insert(codes, begins[1:], self.end)
+        sizes = np.add.reduceat(self.pool.sizes[ended], begins[:-1] + np.arange(len(texts)))
+        return self.pool.joined(ended), sizes
 
 
 def _is_space(character: str) -> bool:
@@ -121,8 +190,8 @@ def _is_space(character: str) -> bool:
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, uid, n_tokens, ids_crc32, width and ids of every row of ``docs`` (doc_id, text), written once.
 
-    ``ids`` are little-endian integers of ``width`` bytes: two where the vocabulary allows it, else
-    four. ``uid`` tells rows apart that share a doc_id; the table is written, so it stays.
+    ``ids`` are compressed little-endian integers of ``width`` bytes: two where the vocabulary allows
+    it, else four. ``uid`` tells rows apart that share a doc_id; the table is written, so it stays.
     """
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
     names = ("doc_id", "uid", "n_tokens", "ids_crc32")
@@ -132,29 +201,36 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = PieceEncoder(definition.value)
+        encoder = PieceEncoder(definition.value, end_id)
         width = 2 if max(len(encoder.starts) - 1, end_id) < 1 << 16 else 4
+        squeeze = _codec().compress
         uid = TaskContext.get().partitionId() << 33
-        end = np.uint32(end_id).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                coded = [ids + end for ids in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                ids, sizes = encoder.encode(pc.fill_null(part.column(1), ""))
+                raw, narrow = memoryview(ids.astype("<u4")).cast("B"), memoryview(ids.astype(f"<u{width}")).cast("B")
+                ends = np.cumsum(sizes).tolist()
+                spans = list(zip([0, *ends], ends))
                 columns = [
                     part.column(0),
-                    pa.array(np.arange(uid, uid + len(coded))),
-                    pa.array([len(ids) // 4 for ids in coded], pa.int64()),
-                    pa.array([zlib.crc32(ids) for ids in coded], pa.int64()),
-                    pa.array(np.full(len(coded), width, np.int8)),
-                    pa.array([ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes() for ids in coded], pa.binary()),
-                ]
-                uid += len(coded)
+                    pa.array(np.arange(uid, uid + len(sizes))),
+                    pa.array(sizes),
+                    pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in spans], pa.int64()),
+                    pa.array(np.full(len(sizes), width, np.int8)),
+                    pa.array([squeeze(narrow[width * a : width * b], asbytes=True) for a, b in spans], pa.binary()),
+                ]
+                uid += len(sizes)
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     fields = ", ".join(f"{n} bigint" for n in names) + ", width tinyint, ids binary"
     return cut_lineage(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, fields))
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
 def write_token_files(
     docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS
 ) -> DataFrame:
@@ -183,13 +259,15 @@ def write_token_files(
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, before = TaskContext.get().partitionId(), 0
+        shard, before, loosen = TaskContext.get().partitionId(), 0, _codec().decompress
         for batch in batches:
             if not batch.num_rows:
                 continue
             doc_id, n_tokens, width, packed = batch.columns
-            raw = b"".join(packed.to_pylist())
-            ids = pa.array(np.frombuffer(raw, f"<u{width[0].as_py()}").astype(np.int32))
+            each = width[0].as_py()
+            sizes = (each * n_tokens.to_numpy()).tolist()
+            raw = b"".join(loosen(p, n, asbytes=True) for p, n in zip(packed.to_pylist(), sizes, strict=True))
+            ids = pa.array(np.frombuffer(raw, f"<u{each}").astype(np.int32))
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_tokens.to_numpy())]).astype(np.int32)), ids)
             ends = before + np.cumsum(n_tokens.to_numpy())
             places = pa.array(ends - n_tokens.to_numpy())
@@ -202,7 +280,7 @@ def write_token_files(
     )
     placed.write.options(
         **{
-            "compression": "zlib",
+            "compression": "zstd",
             "orc.stripe.size": str(STRIPE_BYTES),
             "orc.rows.between.memory.checks": "200",
             "orc.create.index": "true",

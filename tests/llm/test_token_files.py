@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from pyspark.sql import functions as F
@@ -47,18 +48,20 @@ def test_pieces_give_the_ids_of_whole_texts(tokenizer):
     texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(14))) for _ in range(20_000)]
     encoder = token_files.PieceEncoder(Path(TOKENIZER).read_text())
     for at in range(0, len(texts), 700):
-        part = texts[at : at + 700]
-        for text, ids in zip(part, encoder.encode(part), strict=True):
-            assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+        check(encoder, tokenizer, texts[at : at + 700])
+
+
+def check(encoder, tokenizer, texts):
+    ids, sizes = encoder.encode(pa.array(texts))
+    for text, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 def test_a_full_cache_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(token_files, "CACHE_PIECES", 5)
     encoder = token_files.PieceEncoder(Path(TOKENIZER).read_text())
     for turn in range(30):
-        texts = [f"w{turn} the{n} again, the same. " for n in range(5)]
-        for text, ids in zip(texts, encoder.encode(texts), strict=True):
-            assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        check(encoder, tokenizer, [f"w{turn} the{n} again, the same. \n" for n in range(5)] + ["again, the1 x"])
 
 
 ROWS = [
