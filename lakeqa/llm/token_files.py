@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,57 +16,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakeqa.scale import broadcast_if_small, cut_lineage
 
 END_ID = 2
-CACHE_PIECES = 400_000
 SHARD_TOKENS = 1 << 27
 LEAST_SHARD_TOKENS = 1 << 20
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
-# Characters that some definition of white space has, beside those of str.isspace.
-_SPACES = "\u180e\u200b\ufeff"
+# Text that a task encodes at once; words are encoded once in it.
+CHUNK_BYTES = 16 << 20
+PLACED_ROWS = 1000
+# Every character that some definition calls white space, for both kinds of regular expressions.
+_SPACE = "\\s\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\x1c-\x1f\x0b"
+_UNSAFE = f" [{_SPACE}]|[{_SPACE}] |^ | $"
+_SAFE_BLANK = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
 _MARKS = ".,!?;:"
 
 
-class _Pool:
-    """Id sequences by code, one behind the other in one array."""
-
-    def __init__(self):
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.count = 0
-
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Codes of new sequences, given joined."""
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.count + len(sizes) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        codes = np.arange(self.count, self.count + len(sizes))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[codes] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[codes] = sizes
-        self.used += len(ids)
-        self.count += len(sizes)
-        return codes
-
-    def joined(self, codes: np.ndarray) -> np.ndarray:
-        sizes = self.sizes[codes]
-        shift = np.repeat(self.starts[codes] - (np.cumsum(sizes) - sizes), sizes)
-        return self.ids[shift + np.arange(len(shift))]
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Slices of ``values``, one behind the other."""
+    kind = np.int32 if len(values) < 1 << 30 and sizes.sum() < 1 << 30 else np.int64
+    places = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(kind), sizes)
+    places += np.arange(len(places), dtype=kind)
+    return values[places]
 
 
 class PieceEncoder:
     """Ids of whole texts, each distinct piece between blanks encoded once.
 
     A byte-level vocabulary never joins what lies before a blank to what lies behind it, if neither
-    neighbour of the blank is white space; there a text can be cut. A token that starts with the
-    vocabulary's sign of a blank then starts a piece, so many pieces are encoded in one call. Pieces
-    that are empty or have white space at an end stay joined to their neighbours and are encoded as
-    one. The cache holds two generations, so frequent pieces outlive its bound.
+    neighbour of the blank is white space; only there texts are cut. A token that starts with the
+    vocabulary's sign of a blank then starts a piece, so many pieces are encoded in one call. Marks
+    behind a letter are encoded apart, as no token has both.
     """
 
-    UNSAFE = -1
-
     def __init__(self, definition: str, end_id: int | None = None):
         from tokenizers import Tokenizer
 
@@ -73,118 +54,68 @@ class PieceEncoder:
         vocabulary = self.encoder.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.ending = np.array([] if end_id is None else [end_id], np.uint32)
-        self._renew({}, _Pool())
-
-    def _renew(self, older: dict[str, int], older_pool: _Pool) -> None:
-        self.older, self.older_pool = older, older_pool
-        self.known: dict[str, int] = {}
-        self.tails: dict[str, int] = {}
-        self.firsts: dict[str, int] = {}
-        self.pool = _Pool()
-        self.end, self.empty = self.pool.add(self.ending, np.array([len(self.ending), 0])).tolist()
-
-    def _encode(self, text: str) -> np.ndarray:
-        coded = self.encoder.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(coded[0].ids, np.uint32)
-
-    def _add(self, text: str) -> int:
-        ids = self._encode(text)
-        return int(self.pool.add(ids, np.array([len(ids)]))[0])
-
-    def _learn(self, pieces: list[str]) -> None:
-        marked, fresh, again, older = [], {}, {}, self.older.get
-        for piece in pieces:
-            if not piece.isalpha():
-                if not piece or _is_space(piece[0]) or _is_space(piece[-1]):
-                    self.known[piece] = self.UNSAFE
-                    continue
-                # A letter (of a script that every library knows) and a mark are never one token.
-                stem = piece.rstrip(_MARKS)
-                if stem and len(stem) < len(piece) and stem[-1] <= "\u024f" and stem[-1].isalpha():
-                    marked.append((piece, stem, piece[len(stem) :]))
-                    if stem in self.known:
-                        continue
-                    piece = stem
-            (again if older(piece, self.UNSAFE) >= 0 else fresh)[piece] = None
-        again = list(again)
-        codes = np.array([self.older[p] for p in again], np.int64)
-        self.known.update(zip(again, self.pool.add(self.older_pool.joined(codes), self.older_pool.sizes[codes]).tolist(), strict=True))
-        fresh = list(fresh)
-        for at in range(0, len(fresh), 2000):
-            part = fresh[at : at + 2000]
-            ids = self._encode(" " + " ".join(part))
-            begins = np.flatnonzero(self.starts[ids])
+        self.ending = [] if end_id is None else [end_id]
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [c.ids for c in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(c) for c in coded], np.int64)
+        return np.array([i for c in coded for i in c], np.uint32), sizes
+
+    def _with_blanks(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that stand behind a blank."""
+        ids, sizes = [], []
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at : at + 2000]
+            own, _ = self._one_by_one([" " + " ".join(part)])
+            begins = np.flatnonzero(self.starts[own])
             if len(begins) == len(part) and begins[0] == 0:
-                new = self.pool.add(ids, np.diff(begins, append=len(ids))).tolist()
+                counts = np.diff(begins, append=len(own))
             else:
-                new = [self._add(" " + piece) for piece in part]
-            self.known.update(zip(part, new, strict=True))
-        for tail in {t for _, _, t in marked if t not in self.tails}:
-            self.tails[tail] = self._add(tail)
-        both = np.array([c for _, stem, tail in marked for c in (self.known[stem], self.tails[tail])], np.int64)
-        sizes = self.pool.sizes[both].reshape(-1, 2).sum(axis=1)
-        new = self.pool.add(self.pool.joined(both), sizes).tolist()
-        self.known.update(zip([p for p, _, _ in marked], new, strict=True))
-
-    def _slow(self, pieces: list[str]) -> int:
-        """The code of a text where a run of pieces around each unsafe blank is one piece."""
-        out, run, held = [], [pieces[0]], not pieces[0] or _is_space(pieces[0][-1])
-        for piece in pieces[1:]:
-            if held or self.known[piece] < 0:
-                run.append(piece)
-                held = not piece or _is_space(piece[-1])
-                continue
-            if run:
-                out.append(self._encode(" " * bool(out) + " ".join(run)))
-                run = []
-            at = self.pool.starts[self.known[piece]]
-            out.append(self.pool.ids[at : at + self.pool.sizes[self.known[piece]]])
-        if run:
-            out.append(self._encode(" " * bool(out) + " ".join(run)))
-        ids = np.concatenate(out)
-        return int(self.pool.add(ids, np.array([len(ids)]))[0])
+                own, counts = self._one_by_one([" " + piece for piece in part])
+            ids.append(own)
+            sizes.append(counts)
+        return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all ``texts`` (no nulls), joined, with the end id behind each, and their counts."""
-        if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.known) > CACHE_PIECES or self.pool.used > 16 * CACHE_PIECES:
-            self._renew(self.known, self.pool)
-        lists = pc.split_pattern(texts, " ")
+    def _encode(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         begins = lists.offsets.to_numpy().astype(np.int64)
-        first_at = begins[:-1]
-        rest = np.ones(begins[-1], bool)
-        rest[first_at] = False
         flat = lists.values
-        coded = flat.filter(pa.array(rest)).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self._learn([w for w in words if w not in self.known])
-        codes = np.full(begins[-1], self.empty, np.int64)
-        place = np.array([self.known[w] for w in words], np.int64)
-        codes[rest] = place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else []
-        unsafe = np.zeros(len(texts), bool)
-        doc = np.repeat(np.arange(len(texts)), np.diff(begins))
-        unsafe[doc[codes < 0]] = True
-        for i, first in enumerate(flat.take(pa.array(first_at)).to_pylist()):
-            if begins[i + 1] - begins[i] > 1 and (not first or _is_space(first[-1])):
-                unsafe[i] = True
-            elif not unsafe[i]:
-                if first not in self.firsts:
-                    self.firsts[first] = self._add(first) if first else self.empty
-                codes[first_at[i]] = self.firsts[first]
-        for i in np.flatnonzero(unsafe).tolist():
-            own = slice(int(begins[i]), int(begins[i + 1]))
-            code = self._slow(flat[own.start : own.stop].to_pylist())
-            codes[own] = self.empty
-            codes[own.start] = code
-        ended = np.insert(codes, begins[1:], self.end)
-        sizes = np.add.reduceat(self.pool.sizes[ended], begins[:-1] + np.arange(len(texts)))
-        return self.pool.joined(ended), sizes
-
-
-def _is_space(character: str) -> bool:
-    return character.isspace() or character in _SPACES
+        rest = np.ones(len(flat), bool)
+        rest[begins[:-1]] = False
+        inner, first = flat.filter(pa.array(rest)).dictionary_encode(), flat.take(pa.array(begins[:-1])).dictionary_encode()
+        pieces = inner.dictionary
+        stems = pc.utf8_rtrim(pieces, characters=_MARKS)
+        last = pc.utf8_slice_codeunits(stems, -1)
+        marked = pc.and_(pc.not_equal(stems, pieces), pc.and_(pc.utf8_is_alpha(last), pc.less_equal(last, "\u024f")))
+        base = pc.if_else(marked, stems, pieces).dictionary_encode()
+        tails = pc.if_else(marked, pc.struct_field(pc.extract_regex(pieces, f"(?P<t>[{_MARKS}]*)$"), "t"), "").dictionary_encode()
+        number = lambda coded: coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # The ids of a distinct piece are those of its stem and of its marks.
+        halves = [self._with_blanks(base.dictionary.to_pylist()), self._one_by_one(tails.dictionary.to_pylist())]
+        ids, sizes = (np.concatenate(column) for column in zip(*halves, strict=True))
+        codes = np.stack([number(base), len(halves[0][1]) + number(tails)], axis=1)
+        whole = _gathered(ids, (np.cumsum(sizes) - sizes)[codes.ravel()], sizes[codes.ravel()]), sizes[codes].sum(axis=1)
+        parts = [whole, self._one_by_one(first.dictionary.to_pylist()), (np.array(self.ending, np.uint32), np.array([len(self.ending)]))]
+        ids, sizes = (np.concatenate(column) for column in zip(*parts, strict=True))
+        # The end of a document is one more piece of it.
+        at = begins[:-1] + np.arange(len(lists))
+        places = np.full(len(flat) + len(lists), len(sizes) - 1, np.int64)
+        inside = np.ones(len(places), bool)
+        inside[at] = inside[begins[1:] + np.arange(len(lists))] = False
+        places[inside] = number(inner)
+        places[at] = len(pieces) + number(first)
+        counts = sizes[places]
+        totals = np.add.reduceat(counts, at) if len(lists) else np.zeros(0, np.int64)
+        return _gathered(ids, (np.cumsum(sizes) - sizes)[places], counts), totals
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` (no nulls), joined, with the end id behind each, and their counts."""
+        unsafe = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+        cut = [_SAFE_BLANK.split(t) for t in texts.filter(pa.array(unsafe)).to_pylist()]
+        parts = [self._encode(pc.split_pattern(texts.filter(pa.array(~unsafe)), " ")), self._encode(pa.array(cut, pa.list_(pa.string())))]
+        ids, sizes = (np.concatenate(column) for column in zip(*parts, strict=True))
+        # Back into the order of the texts.
+        order = np.argsort(np.argsort(unsafe, kind="stable"), kind="stable")
+        return _gathered(ids, (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -206,8 +137,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
         squeeze = _codec().compress
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                before = lengths[at - 1] if at else 0
+                part = batch.slice(at, max(1, int(np.searchsorted(lengths, before + CHUNK_BYTES, "right")) - at))
+                at += part.num_rows
                 ids, sizes = encoder.encode(pc.fill_null(part.column(1), ""))
                 raw, narrow = memoryview(ids.astype("<u4")).cast("B"), memoryview(ids.astype(f"<u{width}")).cast("B")
                 ends = np.cumsum(sizes).tolist()
@@ -260,9 +195,8 @@ def write_token_files(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before, loosen = TaskContext.get().partitionId(), 0, _codec().decompress
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        slices = (b.slice(at, PLACED_ROWS) for b in batches for at in range(0, b.num_rows, PLACED_ROWS))
+        for batch in slices:
             doc_id, n_tokens, width, packed = batch.columns
             each = width[0].as_py()
             sizes = (each * n_tokens.to_numpy()).tolist()

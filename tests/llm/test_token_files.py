@@ -57,11 +57,12 @@ def check(encoder, tokenizer, texts):
         assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
-def test_a_full_cache_changes_nothing(tokenizer, monkeypatch):
-    monkeypatch.setattr(token_files, "CACHE_PIECES", 5)
+def test_no_texts_and_texts_of_one_kind(tokenizer):
     encoder = token_files.PieceEncoder(Path(TOKENIZER).read_text())
-    for turn in range(30):
-        check(encoder, tokenizer, [f"w{turn} the{n} again, the same. \n" for n in range(5)] + ["again, the1 x"])
+    for texts in ([], ["one safe text"], [" unsafe "], ["", ""]):
+        ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+        assert ids.tolist() == [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
+        assert len(sizes) == len(texts)
 
 
 ROWS = [
@@ -71,7 +72,9 @@ ROWS = [
 
 
 @pytest.mark.parametrize("shard_tokens", [1 << 27, 3000])
-def test_round_trip(spark, tmp_path, tokenizer, shard_tokens):
+def test_round_trip(spark, tmp_path, tokenizer, shard_tokens, monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 10)
+    monkeypatch.setattr(token_files, "PLACED_ROWS", 2)
     shards = written(spark, tmp_path, ROWS, shard_tokens=shard_tokens).orderBy("shard").collect()
     assert sums(spark, tmp_path) == expected(tokenizer, ROWS)
     assert [s["base"] for s in shards] == [sum(t["n_tokens"] for t in shards[:i]) for i in range(len(shards))]
