@@ -1,8 +1,12 @@
 """English suffix stripping (the published Porter rules with the usual extensions) as columns.
 
-It is a vocabulary job: it runs once per distinct term, not once per token.
+It is a vocabulary job: it runs once per distinct term, not once per token. ``stem_vocabulary`` does it
+for a relation of terms, ``stem_words`` inside a task for the distinct words of a batch.
 """
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 
 # Irregular words and their stems.
@@ -88,7 +92,9 @@ _DOUBLE = f"""case
   when endswith(w, 'logi') then if({_like(_cut('w', 3), MEASURE_OVER_0)}, {_cut('w', 1)}, w)
   else {_rules(DOUBLE_SUFFIXES, MEASURE_OVER_0)} end"""
 _ENDING = _rules(ENDINGS, MEASURE_OVER_0)
-_REMOVED = _rules([(suffix, "") for suffix in REMOVED], MEASURE_OVER_1, {"ion": "[st]$"})
+_REMOVALS = [(suffix, "") for suffix in REMOVED]
+_BEFORE_REMOVED = {"ion": "[st]$"}
+_REMOVED = _rules(_REMOVALS, MEASURE_OVER_1, _BEFORE_REMOVED)
 _FINAL_E = f"""if(endswith(w, 'e') and ({_like(_cut('w', 1), MEASURE_OVER_1)} or
   ({_like(_cut('w', 1), MEASURE_IS_1)} and not {_like(_cut('w', 1), SHORT)})), {_cut('w', 1)}, w)"""
 _FINAL_LL = f"""if(endswith(w, 'll') and {_like(_cut('w', 1), MEASURE_OVER_1)}, {_cut('w', 1)}, w)"""
@@ -105,3 +111,72 @@ def stem_vocabulary(terms: DataFrame) -> DataFrame:
     return steps.selectExpr(
         "term", f"coalesce({_IRREGULAR}, if(length(term) <= 2, lower(term), w)) as normal"
     )
+
+
+@lru_cache(maxsize=256)
+def _pattern(pattern: str) -> re.Pattern:
+    return re.compile(pattern)
+
+
+def _has(word: str, pattern: str) -> bool:
+    return _pattern(pattern).search(word) is not None
+
+
+def _replace(word: str, table, measure=None, also=None) -> str:
+    for suffix, replacement in table:
+        if word.endswith(suffix):
+            rest = word[: len(word) - len(suffix)]
+            wanted = (measure, (also or {}).get(suffix))
+            return rest + replacement if all(_has(rest, p) for p in wanted if p) else word
+    return word
+
+
+def _repair(rest: str) -> str:
+    """What is left of a word without -ed or -ing."""
+    if rest.endswith(("at", "bl", "iz")):
+        return rest + "e"
+    if len(rest) >= 2 and rest[-1] == rest[-2] and rest[-1] not in "aeiouy":
+        return rest if rest[-1] in "lsz" else rest[:-1]
+    return rest + "e" if _has(rest, MEASURE_IS_1) and _has(rest, SHORT) else rest
+
+
+def _past(word: str) -> str:
+    if word.endswith("ied"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    if word.endswith("eed"):
+        return word[:-1] if _has(word[:-3], MEASURE_OVER_0) else word
+    for suffix in ("ed", "ing"):
+        if word.endswith(suffix) and _has(word[: -len(suffix)], HAS_VOWEL):
+            return _repair(word[: -len(suffix)])
+    return word
+
+
+def _stem(term: str) -> str:
+    if term in IRREGULAR:
+        return IRREGULAR[term]
+    word = term.lower()
+    if len(term) <= 2:
+        return word
+    word = _past(word[:-1] if word.endswith("ies") and len(word) == 4 else _replace(word, PLURALS))
+    if len(word) > 2 and _has(word, "[^aeiouy]y$|[aeiou]yy$"):
+        word = word[:-1] + "i"
+    if word.endswith("alli") and _has(word[:-4], MEASURE_OVER_0):
+        word = word[:-2]
+    if word.endswith("logi"):
+        word = word[:-1] if _has(word[:-3], MEASURE_OVER_0) else word
+    else:
+        word = _replace(word, DOUBLE_SUFFIXES, MEASURE_OVER_0)
+    word = _replace(word, ENDINGS, MEASURE_OVER_0)
+    word = _replace(word, _REMOVALS, MEASURE_OVER_1, _BEFORE_REMOVED)
+    if word.endswith("e"):
+        rest = word[:-1]
+        if _has(rest, MEASURE_OVER_1) or _has(rest, MEASURE_IS_1) and not _has(rest, SHORT):
+            word = rest
+    if word.endswith("ll") and _has(word[:-1], MEASURE_OVER_1):
+        word = word[:-1]
+    return word
+
+
+def stem_words(words: list[str]) -> list[str]:
+    """The normal form of each word, as ``stem_vocabulary`` gives it."""
+    return [_stem(w) for w in words]

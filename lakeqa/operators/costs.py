@@ -62,6 +62,20 @@ def response_costs(
     return priced.drop(*[c for c in price_list.columns if c != "model"])
 
 
+def dollars(response: Column, mode: str = "default", ignore_token_caching: bool = False) -> Column:
+    """The cost of one response in its row; null for a failed one. A model without a price is an error."""
+    usage, model = response["usage"], response["model"]
+    cached = F.lit(0) if ignore_token_caching else F.coalesce(
+        usage["prompt_tokens_details"]["cached_tokens"], F.lit(0)
+    )
+    cost = F.raise_error(F.concat(F.lit("no price for model "), model)).cast("double")
+    for name, listed, per_input, per_cached, per_output, *_ in PRICES:
+        if listed == mode:
+            own = cached * per_cached + (usage["prompt_tokens"] - cached) * per_input + usage["completion_tokens"] * per_output
+            cost = F.when(model == name, own / 1_000_000).otherwise(cost)
+    return F.when(model.isNotNull(), cost)
+
+
 def _with_prices(rows: DataFrame, price_list: DataFrame) -> DataFrame:
     """Rows with the prices of their ``model``; one that the list lacks is an error, not free of charge."""
     unknown = F.raise_error(F.concat(F.lit("no price for model "), F.coalesce("model", F.lit("null"))))

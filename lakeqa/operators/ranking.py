@@ -35,16 +35,22 @@ def oracle_hits(questions: DataFrame) -> DataFrame:
     )
 
 
-def selected_first(hits: DataFrame, selections: DataFrame, focus: int) -> DataFrame:
+def selected_first(
+    hits: DataFrame, selections: DataFrame, focus: int, sizes: str | None = None
+) -> DataFrame:
     """Within the first ``focus`` hits, put the selected ones in front; both groups keep their order.
 
     ``selections(query_id, selected array<string>)``: ids that are no candidate have no effect, a
-    missing or null list selects nothing, and selecting too many truncates nothing.
+    missing or null list selects nothing, and selecting too many truncates nothing. ``sizes`` names
+    a column for how many candidates the question's selection named.
     """
     chosen = hits.join(selections.select("query_id", "selected"), "query_id", "left").withColumn(
         "_chosen", F.coalesce(F.array_contains("selected", F.col("table_id")), F.lit(False))
     )
     behind = F.col("rank") > focus
+    if sizes:
+        named = F.count_if(F.col("_chosen") & ~behind).over(W.partitionBy("query_id"))
+        chosen = chosen.withColumn(sizes, named)
     return _rerank(chosen, behind, behind | ~F.col("_chosen"), "rank").drop("selected", "_chosen")
 
 

@@ -54,6 +54,49 @@ def runs_with(records: DataFrame, **wanted: str) -> DataFrame:
     return records
 
 
+def records_of(documents: DataFrame) -> DataFrame:
+    """Run records from run files of any shape (``sources.store.read_run_documents``).
+
+    Metrics are taken by whatever names a file has; what a file lacks is null.
+    """
+    get = lambda path, kind: F.try_variant_get("document", path, kind)
+    sizes = "array<struct<num_tables:int,num_rows:int>>"
+    config = F.struct(
+        get("$.config.config_name", "string").alias("config_name"),
+        get("$.config.exp", "string").alias("exp"),
+        F.struct(get("$.config.zoom.next_focus_sizes", sizes).alias("next_focus_sizes")).alias("zoom"),
+    )
+    return documents.select(
+        F.coalesce(get("$.run_id", "string"), F.col("path")).alias("run_id"),
+        *[get(f"$.{c}", "bigint").alias(c) for c in COUNTERS],
+        get("$.retrieval_results", "map<string,double>").alias("retrieval_results"),
+        get("$.qa_results", "map<string,double>").alias("qa_results"),
+        get("$.total_llm_cost", "double").alias("total_llm_cost"),
+        config.alias("config"),
+        "path",
+    )
+
+
+def metric_names(records: DataFrame) -> list[str]:
+    """All metrics that some record has, in order of name; a name is one row whatever the number of runs."""
+    both = F.concat(*[F.coalesce(F.map_keys(c), F.array().cast("array<string>")) for c in ("retrieval_results", "qa_results")])
+    return sorted(r["name"] for r in records.select(F.explode(both).alias("name")).distinct().collect())
+
+
+def full_report(records: DataFrame) -> DataFrame:
+    """A row for each of ``records_of``: every component of the run names and every metric, whatever they are."""
+    named = records.select("run_id", F.col("config.config_name").alias("config_name"))
+    names = sorted(r["component"] for r in component_names(named).collect())
+    metrics = metric_names(records)
+    values = [F.coalesce(*[F.try_element_at(c, F.lit(m)) for c in ("retrieval_results", "qa_results")]) for m in metrics]
+    return records.select(
+        "run_id",
+        *[component(F.col("config.config_name"), n).alias(n) for n in names],
+        focus_text(F.col("config.zoom.next_focus_sizes")).alias("next_focus_sizes"),
+        *[F.round(v, 5).alias(m) for v, m in zip(values, metrics, strict=True)],
+    )
+
+
 def focus_text(sizes: Column) -> Column:
     """Zoom stages as text, for example ``-1rows-> 10 -5rows-> 3``; '' without zoom."""
     parts = F.transform(
@@ -78,7 +121,7 @@ def report_rows(records: DataFrame, names=None) -> DataFrame:
         *[component(F.col("config.config_name"), n).alias(n) for n in names],
         focus_text(F.col("config.zoom.next_focus_sizes")).alias("next_focus_sizes"),
         *[F.round(F.try_element_at("retrieval_results", F.lit(m)), 2).alias(m) for m in ACCURACIES],
-        *[F.round(F.col(f"qa_results.{m}"), 2).alias(m) for m in ("exact_match", "f1_score")],
+        *[F.round(F.col("qa_results")[m], 2).alias(m) for m in ("exact_match", "f1_score")],
         F.round(F.col("total_llm_cost") * 100, 2).alias(COST),
     ).withColumn("num_context", F.col("num_context").cast("int"))
 
@@ -129,6 +172,12 @@ def off_size_selections(sizes: DataFrame, num_tables: int, run_keys=("run_id",))
     )
 
 
+# Counters that a record may have; the first two always.
+COUNTERS = (
+    "cutoff_context_ctr", "processed_queries_ctr", "off_size_ctr", "failed_replies_ctr", "prompt_tokens", "completion_tokens",
+)
+
+
 def run_records(
     configs: DataFrame, retrieval: DataFrame, answers: DataFrame, counters: DataFrame, costs: DataFrame,
     k_values=(1, 3, 5, 10, 100),
@@ -150,8 +199,7 @@ def run_records(
     joined = reduce(lambda a, b: a.join(b, "run_id", "left"), parts)
     return joined.select(
         "run_id",
-        "cutoff_context_ctr",
-        "processed_queries_ctr",
+        *[c for c in COUNTERS if c in counters.columns],
         "retrieval_results",
         "qa_results",
         "total_llm_cost",

@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeqa.functions import templates as T, text as text_functions
-from lakeqa.scale import broadcast_if_small
+from lakeqa.operators import fetch
+from lakeqa.scale import BROADCAST_BYTES, broadcast_if_small, cut_lineage
 
 
 def request_struct(
@@ -38,14 +39,13 @@ def _order_of(tables: DataFrame) -> list[str]:
     return ["ord"] if "ord" in tables.columns else []
 
 
-def hit_tables(hits: DataFrame, tables: DataFrame) -> DataFrame:
+def hit_tables(hits: DataFrame, tables: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The tables that ``hits`` name, one for each id: of those sharing it the last one in file order.
 
-    The distinct ids of the hits go to the tables (broadcast if measured small), so tables that are
-    not hit stay where they are; those that are meet on their id once.
+    Tables that are not hit stay where they are (``fetch.rows_of_ids``); those that are meet on their id
+    once. ``tables`` without ``ord``, as ``met_tables`` returns them, have one row per id already.
     """
-    ids = hits.where("table_id IS NOT NULL").select("table_id").distinct()
-    found = tables.join(broadcast_if_small(ids), "table_id", "left_semi").select(*tables.columns)
+    found = fetch.rows_of_ids(tables, hits, "table_id", broadcast_bytes)
     if "ord" not in tables.columns:
         return found
     last = F.max_by(F.struct(*[c for c in tables.columns if c != "table_id"]), "ord").alias("_last")
@@ -54,6 +54,11 @@ def hit_tables(hits: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
+def met_tables(hits: DataFrame, tables: DataFrame) -> DataFrame:
+    """The tables that ``hits`` name, written once; later stages don't look for the last of an id again."""
+    return cut_lineage(hit_tables(hits, tables).drop("ord"))
+
+
 def missing_tables(hits: DataFrame, tables_text: DataFrame) -> DataFrame:
     """Hits naming a table the lake does not have; should be empty."""
     return hits.select("table_id").distinct().join(tables_text.select("table_id"), "table_id", "left_anti")

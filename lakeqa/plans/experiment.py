@@ -1,9 +1,13 @@
 """Whole runs: retrieve, zoom, rerank, then assemble, answer and score."""
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from lakeqa import schemas
 from lakeqa.functions import linearize as L
 from lakeqa.operators import costs, evaluate, ranking, report, requests as R
+from lakeqa.plans.meter import RunMeter
 from lakeqa.scale import broadcast_if_small, cut_lineage
 
 
@@ -29,7 +33,7 @@ def _ranked(questions, tables, retriever, zoom, reranker) -> tuple[DataFrame, Da
     hits = cut_lineage(ranking.reciprocal_rank(retriever(questions, tables)))
     if retriever.mode == "closed-book":
         return hits, tables
-    met = cut_lineage(R.hit_tables(hits, tables))
+    met = R.met_tables(hits, tables)
     for stage in (zoom, reranker):
         if stage is not None:
             hits = ranking.reciprocal_rank(stage(questions, hits, met))
@@ -68,6 +72,14 @@ def answered_questions(
     return generator(asked).join(questions.select("query_id", "ground_truth"), "query_id")
 
 
+@dataclass
+class Run:
+    hits: DataFrame
+    accuracies: DataFrame
+    scored: DataFrame
+    record: DataFrame
+
+
 def run_experiment(
     questions: DataFrame, tables: DataFrame, retriever, generator, model: str, dataset: str,
     zoom=None, reranker=None, **settings,
@@ -85,6 +97,45 @@ def run_experiment(
     return named, accuracies, by_id(evaluate.answer_scores(answers), questions)
 
 
+def whole_run(
+    questions: DataFrame, tables: DataFrame, retriever, generator, model: str, dataset: str, meter: RunMeter,
+    run_id: str, config_name: str, exp: str, zoom=None, reranker=None, zoom_stages=None, **settings,
+) -> Run:
+    """A run with its record: counters, accuracies, answer scores and cost, next to its relations.
+
+    The stages ask through ``meter.exchange``, so the record has all that was spent; the counters of the
+    answers are observed while the scored answers are written. The cost is per processed question.
+    """
+    hits, accuracies, scored = run_experiment(
+        questions, tables, retriever, generator, model, dataset, zoom, reranker, **settings
+    )
+    metrics = ("exact_match", "relaxed_match", "f1_score")
+    scored = meter.written(
+        scored.select("query_ord", "query_id", "was_cut", "prediction", "ground_truth", *metrics),
+        cutoff_context_ctr=F.count_if("was_cut"),
+        processed_queries_ctr=F.count(F.lit(1)),
+        **{m: F.sum(m) for m in metrics},
+    )
+    accuracies = cut_lineage(accuracies)
+    seen, spark = meter.totals, questions.sparkSession
+    processed = max(1, seen.get("processed_queries_ctr", 0))
+    sizes = [(s["num_tables"], s["num_rows"]) for s in zoom_stages] if zoom_stages else None
+    config = spark.createDataFrame(
+        [(run_id, (config_name, exp, (sizes,)))], T.StructType([schemas.RUN_RECORD["run_id"], schemas.RUN_RECORD["config"]])
+    )
+    counters = [(run_id, *(int(seen.get(c, 0)) for c in report.COUNTERS))]
+    means = [(run_id, *(float(seen.get(m, 0)) / processed for m in metrics), seen.get("cost", 0.0) / processed)]
+    summed = spark.createDataFrame(means, "run_id string, " + ", ".join(f"{m} double" for m in (*metrics, "cost_per_question")))
+    record = report.run_records(
+        config,
+        accuracies.withColumn("run_id", F.lit(run_id)),
+        summed,
+        spark.createDataFrame(counters, "run_id string, " + ", ".join(f"{c} bigint" for c in report.COUNTERS)),
+        summed,
+    )
+    return Run(hits, accuracies, scored, record)
+
+
 def split_questions(
     records: DataFrame, predictions: DataFrame, references: DataFrame, questions: DataFrame,
     partition: str, model: str,

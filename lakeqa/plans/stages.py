@@ -35,7 +35,7 @@ def oracle_retriever():
 
 def bm25_retriever(
     linearization: str = "csv", num_retrieve: int = 100, separate_names: bool = True,
-    stop_words=text_functions.ENGLISH_STOP_WORDS, normalizer=stem.stem_vocabulary, index=None,
+    stop_words=text_functions.ENGLISH_STOP_WORDS, normalizer=stem.stem_words, index=None,
 ):
     """BM25 over table text and, by default, over table names as a second field.
 
@@ -56,18 +56,24 @@ def bm25_retriever(
 
 
 def dense_retriever(embed, linearization: str = "csv", num_retrieve: int = 100, table_vectors=None):
-    """Cosine over embedded texts; ``table_vectors(ord, table_id, vector)`` if already stored."""
+    """Cosine over embedded texts; ``table_vectors(ord, table_id, vector)`` if already stored.
+
+    ``embed`` adds vectors to texts, or is an estimator that the tables' texts are fitted on first;
+    with stored vectors it has to be the fitted model they came from.
+    """
 
     def retrieve(questions: DataFrame, tables: DataFrame) -> DataFrame:
-        vectors = table_vectors
+        vectors, model = table_vectors, embed
         if vectors is None:
             texts = L.linearize(tables, linearization).select(
                 "ord", "table_id", F.col("table_content").alias("text")
             )
+            if hasattr(embed, "fit"):
+                model = embed.fit(texts)
             # Vectors are written once; the text they come from goes no further.
-            vectors = cut_lineage(embed(texts).select("ord", "table_id", "vector"))
+            vectors = cut_lineage(model(texts).select("ord", "table_id", "vector"))
         asked = questions.select("query_id", F.col("query_text").alias("text"))
-        return dense.dense_hits(cut_lineage(embed(asked).select("query_id", "vector")), vectors, num_retrieve)
+        return dense.dense_hits(model(asked).select("query_id", "vector"), vectors, num_retrieve)
 
     retrieve.mode = "open-book"
     return retrieve
@@ -98,9 +104,12 @@ def check_stages(num_zoom: int, stages) -> None:
 
 def row_zoom(
     tables: DataFrame, exchange, model: str, linearization: str = "csv", num_zoom: int = 100,
-    stages=ZOOM_STAGES,
+    stages=ZOOM_STAGES, meter=None,
 ):
-    """Let a model pick tables from a few rows of each, in ever smaller circles."""
+    """Let a model pick tables from a few rows of each, in ever smaller circles.
+
+    A ``meter`` counts the selections of another size than asked for, as ``off_size_ctr``.
+    """
     check_stages(num_zoom, stages)
 
     lake = tables
@@ -119,7 +128,12 @@ def row_zoom(
                 "query_id",
                 parsing.selected_ids(parsing.content_of(F.col("response"))).alias("selected"),
             )
-            hits = ranking.selected_first(hits, picked, focus)
+            if meter is None:
+                hits = ranking.selected_first(hits, picked, focus)
+            else:
+                hits = ranking.selected_first(hits, picked, focus, sizes="_named")
+                off = (F.col("rank") == 1) & (F.col("_named") != stage["num_tables"])
+                hits = meter.written(hits, off_size_ctr=F.count_if(off)).drop("_named")
             focus = stage["num_tables"]
         return hits
 

@@ -36,9 +36,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aitqa_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_sources.normalize_tables(raw_documents(spark, sf_dir), "aitqa")
+
+
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as nested tables: a row per line of text, a cell per sentence."""
     lines = F.split("text", "\n")
-    raw = spread(table(spark, sf_dir, "documents")).select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("ord"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
         F.concat(F.col("source"), F.lit(', "'), F.col("lang"), F.lit('"')).alias("title"),
@@ -54,17 +58,20 @@ def aitqa_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("row_header"),
         F.transform(lines, lambda line: F.split(line, r"\. ")).alias("data"),
     )
-    return table_sources.normalize_tables(raw, "aitqa")
 
 
 def nq_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_sources.normalize_tables(raw_orders(spark, sf_dir), "nqtables")
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as small field / value tables."""
 
     def row(name, value):
         cells = [F.struct(F.lit(name).alias("text")), F.struct(value.alias("text"))]
         return F.struct(F.array(*cells).alias("cells"))
 
-    raw = spread(table(spark, sf_dir, "orders")).select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("ord"),
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("tableId"),
         F.col("o_orderpriority").alias("documentTitle"),
@@ -78,7 +85,6 @@ def nq_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
             row("date", F.date_format("o_orderdate", "yyyy-MM-dd")),
         ).alias("rows"),
     )
-    return table_sources.normalize_tables(raw, "nqtables")
 
 
 def lake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,19 +243,19 @@ def canned_selections(hits: DataFrame, focus: int) -> DataFrame:
 
 
 def canned_questions(tables: DataFrame) -> DataFrame:
-    """Question-generation replies: a table's first five words, one question each.
+    """Question-generation replies: a question for each line of a table's text.
 
     Every 5th table's reply is no JSON; every 7th table's reply is an empty list.
     """
     number = F.col("table_id").cast("bigint")
-    words = F.slice(text_functions.words(F.col("table_content")), 1, 5)
+    lines = F.filter(F.split("table_content", "\n"), lambda line: line != "")
     return tables.select(
         "table_id",
         F.when(number % 5 == 0, F.lit("no questions today"))
         .when(number % 7 == 0, F.concat(F.lit('{"'), F.col("table_id"), F.lit('":[]}')))
         .otherwise(
             F.concat(
-                F.lit("```json\n"), F.to_json(F.create_map(F.col("table_id"), words)), F.lit("\n```")
+                F.lit("```json\n"), F.to_json(F.create_map(F.col("table_id"), lines)), F.lit("\n```")
             )
         )
         .alias("content"),
@@ -300,9 +306,42 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         name.alias("config_name"),
         experiment.alias("exp"),
         zoom.alias("zoom"),
+        *_measures(),
+    )
+
+
+def _measures() -> list:
+    return [
         F.col("o_orderkey").cast("string").alias("query_id"),
         F.pmod(F.floor("o_totalprice").cast("bigint"), F.lit(120)).alias("found_at"),
         F.pmod(F.floor(F.col("o_totalprice") * 100).cast("bigint"), F.lit(7)).alias("quality"),
         (F.col("o_totalprice") / 1e9).alias("cost"),
         (F.col("o_totalprice") > 400000).alias("was_cut"),
+    ]
+
+
+def other_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as questions of runs of the other three experiments; one run for each cell of their reports."""
+    experiment = (
+        F.when(F.col("o_orderstatus") == "F", "metadata")
+        .when(F.col("o_orderstatus") == "O", "template")
+        .otherwise("linear")
+    )
+    first = F.substring("o_orderpriority", 1, 1) < "3"
+    pick = lambda exp, yes, no: F.when((experiment == exp) & first, yes).otherwise(no)
+    name = F.concat(
+        F.lit("exp="), experiment,
+        F.lit(" retriever=lib.retrieval.BM25Retriever reranker=lib.reranking.NoReranker zoom=lib.zoom.NoZoom"),
+        F.lit(" generator=lib.generation.LLMGenerator model="),
+        F.when(F.col("o_custkey") % 2 == 0, MODEL).otherwise(OTHER_MODEL),
+        F.lit(" num_context=3 linearization=Linearization."), pick("linear", "JSON", "CSV"),
+        F.lit(" template=Template."), pick("template", "TTTQ", "QTTT"),
+        F.when(experiment == "metadata", F.concat(F.lit(" metadata="), pick("metadata", "True", "False"))).otherwise(""),
+    )
+    return table(spark, sf_dir, "orders").select(
+        F.md5(name).alias("run_id"),
+        name.alias("config_name"),
+        experiment.alias("exp"),
+        F.lit("NoZoom").alias("zoom"),
+        *_measures(),
     )

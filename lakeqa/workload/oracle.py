@@ -340,7 +340,24 @@ ORACLE["dense_accuracy"] = with_(
     select=f"SELECT count(*) AS num_questions, {accuracies('first_rank')} FROM firsts",
 )
 
-ORACLE["distinct_embed"] = "SELECT DISTINCT text, CAST(256 AS BIGINT) AS num_values FROM documents"
+# crc32 bit by bit, over the bytes of a word.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, 2 * octet_length(encode(term)) + 1, 2), lambda i: ('0x' || hex(encode(term))[i : i + 1])::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+ORACLE["distinct_embed"] = with_(
+    "texts AS (SELECT DISTINCT text FROM documents)",
+    f"spoken AS (SELECT text, unnest({words('lower(text)')}) AS term FROM texts)",
+    f"places AS (SELECT term, {CRC32} % 16 AS place FROM (SELECT DISTINCT term FROM spoken))",
+    "counted AS (SELECT text, place, count(*) AS n FROM spoken JOIN places USING (term) GROUP BY text, place)",
+    """rare AS (SELECT place, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) AS weight
+  FROM counted JOIN documents USING (text) GROUP BY place)""",
+    """grid AS (SELECT text, g.place, coalesce(n * weight, 0) AS value
+  FROM texts CROSS JOIN (SELECT unnest(range(16)) AS place) g LEFT JOIN counted USING (text, place) LEFT JOIN rare USING (place))""",
+    "lengths AS (SELECT text, sqrt(sum(value * value)) AS length FROM grid GROUP BY text)",
+    select="""
+SELECT md5(text) AS digest, string_agg(printf('%.5f', round(CASE WHEN length > 0 THEN (value / length)::FLOAT::DOUBLE ELSE 0 END, 5)), ' ' ORDER BY place) AS vector
+FROM grid JOIN lengths USING (text) GROUP BY text""",
+)
 
 # Ranking stages
 
@@ -405,11 +422,14 @@ SELECT table_id, {request(T.QUESTIONS_SYSTEM, filled(T.QUESTIONS_PROMPT['aitqa']
 FROM corpus WHERE table_id IN (SELECT table_id FROM hits0 WHERE rank <= 10)""")
 
 
-def generated(source: str) -> str:
+TEXT_LINES = "list_filter(string_split(table_content, chr(10)), lambda l: l <> '')"
+HAS_REPLY = f"ord % 5 <> 0 AND ord % 7 <> 0 AND len({TEXT_LINES}) > 0"
+
+
+def generated(source: str, questions: str = TEXT_LINES, replied: str = HAS_REPLY) -> str:
     return f"""generated AS (
-  SELECT query_id, table_id, {words('table_content')}[1:5] AS questions
-  FROM {source} JOIN corpus USING (table_id)
-  WHERE rank <= 10 AND ord % 5 <> 0 AND ord % 7 <> 0 AND len({words('table_content')}) > 0)"""
+  SELECT query_id, table_id, {questions} AS questions
+  FROM {source} JOIN corpus USING (table_id) WHERE rank <= 10 AND {replied})"""
 
 
 ORACLE["parse_questions"] = with_(*hits(), generated("hits0"), select="""
@@ -422,12 +442,12 @@ def letters(text: str) -> str:
     return "[" + ", ".join(f"CAST(len({text}) - len(replace({text}, '{c}', '')) AS DOUBLE)" for c in LETTERS) + "]"
 
 
-def similarity(source: str) -> list[str]:
+def similarity(source: str, asked: str = "passages", **replies: str) -> list[str]:
     return [
-        generated(source),
-        """compared AS (
+        generated(source, **replies),
+        f"""compared AS (
   SELECT query_id, table_id, query_text, unnest(questions) AS text
-  FROM generated JOIN passages USING (query_id))""",
+  FROM generated JOIN {asked} USING (query_id))""",
         f"""vectors AS (
   SELECT query_id, table_id, {letters('query_text')} AS a, {letters('text')} AS b FROM compared)""",
         """similarities AS (
@@ -437,8 +457,8 @@ def similarity(source: str) -> list[str]:
     ]
 
 
-def merged(source: str) -> list[str]:
-    return similarity(source) + [
+def merged(source: str, **options: str) -> list[str]:
+    return similarity(source, **options) + [
         f"""joined AS (
   SELECT h.query_id, h.table_id, h.rank, h.score AS old, s.score AS new
   FROM {source} h LEFT JOIN similarities s ON h.query_id = s.query_id AND h.table_id = s.table_id AND h.rank <= 10)""",
@@ -731,7 +751,7 @@ ORACLE["ranked_accuracy"] = with_(
 )
 
 LINES = f"""corpus AS (
-  SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS table_id, source AS table_name,
+  SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS table_id, source AS table_name, text,
     {csv_line('[CAST(doc_id AS VARCHAR), source]')} || {csv_line("['line']")} ||
     array_to_string(list_transform(string_split(text, chr(10)), lambda l: {csv_line('[l]')}), '') AS table_content
   FROM documents)"""
@@ -743,10 +763,11 @@ def picked(source: str, focus: int, name: str) -> str:
     rank > {focus}, NOT (rank <= {focus} AND CAST(table_id AS BIGINT) % 3 = 0), rank) AS rank FROM {source})"""
 
 
-ORACLE["answered_run"] = with_(
-    """asked AS (
+ASKED = """asked AS (
   SELECT 'q' || item_id AS query_id, b.text AS query_text, CAST(min(doc_id) AS VARCHAR) AS gold
-  FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY ALL)""",
+  FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY ALL)"""
+ORACLE["answered_run"] = with_(
+    ASKED,
     *bm25(100, stemmed=True, asked="asked", corpus=LINES),
     picked("bm25_hits", 100, "picked1"),
     picked("picked1", 10, "picked2"),
@@ -794,3 +815,111 @@ SELECT query_ord, shown_id AS query_id, 'Table ' || first_id AS prediction,
   {tokens('context')} > {128000 - T.ANSWER_TOKENS - T.BUFFER_TOKENS} - {tokens(lit(T.answer_template('QTTT', 'nqtables', 'open-book')))} - {tokens('query_text')} AS was_cut
 FROM answered JOIN asked USING (query_id)""",
 )
+
+WHOLE_RUN = [
+    ASKED,
+    *bm25(100, stemmed=True, asked="asked", corpus=LINES),
+    picked("bm25_hits", 100, "picked1"),
+    picked("picked1", 10, "picked2"),
+    "zoomed AS (SELECT query_id, table_id, rank, 1.0 / rank AS score FROM picked2)",
+    *merged("zoomed", asked="asked", questions="string_split(text, chr(10))", replied="ord % 7 <> 0"),
+]
+ORACLE["pipeline_retrieval"] = with_(*WHOLE_RUN, select=f"""
+SELECT query_id, table_id, rank, {six('1.0 / rank', 'score')} FROM reranked""")
+ORACLE["pipeline_answers"] = with_(
+    *WHOLE_RUN,
+    """named AS (
+  SELECT query_id, count(*) FILTER (focus = 100) AS shown1, count(*) FILTER (focus = 10) AS shown2,
+    count(*) FILTER (focus = 100 AND chosen) AS named1, count(*) FILTER (focus = 10 AND chosen) AS named2
+  FROM (SELECT query_id, 100 AS focus, CAST(table_id AS BIGINT) % 3 = 0 AS chosen FROM bm25_hits WHERE rank <= 100
+    UNION ALL SELECT query_id, 10, CAST(table_id AS BIGINT) % 3 = 0 FROM picked1 WHERE rank <= 10) GROUP BY query_id)""",
+    "heads AS (SELECT DISTINCT CAST(table_id AS BIGINT) % 7 = 0 AS failed, table_id FROM zoomed WHERE rank <= 10)",
+    """answered AS (
+  SELECT query_id, any_value(query_text) AS query_text, any_value(gold) AS gold, arg_min(table_id, rank) AS first_id,
+    string_agg('Table ' || rank || ': ' || table_content, chr(10) ORDER BY rank) AS context
+  FROM reranked JOIN corpus USING (table_id) JOIN asked USING (query_id) WHERE rank <= 3 GROUP BY query_id)""",
+    f"""sums AS (SELECT
+  (SELECT count(*) FROM answered) AS processed_queries_ctr,
+  (SELECT count(*) FROM answered WHERE
+    {tokens('context')} > {128000 - T.ANSWER_TOKENS - T.BUFFER_TOKENS} - {tokens(lit(T.answer_template('QTTT', 'nqtables', 'open-book')))} - {tokens('query_text')}) AS cutoff_context_ctr,
+  (SELECT count(*) FILTER (named1 <> 10) + count(*) FILTER (named2 <> 3) FROM named) AS off_size_ctr,
+  (SELECT count(*) FROM heads WHERE failed) AS failed_replies_ctr,
+  (SELECT sum(shown1 + shown2) FROM named) + 1000 * (SELECT count(*) FROM heads WHERE NOT failed)
+    + 3 * (SELECT count(*) FROM answered) AS prompt_tokens,
+  (SELECT sum(named1 + named2) FROM named) + 10 * (SELECT count(*) FROM heads WHERE NOT failed)
+    + (SELECT count(*) FROM answered) AS completion_tokens)""",
+    "firsts AS (SELECT query_id, min(rank) AS first_rank FROM asked LEFT JOIN reranked r USING (query_id) WHERE gold IS NOT NULL AND r.table_id = gold GROUP BY query_id)",
+    "judged AS (SELECT query_id, first_rank FROM asked LEFT JOIN firsts USING (query_id) WHERE gold IS NOT NULL)",
+    f"accuracy AS (SELECT {accuracies('first_rank')} FROM judged)",
+    """scores AS (
+  SELECT avg(CASE WHEN first_id = gold THEN 1.0 ELSE 0.0 END) AS exact_match,
+    avg(CASE WHEN first_id = gold THEN 1.0 WHEN gold IS NULL THEN 0.0 ELSE 0.5 END) AS f1_score,
+    avg(CASE WHEN contains(first_id, gold) THEN 1.0 ELSE 0.0 END) AS relaxed_match FROM answered)""",
+    select=f"""
+SELECT 'exp=whole model={MODEL}' AS config_name, CAST(processed_queries_ctr AS BIGINT) AS processed_queries_ctr,
+  CAST(cutoff_context_ctr AS BIGINT) AS cutoff_context_ctr, CAST(off_size_ctr AS BIGINT) AS off_size_ctr,
+  CAST(failed_replies_ctr AS BIGINT) AS failed_replies_ctr, CAST(prompt_tokens AS BIGINT) AS prompt_tokens,
+  CAST(completion_tokens AS BIGINT) AS completion_tokens,
+  {", ".join(f"accuracy_at_{k}" for k in K_VALUES)},
+  {", ".join(six(m, m) for m in ("exact_match", "relaxed_match", "f1_score"))},
+  round((prompt_tokens * 0.15 + completion_tokens * 0.60) / 1e6 / processed_queries_ctr, 9) AS total_llm_cost
+FROM sums, accuracy, scores""",
+)
+
+ORACLE["fetched_tables"] = with_(
+    *hits(), select="""
+SELECT table_id, md5(table_content) AS digest FROM corpus WHERE table_id IN (SELECT table_id FROM hits0 WHERE rank <= 3)"""
+)
+
+ORACLE["stored_index_topk"] = with_(
+    PASSAGES, *bm25(100, ("content", "name"), stemmed=True), select=HITS + "bm25_hits"
+)
+ORACLE["bucketed_lookup"] = ORACLE["cache_lookup"]
+
+
+def likeness(key: str, nation: str, balance: str) -> str:
+    return f"[{nation} + 1.0::DOUBLE, CAST({balance} AS DOUBLE) / 1000, CAST({key} % 7 AS DOUBLE), CAST({key} % 11 AS DOUBLE)]"
+
+
+ORACLE["dense_many_questions"] = with_(
+    f"asked AS (SELECT 'c' || c_custkey AS query_id, {likeness('c_custkey', 'c_nationkey', 'c_acctbal')} AS a FROM customer)",
+    f"lake AS (SELECT s_suppkey AS ord, 's' || s_suppkey AS table_id, {likeness('s_suppkey', 's_nationkey', 's_acctbal')} AS b FROM supplier)",
+    """pairs AS (
+  SELECT query_id, ord, table_id, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS score
+  FROM asked CROSS JOIN lake)""",
+    """best AS (
+  SELECT query_id, table_id, score,
+    row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM pairs)""",
+    select=HITS + "best WHERE rank <= 10",
+)
+
+OTHERS = f"""parts AS (
+  SELECT *, CASE o_orderstatus WHEN 'F' THEN 'metadata' WHEN 'O' THEN 'template' ELSE 'linear' END AS exp,
+    o_orderpriority[1] < '3' AS first, CASE WHEN o_custkey % 2 = 0 THEN {lit(MODEL)} ELSE {lit(OTHER_MODEL)} END AS model FROM orders),
+runs AS (
+  SELECT exp, model, CASE WHEN exp = 'linear' AND first THEN 'Linearization.JSON' ELSE 'Linearization.CSV' END AS linearization,
+    CASE WHEN exp = 'template' AND first THEN 'Template.TTTQ' ELSE 'Template.QTTT' END AS template,
+    CASE WHEN exp = 'metadata' THEN CASE WHEN first THEN 'True' ELSE 'False' END END AS metadata,
+    {", ".join(f"avg(CASE WHEN CAST(floor(o_totalprice) AS BIGINT) % 120 < {k} THEN 1.0 ELSE 0.0 END) AS accuracy_at_{k}" for k in K_VALUES)},
+    avg(CASE WHEN CAST(floor(o_totalprice * 100) AS BIGINT) % 7 > 3 THEN 1.0 ELSE 0.0 END) AS exact_match,
+    sum(o_totalprice / 1e9) / count(*) AS total_llm_cost
+  FROM parts GROUP BY ALL)"""
+ORACLE["report_file_retrieval"] = ORACLE["report_flat"]
+ORACLE["report_file_zoom"] = ORACLE["report_zoom"]
+ORACLE["report_file_tqa"] = ORACLE["report_pivot"]
+ORACLE["report_file_metadata"] = with_(OTHERS, select=f"""
+SELECT 'BM25Retriever' AS retriever, 'NoReranker' AS reranker, 'NoZoom' AS zoom, linearization, metadata, {FLAT}
+FROM runs WHERE exp = 'metadata'""")
+for layout, column in (("template", "template"), ("linear", "linearization")):
+    ORACLE[f"report_file_{layout}"] = with_(OTHERS, select=f"""
+SELECT {column}, {", ".join(f'max(round(exact_match, 2)) FILTER (model = {lit(m)}) AS "exact_match|{m}"' for m in MODELS)}
+FROM runs WHERE exp = '{layout}' GROUP BY {column}""")
+
+ORACLE["split_files"] = ORACLE["split_easy_hard"].replace("SELECT lang AS partition,", "SELECT 'test' AS partition,")
+ORACLE["tables_from_files"] = f"""
+SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY ord) - 1 AS ord, table_id, table_name,
+  {", ".join(f"md5({c}) AS {c}" for c in ("column_header", "row_header", "data"))}
+FROM ({ORACLE["tables_normalized"]})"""
+ORACLE["questions_from_files"] = """
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS query_ord, CAST(event_id AS VARCHAR) AS query_id, props AS query_text,
+  event_type AS table_id, event_type || '|' || props AS ground_truth FROM events"""

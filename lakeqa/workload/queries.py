@@ -6,6 +6,7 @@ from lakeqa.functions import linearize as L, parsing, stem, templates as T, text
 from lakeqa.operators import completions, costs, dense, evaluate, lexical, ranking, report
 from lakeqa.operators import requests as R
 from lakeqa.plans import embedders, experiment, stages
+from lakeqa.plans.meter import RunMeter
 from lakeqa.scale import cut_lineage, new_shared_path
 from lakeqa.sources import store, tables as table_sources
 from lakeqa.workload import inputs as I
@@ -144,7 +145,7 @@ def lexical_postings(spark, sf_dir):
 
 @query
 def lexical_postings_stemmed(spark, sf_dir):
-    return lexical.normal_postings(index(spark, sf_dir, BOTH, stem.stem_vocabulary))
+    return lexical.normal_postings(index(spark, sf_dir, BOTH, stem.stem_words))
 
 
 @query
@@ -173,7 +174,7 @@ def bm25_two_field(spark, sf_dir):
 
 @query
 def bm25_stemmed(spark, sf_dir):
-    built = index(spark, sf_dir, CONTENT, stem.stem_vocabulary)
+    built = index(spark, sf_dir, CONTENT, stem.stem_words)
     hits = lexical.bm25_hits(I.passages(spark, sf_dir), built, 100)
     return hits.select("query_id", "table_id", "rank", six("score"))
 
@@ -214,10 +215,18 @@ def dense_passages(spark, sf_dir):
 
 @query
 def distinct_embed(spark, sf_dir):
-    vectors = dense.embed_distinct(
-        I.table(spark, sf_dir, "documents"), embedders.hashed_idf(), "text"
+    """Vectors of distinct texts, by an embedder that is fitted, stored, loaded, and asked for new texts only."""
+    texts = I.table(spark, sf_dir, "documents").select("text", "doc_id")
+    path, vectors = new_shared_path(spark, "embedder"), new_shared_path(spark, "vectors")
+    embedders.HashedIdf(num_features=16).fit(texts.select("text")).save(path)
+    model = embedders.HashedIdfModel.load(path)
+    store.create_vector_store(spark, vectors)
+    store.embed_into_store(texts.where("doc_id % 2 = 0"), vectors, model)
+    found = store.embed_into_store(texts, vectors, model)
+    return found.select(
+        F.md5("text").alias("digest"),
+        F.array_join(F.transform("vector", lambda v: F.round(v.cast("double"), 5).cast("decimal(8,5)").cast("string")), " ").alias("vector"),
     )
-    return vectors.select("text", F.size("vector").cast("bigint").alias("num_values"))
 
 
 # Ranking stages
@@ -456,7 +465,7 @@ def echo_length(requests: list[dict]) -> list[dict]:
 def complete_requests(spark, sf_dir):
     """Misses are completed as a Spark job, stored, and read back with the known responses."""
     path = new_shared_path(spark, "responses")
-    store.create_response_store(spark, path)
+    store.create_response_store(spark, path, 8)
     requests = I.turn_requests(spark, sf_dir)
     resolved = store.complete_into_store(requests, path, echo_length)
     return resolved.select("request_id", parsing.content_of(F.col("response")).alias("content"))
@@ -580,11 +589,11 @@ def split_easy_hard(spark, sf_dir):
 # Runs and reports
 
 
-def records(spark, sf_dir):
+def records(spark, sf_dir, outcomes=I.run_outcomes):
     """Run records from question outcomes, in one pass over the outcomes."""
     share = lambda condition: F.avg(F.when(condition, 1.0).otherwise(0.0))
     per_run = cut_lineage(
-        I.run_outcomes(spark, sf_dir).groupBy("run_id", "config_name", "exp", "zoom").agg(
+        outcomes(spark, sf_dir).groupBy("run_id", "config_name", "exp", "zoom").agg(
             *[share(F.col("found_at") < k).alias(f"accuracy_at_{k}") for k in evaluate.K_VALUES],
             share(F.col("quality") > 3).alias("exact_match"),
             share(F.col("quality") > 1).alias("relaxed_match"),
@@ -704,7 +713,7 @@ def lines_lake(spark, sf_dir):
 def answered_run(spark, sf_dir):
     """Retrieve, zoom and answer with a stand-in model over stored requests, then score answers."""
     path = new_shared_path(spark, "responses")
-    store.create_response_store(spark, path)
+    store.create_response_store(spark, path, 8)
     exchange = stages.store_exchange(path, pick_and_answer)
     tables = lines_lake(spark, sf_dir)
     _, _, scored = experiment.run_experiment(
@@ -726,7 +735,7 @@ def repeated_ids_run(spark, sf_dir):
     One question has a single word, one has two. Of tables with one id the last is shown.
     """
     path = new_shared_path(spark, "responses")
-    store.create_response_store(spark, path)
+    store.create_response_store(spark, path, 8)
     position = F.col("query_ord")
     short = F.when(position == 0, F.lit("the")).when(position == 1, F.lit("to the")).otherwise(F.col("query_text"))
     asked = I.questions_and_gold(spark, sf_dir).select(
@@ -747,3 +756,240 @@ def repeated_ids_run(spark, sf_dir):
         "nqtables",
     )
     return scored.select("query_ord", "query_id", "was_cut", "prediction")
+
+
+def reply_to_all(requests: list[dict]) -> list[dict]:
+    """A stand-in model for whole runs: also invents a question for each line of a table.
+
+    It rejects question requests about tables whose number divides by 7. Its usage counts tables
+    shown and named, 1000 and 10 for invented questions, 3 and 1 for answers.
+    """
+    import json
+    import re
+
+    replies = []
+    for request, plain in zip(requests, pick_and_answer(requests), strict=True):
+        system, user = (m["content"] for m in request["messages"])
+        if system.startswith("You are a data specialist"):
+            ids = re.findall(r"^table_id: (\d+)$", user, flags=re.M)
+            used = (len(ids), sum(int(i) % 3 == 0 for i in ids))
+        elif system.startswith("You are a chatbot that generates questions"):
+            table_id, table = re.search(r'exactly as shown here: "(\d+)"\. Table: (.*)', user, flags=re.S).groups()
+            if int(table_id) % 7 == 0:
+                replies.append({"error": "rejected"})
+                continue
+            lines = table.split("\r\n")[2:-1]
+            plain["choices"][0]["message"]["content"] = json.dumps({table_id: lines})
+            used = (1000, 10)
+        else:
+            used = (3, 1)
+        plain["usage"] = dict(zip(("prompt_tokens", "completion_tokens", "total_tokens"), (*used, sum(used)), strict=True))
+        replies.append(plain)
+    return replies
+
+
+def whole_stages(spark, tables, meter=None):
+    """Zoom, reranker and generator of a whole run over one response store."""
+    path = new_shared_path(spark, "responses")
+    store.create_response_store(spark, path, 8)
+    exchange = stages.store_exchange(path, reply_to_all)
+    if meter is not None:
+        exchange = meter.exchange(exchange)
+    zoom = stages.row_zoom(tables, exchange, I.MODEL, meter=meter)
+    reranker = stages.question_reranker(tables, exchange, passage_vectors, I.MODEL, "nqtables")
+    return zoom, reranker, stages.completion_generator(exchange)
+
+
+@query
+def pipeline_retrieval(spark, sf_dir):
+    """Retrieve, zoom and rerank with a stand-in model: the whole ranking of every question."""
+    tables = lines_lake(spark, sf_dir)
+    zoom, reranker, _ = whole_stages(spark, tables)
+    hits = experiment.ranked_tables(
+        I.passages(spark, sf_dir), tables, stages.bm25_retriever(separate_names=False), zoom, reranker
+    )
+    return hits.select("query_id", "table_id", "rank", six("score"))
+
+
+@query
+def pipeline_answers(spark, sf_dir):
+    """A whole run over all questions: its record, with what was counted and spent, written and read back."""
+    tables, meter = lines_lake(spark, sf_dir), RunMeter()
+    zoom, reranker, generator = whole_stages(spark, tables, meter)
+    run = experiment.whole_run(
+        cut_lineage(I.questions_and_gold(spark, sf_dir)), tables, stages.bm25_retriever(separate_names=False), generator,
+        I.MODEL, "nqtables", meter, "r1", f"exp=whole model={I.MODEL}", "whole", zoom, reranker, stages.ZOOM_STAGES,
+    )
+    path = new_shared_path(spark, "runs")
+    store.write_runs(run.record, path)
+    return store.read_runs(spark, path).select(
+        "config.config_name", *report.COUNTERS,
+        *[F.try_element_at("retrieval_results", F.lit(f"Accuracy@{k}")).alias(f"accuracy_at_{k}") for k in evaluate.K_VALUES],
+        *[six(f"qa_results.{m}", m) for m in ("exact_match", "relaxed_match", "f1_score")],
+        F.round("total_llm_cost", 9).alias("total_llm_cost"),
+    )
+
+
+@query
+def fetched_tables(spark, sf_dir):
+    """Hit tables by the way of a Bloom filter and a shuffle, as if their ids were too many to send."""
+    hits = ranked(spark, sf_dir).where("rank <= 3")
+    found = R.hit_tables(hits, I.corpus(spark, sf_dir), broadcast_bytes=0)
+    return found.select("table_id", F.md5("table_content").alias("digest"))
+
+
+@query
+def bucketed_lookup(spark, sf_dir):
+    """The stored responses, appended twice, read from a store bucketed by digest."""
+    path = new_shared_path(spark, "responses")
+    store.create_response_store(spark, path, 8)
+    known = cut_lineage(I.turn_responses(spark, sf_dir))
+    store.append_responses(known, path)
+    store.append_responses(known, path)
+    found = completions.look_up(I.turn_requests(spark, sf_dir), store.read_responses(spark, path))
+    return found.select(
+        "request_id", "request_hash", F.col("response").isNotNull().alias("is_known"),
+        parsing.content_of(F.col("response")).alias("content"),
+    )
+
+
+@query
+def stored_index_topk(spark, sf_dir):
+    """Two-field retrieval from an index that was written and read back."""
+    path = new_shared_path(spark, "index")
+    lexical.write_index(index(spark, sf_dir, BOTH, stem.stem_words), path)
+    built = lexical.read_index(spark, path, normalizer=stem.stem_words)
+    hits = lexical.bm25_hits(I.passages(spark, sf_dir), built, 100)
+    return hits.select("query_id", "table_id", "rank", six("score"))
+
+
+@query
+def dense_many_questions(spark, sf_dir):
+    """Every customer asks for the ten suppliers most alike in nation and balance: many tiles of questions."""
+    likeness = lambda key, nation, balance: F.array(
+        F.col(nation) + 1.0, F.col(balance) / 1000, (F.col(key) % 7).cast("double"), (F.col(key) % 11).cast("double")
+    )
+    asked = I.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("query_id"),
+        likeness("c_custkey", "c_nationkey", "c_acctbal").alias("vector"),
+    )
+    tables = I.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("ord"),
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("table_id"),
+        likeness("s_suppkey", "s_nationkey", "s_acctbal").alias("vector"),
+    )
+    hits = dense.dense_hits(asked, tables, 10)
+    return hits.select("query_id", "table_id", "rank", six("score"))
+
+
+def report_file(spark, sf_dir, experiment, outcomes=I.other_outcomes):
+    """Run files written as JSON, read whatever their shape, reported, and the report's CSV file read back."""
+    runs, path = new_shared_path(spark, "runs"), new_shared_path(spark, "report")
+    store.write_runs(records(spark, sf_dir, outcomes), runs)
+    found = report.records_of(store.read_run_documents(spark, runs))
+    make = report.flat_report if experiment in report.FLAT_REPORTS else report.pivot_report
+    made = make(found, experiment)
+    store.write_report(made, path)
+    return spark.read.schema(made.schema).option("header", True).csv(path)
+
+
+@query
+def report_file_retrieval(spark, sf_dir):
+    return report_file(spark, sf_dir, "retrieval", I.run_outcomes)
+
+
+@query
+def report_file_zoom(spark, sf_dir):
+    return report_file(spark, sf_dir, "zoom", I.run_outcomes).withColumn(
+        "next_focus_sizes", F.coalesce("next_focus_sizes", F.lit(""))
+    )
+
+
+@query
+def report_file_tqa(spark, sf_dir):
+    return report_file(spark, sf_dir, "tqa", I.run_outcomes)
+
+
+@query
+def report_file_metadata(spark, sf_dir):
+    return report_file(spark, sf_dir, "metadata")
+
+
+@query
+def report_file_template(spark, sf_dir):
+    return report_file(spark, sf_dir, "template")
+
+
+@query
+def report_file_linear(spark, sf_dir):
+    return report_file(spark, sf_dir, "linear")
+
+
+@query
+def split_files(spark, sf_dir):
+    """Documents as closed-book answers of a run, in run relations; the split written twice and read back."""
+    documents = I.table(spark, sf_dir, "documents")
+    runs, path = new_shared_path(spark, "runs"), new_shared_path(spark, "split")
+    name = "exp=x retriever=lib.retrieval.{} reranker=lib.reranking.NoReranker zoom=lib.zoom.NoZoom generator=lib.generation.LLMGenerator model=" + I.MODEL
+    answers = documents.select(
+        F.lit("closed").alias("run_id"),
+        F.col("doc_id").alias("query_ord"),
+        F.col("source").alias("query_id"),
+        F.when(F.col("n_chars") % 2 == 0, F.concat("text", F.lit(' "'), F.upper("source"), F.lit('"'), "lang"))
+        .otherwise(F.col("text"))
+        .alias("prediction"),
+        F.array(F.concat(F.lit("'"), F.col("source"), F.lit("'")), F.col("lang")).alias("ground_truth"),
+    )
+    hits = answers.select("run_id", "query_id", F.lit("t").alias("table_id"), F.lit(1).cast("bigint").alias("rank"), F.lit(1.0).alias("score"))
+    store.write_run_relations(hits, hits.select("run_id", "query_id", "table_id", F.lit(1).alias("rel")), answers, runs)
+    configs = spark.createDataFrame(
+        [("closed", (name.format("NoRetriever"),)), ("open", (name.format("BM25Retriever"),))], "run_id string, config struct<config_name string>"
+    )
+    questions = documents.select(
+        F.col("doc_id").alias("ord"),
+        F.col("source").alias("id"),
+        F.array(F.concat(F.lit('"'), F.col("source"), F.lit('"')), F.col("lang")).alias("answers"),
+        F.col("doc_id").alias("source_question"),
+    )
+    split = experiment.split_questions(
+        configs, store.read_run_relation(spark, runs, "predictions"), store.read_run_relation(spark, runs, "references"),
+        questions, "test", I.MODEL,
+    )
+    for _ in range(2):
+        store.write_split(split, path)
+    back = store.read_split(spark, path, "id string, answers array<string>, source_question bigint")
+    return back.withColumn("answers", F.to_json("answers")).groupBy(
+        "partition", "id", "answers", "source_question", "difficulty"
+    ).agg(F.count("*").alias("num_questions"))
+
+
+def as_files(spark, rows):
+    """Rows written as JSON lines in the order of ``ord``, into folders of 1, 2, 4, 8 and so on rows."""
+    path = new_shared_path(spark, "lines")
+    placed = rows.withColumn("chunk", F.format_string("%03d", F.floor(F.log2(F.col("ord") + 1)).cast("int")))
+    ordered = placed.repartitionByRange(8, "chunk", "ord").sortWithinPartitions("chunk", "ord").drop("ord")
+    ordered.write.partitionBy("chunk").json(path)
+    return path
+
+
+@query
+def tables_from_files(spark, sf_dir):
+    """Both forms of tables, written as many files of unequal size and read back in file order."""
+    both = [
+        table_sources.read_tables(spark, as_files(spark, raw), dataset)
+        for raw, dataset in ((I.raw_documents(spark, sf_dir), "aitqa"), (I.raw_orders(spark, sf_dir), "nqtables"))
+    ]
+    return both[0].unionByName(both[1]).select(
+        "dataset", "ord", "table_id", "table_name", *[F.md5(F.to_json(c)).alias(c) for c in ("column_header", "row_header", "data")]
+    )
+
+
+@query
+def questions_from_files(spark, sf_dir):
+    """Events as questions, written as many files of unequal size and read back in file order."""
+    raw = I.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("id"), F.col("props").alias("question"),
+        F.col("event_type").alias("table_id"), F.to_json(F.array("event_type", "props")).alias("answers"),
+    )
+    found = table_sources.read_questions(spark, as_files(spark, raw), "aitqa")
+    return found.withColumn("ground_truth", F.array_join("ground_truth", "|"))

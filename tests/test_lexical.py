@@ -4,7 +4,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from lakeqa.functions.text import ENGLISH_STOP_WORDS
 from lakeqa.operators import lexical
@@ -103,27 +102,70 @@ def test_two_fields_are_averaged(spark):
         assert got[f"q{i}"] == best(scores, K)
 
 
-def test_split_hot_terms_score_the_same(spark):
+def test_passes_over_question_tiles_and_small_blocks_rank_the_same(spark, monkeypatch):
     texts, questions = random_lake(4)
+    expected = ranked(lexical.bm25_hits(asked(spark, questions), lexical.build_index(lake(spark, texts), FIELD), K))
+    for name, value in {"TILE_BYTES": 300, "RANGE_TABLES": 4, "HELD_PRODUCTS": 7, "HELD_CANDIDATES": 0}.items():
+        monkeypatch.setattr(lexical, name, value)
     index = lexical.build_index(lake(spark, texts), FIELD)
+    assert index.ranges.count() > 10
+    assert ranked(lexical.bm25_hits(asked(spark, questions), index, K)) == expected
+    for i, q in enumerate(questions):
+        assert expected[f"q{i}"] == best(brute_force(texts, q), K)
+
+
+def test_ranges_below_the_kth_score_are_skipped(spark, monkeypatch):
+    """Only the first tables are short and full of the asked word; later ranges cannot reach them."""
+    monkeypatch.setattr(lexical, "RANGE_TABLES", 10)
+    monkeypatch.setattr(lexical, "HELD_CANDIDATES", 0)
+    texts = ["rare rare rare"] * 10 + ["rare " + "other words here " * 20] * 10 + ["nothing asked " * 5] * 100
+    questions = ["rare"]
+    tables = spark.createDataFrame([(i, f"t{i}", "n", t) for i, t in enumerate(texts)], lake(spark, []).schema).coalesce(1)
+    index = lexical.build_index(tables, FIELD)
     terms = lexical.question_terms(asked(spark, questions), index.stop_words)
+    weights = [tuple(r) for r in lexical._weights(index, terms).select("field", "term", "query_id", "weight").collect()]
+    scorer = lexical.RangeScorer(lexical.Asked(weights, {"content": index.field_stats.first()["avg_len"]}), K, 1)
+    for batch in index.ranges.toArrow().to_batches():
+        for ords, fields in lexical._ranges_of([batch]):
+            scorer.add(ords, fields)
+    scorer.cut()
+    assert (scorer.scored, scorer.skipped) == (1, 11)
+    assert [f"t{i}" for i in scorer.what] == [t for t, _ in best(brute_force(texts, "rare"), K)]
+    assert ranked(lexical.bm25_hits(asked(spark, questions), index, K))["q0"] == best(brute_force(texts, "rare"), K)
+
+
+def test_negative_scores_and_zeros_compete_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "RANGE_TABLES", 3)
+    texts = (["common usual"] * 6 + ["", "common"]) * 6
+    index = lexical.build_index(lake(spark, texts), FIELD)
+    assert index.below_zero
+    questions = ["common usual", "usual", "unknown", ""]
+    for k in (2, 7, 20, 100):
+        got = ranked(lexical.bm25_hits(asked(spark, questions), index, k))
+        for i, q in enumerate(questions):
+            assert got[f"q{i}"] == best(brute_force(texts, q), k)
+
 
-    def scores(small):
-        rows = lexical.score_matches(index, terms, small).collect()
-        return {(r.query_id, r.ord): round(r.score, 9) for r in rows}
+def test_empty_lake_and_no_questions(spark):
+    index = lexical.build_index(lake(spark, []), FIELD)
+    assert lexical.bm25_hits(asked(spark, ["a word"]), index, K).collect() == []
+    assert lexical.bm25_hits(asked(spark, ["x"]).where("false"), lexical.build_index(lake(spark, ["a word"]), FIELD), K).collect() == []
 
-    previous, lexical.HOT_SHARE = lexical.HOT_SHARE, 0.02
-    try:
-        assert scores(False) == scores(True)
-    finally:
-        lexical.HOT_SHARE = previous
+
+def test_postings_of_ranges_equal_postings_of_rows(spark):
+    texts, _ = random_lake(7)
+    fields = {"content": "table_content", "name": "table_name"}
+    tables = lake(spark, texts, [" ".join(t.split()[:3]) for t in texts])
+    index = lexical.build_index(tables, fields)
+    expected = lexical.raw_postings(lexical.field_words(tables, fields))
+    assert sorted(map(tuple, lexical.normal_postings(index).collect())) == sorted(map(tuple, expected.collect()))
 
 
 def test_stored_index_ranks_the_same(spark, tmp_path):
     texts, questions = random_lake(5)
 
-    def upper(terms):
-        return terms.select("term", F.upper("term").alias("normal"))
+    def upper(words):
+        return [w.upper() for w in words]
 
     index = lexical.build_index(lake(spark, texts), FIELD, normalizer=upper)
     lexical.write_index(index, str(tmp_path / "index"))
@@ -135,8 +177,8 @@ def test_stored_index_ranks_the_same(spark, tmp_path):
 def test_normal_forms_add_up(spark):
     texts = ["cat cats dog", "Cats", "dogs dog bird", "bird"]
 
-    def cut(terms):
-        return terms.select("term", F.regexp_replace(F.lower("term"), "s$", "").alias("normal"))
+    def cut(words):
+        return [w.lower().removesuffix("s") for w in words]
 
     index = lexical.build_index(lake(spark, texts), FIELD, normalizer=cut)
     tf = {(r.term, r.ord): r.tf for r in lexical.normal_postings(index).collect()}
@@ -145,10 +187,16 @@ def test_normal_forms_add_up(spark):
     assert got["q0"] == best(brute_force(["cat cat dog", "cat", "dog dog bird", "bird"], "cat dog"), 4)
 
 
-def test_plan_has_no_cross_join_and_cuts_before_the_exchange(spark):
+def test_no_pair_moves_before_it_is_among_the_best_of_its_task(spark, tmp_path):
     texts, questions = random_lake(6)
-    index = lexical.build_index(lake(spark, texts), FIELD)
-    scored = lexical.score_matches(index, lexical.question_terms(asked(spark, questions), ()))
-    plan = lexical.rank_tables(scored, K)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert plan.count("WindowGroupLimit") == 2
+    built = lexical.build_index(lake(spark, texts), FIELD)
+    lexical.write_index(built, str(tmp_path / "index"))
+    for index in (built, lexical.read_index(spark, str(tmp_path / "index"))):
+        found = lexical.best_in_tasks(index, lexical.question_terms(asked(spark, questions), index.stop_words), K)
+        counts = found.groupBy("query_id").count().collect()
+        assert all(r["count"] <= K * index.ranges.rdd.getNumPartitions() for r in counts)
+        plan = lexical.normal_postings(index)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        plan = lexical.rank_tables(found, K)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert plan.count("WindowGroupLimit") == 2

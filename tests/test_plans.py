@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeqa.operators import dense, evaluate
 from lakeqa.plans import embedders, experiment, stages
+from lakeqa.plans.meter import RunMeter
 from lakeqa.sources import store
 
 MODEL = "gpt-4o-mini-2024-07-18"
@@ -110,7 +111,7 @@ def test_reranker_moves_the_table_whose_question_was_asked(spark, exchange):
 
 
 def test_dense_retriever(spark, exchange):
-    accuracy, answers = run(spark, stages.dense_retriever(embedders.hashed_idf(512)), exchange, num_context=12)
+    accuracy, answers = run(spark, stages.dense_retriever(embedders.HashedIdf(num_features=512)), exchange, num_context=12)
     assert accuracy.accuracy_at_3 == 1.0 and answers.exact_match == 1.0
 
 
@@ -135,3 +136,51 @@ def test_replies_naming_another_candidate_count_for_it(spark):
     )
     got = stages.parse_generated(hits, replies, 10).collect()
     assert [(r.query_id, r.table_id, r.questions) for r in got] == [("q", "b", ["x"])]
+
+
+def test_whole_run_counts_what_it_does(spark, tmp_path):
+    """Counters, tokens, cost and scores of a run's record, and no cost for replies that failed."""
+    path = str(tmp_path / "responses")
+    store.create_response_store(spark, path, 4)
+
+    def reply(batch):
+        out = []
+        for r in model(_NoCount())(batch):
+            out.append({**r, "usage": {"prompt_tokens": 100, "completion_tokens": 10, "total_tokens": 110}})
+        return out
+
+    meter = RunMeter()
+    exchange = meter.exchange(stages.store_exchange(path, reply))
+    steps = [{"num_tables": 5, "num_rows": 2}, {"num_tables": 2, "num_rows": 1}]
+    zoom = stages.row_zoom(lake(spark), exchange, MODEL, num_zoom=12, stages=steps, meter=meter)
+    made = experiment.whole_run(
+        questions(spark), lake(spark), stages.bm25_retriever(), stages.completion_generator(exchange), MODEL, "nqtables",
+        meter, "r", "exp=x", "x", zoom=zoom, zoom_stages=steps, num_context=1,
+    )
+    store.write_runs(made.record, str(tmp_path / "runs"))
+    got = store.read_runs(spark, str(tmp_path / "runs")).first()
+    asked = 3 * len(TREES)
+    assert (got.processed_queries_ctr, got.cutoff_context_ctr, got.failed_replies_ctr) == (len(TREES), 0, 0)
+    assert (got.prompt_tokens, got.completion_tokens) == (100 * asked, 10 * asked)
+    assert got.total_llm_cost == pytest.approx(asked * (100 * 0.15 + 10 * 0.60) / 1e6 / len(TREES))
+    assert got.retrieval_results["Accuracy@1"] == 1.0 and got.qa_results.exact_match == 1.0
+    assert got.off_size_ctr == 2 * len(TREES)  # the model names one table each time
+    assert [(s.num_tables, s.num_rows) for s in got.config.zoom.next_focus_sizes] == [(5, 2), (2, 1)]
+    assert made.scored.count() == len(TREES)
+
+
+class _NoCount:
+    def add(self, n):
+        pass
+
+
+def test_empty_run_has_a_record(spark, tmp_path):
+    path = str(tmp_path / "responses")
+    store.create_response_store(spark, path, 4)
+    meter = RunMeter()
+    exchange = meter.exchange(stages.store_exchange(path, lambda batch: [{} for _ in batch]))
+    made = experiment.whole_run(
+        questions(spark).where("false"), lake(spark), stages.bm25_retriever(), stages.completion_generator(exchange),
+        MODEL, "nqtables", meter, "r", "exp=x", "x",
+    )
+    assert made.record.first().processed_queries_ctr == 0

@@ -1,9 +1,13 @@
+import math
+import zlib
+
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakeqa.functions import linearize as L
+from lakeqa.plans import embedders
 from lakeqa.operators import completions
 from lakeqa.sources import store, tables as S
 
@@ -82,17 +86,39 @@ def test_embed_into_store_embeds_only_new_texts(spark, tmp_path):
     def frame(*values):
         return spark.createDataFrame([(v,) for v in values], "text string")
 
-    assert store.embed_into_store(frame("a", "bb", "a"), path, embed).count() == 2
+    assert store.embed_into_store(frame("a", "bb", "a", None), path, embed, "lengths").count() == 2
     seen = []
 
     def watching(texts):
         seen.extend(r.text for r in texts.collect())
         return embed(texts)
 
-    assert store.embed_into_store(frame("bb", "ccc"), path, watching).count() == 3
+    found = store.embed_into_store(frame("bb", "ccc"), path, watching, "lengths")
+    assert {r.text: r.vector for r in found.collect()} == {"bb": [2.0], "ccc": [3.0]}
+    assert seen == ["ccc"]
+    # Another model's vectors are its own.
+    other = store.embed_into_store(frame("bb"), path, lambda t: t.withColumn("vector", F.array(F.lit(7.0).cast("float"))), "seven")
+    assert [tuple(r) for r in other.collect()] == [("bb", [7.0])]
+    assert {r.text: r.vector for r in store.embed_into_store(frame("bb"), path, watching, "lengths").collect()} == {"bb": [2.0]}
     assert seen == ["ccc"]
 
 
+def test_fitted_embedder_is_stored_and_loaded(spark, tmp_path):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["a b b", "a c", "", "A d"])], "id long, text string")
+    model = embedders.HashedIdf(num_features=64, stop_words=["d"]).fit(texts)
+    model.save(str(tmp_path / "model"))
+    loaded = embedders.HashedIdfModel.load(str(tmp_path / "model"))
+    assert loaded.model_id == model.model_id != embedders.HashedIdf(num_features=64).fit(texts).model_id
+    first = {r.id: r.vector for r in model.transform(texts).collect()}
+    # Order and company of the texts make no difference.
+    assert {r.id: r.vector for r in loaded(texts.where("id <> 1").repartition(2)).collect()} == {i: v for i, v in first.items() if i != 1}
+    place = lambda w: zlib.crc32(w.encode()) % 64
+    a, b = math.log(5 / 4), 2 * math.log(5 / 2)
+    length = math.hypot(a, b)
+    assert first[0][place("a")] == pytest.approx(a / length) and first[0][place("b")] == pytest.approx(b / length)
+    assert set(first[2]) == {0.0} and first[3][place("a")] == pytest.approx(1.0)
+
+
 def test_split_and_report_files(spark, tmp_path):
     split = spark.createDataFrame([("test", "easy", "q1"), ("test", "hard", "q2")], "partition string, difficulty string, id string")
     store.write_split(split, str(tmp_path / "split"))

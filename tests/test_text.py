@@ -90,3 +90,16 @@ def test_stems(spark):
     expected = dict(pair.split(":") for pair in STEMS.split())
     terms = spark.createDataFrame([(t,) for t in expected], "term string")
     assert {r.term: r.normal for r in stem.stem_vocabulary(terms).collect()} == expected
+    assert dict(zip(expected, stem.stem_words(list(expected)))) == expected
+
+
+def test_both_stemmers_agree(spark):
+    """On made words of every suffix and on the words of all documents."""
+    suffixes = [s for table in (stem.PLURALS, stem.DOUBLE_SUFFIXES, stem.ENDINGS) for s, _ in table]
+    suffixes += [*stem.REMOVED, "ed", "ing", "ied", "eed", "logi", "y", "e", "ll", "edly", "IES", ""]
+    stems = ["", "b", "at", "hop", "fall", "troubl", "siz", "Agr", "yy", "sky", "controll", "gener", "ß", "x1"]
+    made = spark.createDataFrame([(a + b,) for a in stems for b in suffixes], "term string")
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = texts.select(F.explode(X.words(F.col("text"))).alias("term"))
+    rows = stem.stem_vocabulary(made.unionByName(found).distinct()).collect()
+    assert [r.normal for r in rows] == stem.stem_words([r.term for r in rows])
