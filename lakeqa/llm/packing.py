@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,13 +21,14 @@ GROUP_ROWS = 100_000
 ROUNDS = 6
 # Bins with more than this share left empty give their documents to the next round.
 LOOSE_SHARE = 0.002
-CACHE_WORDS = 400_000
+# Text that a task encodes at once; words are encoded once in it.
+CHUNK_BYTES = 16 << 20
 END_ID = 0
 _MARKS = b".,!?;:"
 
 
 class WordEncoder:
-    """Ids of words as bytes, each word encoded once.
+    """Ids of texts, joined, each distinct word of a chunk encoded once.
 
     Words of letters, the marks behind them apart, are encoded many at a time: their last token
     ends with the vocabulary's mark of a word's end, so the ids can be told apart. Other words, and
@@ -40,45 +42,72 @@ class WordEncoder:
         vocabulary = self.encoder.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
 
-    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+    def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode("utf-8", "replace") for w in words]
-        coded = self.encoder.encode_batch(texts, add_special_tokens=False)
-        return [np.array(c.ids, np.uint32).tobytes() for c in coded]
-
-    def _together(self, stems: list[bytes]) -> list[bytes]:
-        ids = np.array(self.encoder.encode(b" ".join(stems).decode(), add_special_tokens=False).ids, np.uint32)
-        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-        if len(ends) != len(stems) or ends[-1] != len(ids):
-            return self._one_by_one(stems)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.stems) > CACHE_WORDS:
-            self.stems.clear()
-        plan, others, tails = [], [], {b""}
-        for word in words:
+        coded = [c.ids for c in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(c) for c in coded], np.int64)
+        return np.array([i for c in coded for i in c], np.uint32), sizes
+
+    def _together(self, stems: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts = []
+        for at in range(0, len(stems), 2000):
+            part = stems[at : at + 2000]
+            ids, _ = self._one_by_one([b" ".join(part)])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            fits = len(ends) == len(part) and ends[-1] == len(ids)
+            parts.append((ids, np.diff(ends, prepend=0)) if fits else self._one_by_one(part))
+        return _joined(parts)
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, joined, and how many each has."""
+        stems, others, tails = {}, {}, {b"": 0}
+        halves = np.empty((len(words), 2), np.int64)
+        for at, word in enumerate(words):
             stem = word.rstrip(_MARKS)
             if stem.isalpha():
                 key = stem.lower()
             elif stem and not stem.isascii() and _letters(stem):
                 key = stem
             else:
-                others.append(word)
+                halves[at] = -1 - others.setdefault(word, len(others)), 0
                 continue
-            tails.add(word[len(stem) :])
-            plan.append((word, key, word[len(stem) :]))
-        fresh = [k for k in dict.fromkeys(k for _, k, _ in plan) if k not in self.stems]
-        for at in range(0, len(fresh), 500):
-            self.stems.update(zip(fresh[at : at + 500], self._together(fresh[at : at + 500]), strict=True))
-        for at in range(0, len(others), 5000):
-            self.words.update(zip(others[at : at + 5000], self._one_by_one(others[at : at + 5000]), strict=True))
-        ends = dict(zip(tails, self._one_by_one(list(tails)), strict=True))
-        for word, key, tail in plan:
-            self.words[word] = self.stems[key] + ends[tail]
+            halves[at] = stems.setdefault(key, len(stems)), tails.setdefault(word[len(stem) :], len(tails))
+        ids, sizes = _joined([self._together(list(stems)), self._one_by_one(list(others)), self._one_by_one(list(tails))])
+        first = halves[:, 0]
+        codes = np.stack([np.where(first < 0, len(stems) - 1 - first, first), len(stems) + len(others) + halves[:, 1]], axis=1)
+        return _gathered(ids, sizes, codes.ravel()), sizes[codes].sum(axis=1)
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``texts`` (no nulls), joined, an end id behind each, and how many each has with it."""
+        lists = pc.ascii_split_whitespace(texts)
+        begins = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        # Blanks at an end of a text leave empty words there.
+        known = self.words(coded.dictionary.cast(pa.binary()).to_pylist())
+        ids, sizes = _joined([known, (np.array([END_ID], np.uint32), np.ones(1, np.int64))])
+        ends = begins[1:] + np.arange(len(lists))
+        codes = np.empty(len(lists.values) + len(lists), np.int64)
+        inside = np.ones(len(codes), bool)
+        inside[ends] = False
+        codes[ends] = len(sizes) - 1
+        codes[inside] = coded.indices.to_numpy(zero_copy_only=False)
+        counts = np.add.reduceat(sizes[codes], begins[:-1] + np.arange(len(lists))) if len(lists) else begins[:0]
+        return _gathered(ids, sizes, codes), counts
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.concatenate([np.zeros(0, np.uint32), *(p[0] for p in parts)])
+    return ids, np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+
+
+def _gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The sequences of ``codes``, one behind the other; sequence c has ``sizes[c]`` of the joined ``ids``."""
+    starts, counts = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+    kind = np.int32 if max(len(ids), int(counts.sum())) < 1 << 30 else np.int64
+    places = np.repeat((starts - (np.cumsum(counts) - counts)).astype(kind), counts)
+    places += np.arange(len(places), dtype=kind)
+    return ids[places]
 
 
 def _letters(stem: bytes) -> bool:
@@ -95,10 +124,10 @@ def tokenize(
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text): uid, doc_id, piece, start, length, ids_crc32, and ids on request.
 
-    ``tokenizer`` is the path of a tokenizers file whose ids never span white space; words are
-    looked up in a bounded cache and encoded as they are met. A document is its ids and an
-    end id; null text is empty. Only longer documents are cut, at multiples of ``capacity``. ``uid``
-    tells rows apart where doc_ids repeat or are null; the pieces are written once, so it stays.
+    ``tokenizer`` is the path of a tokenizers file whose ids never span white space; each distinct word
+    of a chunk of texts is encoded once. A document is its ids and an end id; null text is empty. Only
+    longer documents are cut, at multiples of ``capacity``. ``uid`` tells rows apart where doc_ids repeat
+    or are null; the pieces are written once, so it stays.
     """
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -110,27 +139,35 @@ def tokenize(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordEncoder(definition.value)
-        known = encoder.words
         uid = TaskContext.get().partitionId() << 33
-        end = np.uint32(END_ID).tobytes()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                split = [(b or b"").split() for b in part.column(1).cast(pa.binary()).to_pylist()]
-                distinct = dict.fromkeys(w for words in split for w in words)
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                encoder.learn([w for w in distinct if w not in known])
-                rows = []
-                for doc_id, words in zip(part.column(0).to_pylist(), split, strict=True):
-                    ids = b"".join(map(known.__getitem__, words)) + end
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[start : start + 4 * capacity]
-                        rows.append((uid, doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own), own))
-                        uid += 1
-                columns = list(zip(*rows, strict=True))[: len(schema)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                before = lengths[at - 1] if at else 0
+                part = batch.slice(at, max(1, int(np.searchsorted(lengths, before + CHUNK_BYTES, "right")) - at))
+                at += part.num_rows
+                ids, counts = encoder.texts(pc.fill_null(part.column(1), ""))
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                pieces = -(-counts // capacity)
+                doc = np.repeat(np.arange(len(counts)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(counts[doc] - start, capacity)
+                begin = (4 * ((np.cumsum(counts) - counts)[doc] + start)).tolist()
+                spans = [raw[a : a + 4 * n] for a, n in zip(begin, length.tolist(), strict=True)]
+                columns = [
+                    pa.array(np.arange(uid, uid + len(doc))),
+                    part.column(0).take(pa.array(doc)),
+                    pa.array(piece.astype(np.int32)),
+                    pa.array(start),
+                    pa.array(length),
+                    pa.array([zlib.crc32(span) for span in spans], pa.int64()),
+                    *([pa.array([bytes(span) for span in spans], pa.binary())] if with_ids else []),
+                ]
+                uid += len(doc)
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     fields = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
