@@ -77,44 +77,73 @@ def build_tree(vectors: np.ndarray, ids: np.ndarray, seed: int = 1) -> tuple[Pag
     return page, centre, radius
 
 
-def search_tree(tree: tuple[Page, np.ndarray, float], query: np.ndarray, own: int, k: int, best: list[tuple[float, int]]) -> tuple[list[tuple[float, int]], int]:
-    """``best`` (a heap of (score, -id), k at most) after a best-first search; and how many products it took.
+class Search:
+    """The ``k`` best vectors of a tree for each of some queries, all searched together, best page first.
 
     For a centre p with radius r, no vector below scores more than q.p + |q| r. That p's product
     itself lies within |q| d(p, parent) of the parent's is known without computing it, so entries
-    that can't reach the k-th score by their stored distance alone are never multiplied.
+    that can't reach any query's k-th score by their stored distance alone are never multiplied, and
+    a page only meets the queries that it may still serve: one matrix product for all of them.
+    Pages come by the highest bound of any query. ``work`` counts each query's products. A query with a
+    finite ``floor`` only wants scores from that on.
     """
-    page, centre, radius = tree
-    length = float(np.linalg.norm(query))
-    at_centre = float(query @ centre)
-    slack = SLACK * (1 + length * (float(np.linalg.norm(centre)) + radius))
-    heap, turn, work = [(-(at_centre + length * radius), 0, at_centre, page)], 1, 1
-    while heap:
-        bound, _, at_parent, page = heapq.heappop(heap)
-        floor = best[0][0] if len(best) == k else -np.inf
-        if -bound + slack < floor:
-            break
-        hopeful = np.flatnonzero(at_parent + length * (page.parent + page.radii) + slack >= floor)
-        products = page.centres[hopeful] @ query
-        work += len(hopeful)
-        if page.children is None:
-            for i in np.lexsort((page.ids[hopeful], -products)).tolist():
-                found = (float(products[i]), -int(page.ids[hopeful[i]]))
-                if -found[1] == own:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, found)
-                elif found > best[0]:
-                    heapq.heapreplace(best, found)
-                else:
-                    break
-        else:
-            for i, product in zip(hopeful.tolist(), products.tolist(), strict=True):
-                limit = product + length * page.radii[i]
-                if limit + slack >= floor:
-                    heapq.heappush(heap, (-limit, turn, product, page.children[i]))
+
+    def __init__(self, queries: np.ndarray, owns: np.ndarray, k: int, floors: np.ndarray):
+        self.queries, self.owns, self.k, self.floors = queries, owns, k, floors
+        self.lengths = np.linalg.norm(queries, axis=1)
+        # k strangers just below the floor stand for what was found elsewhere; they lose every tie.
+        self.scores = np.repeat(np.where(np.isfinite(floors), floors - 0.5, -np.inf)[:, None], k, axis=1)
+        self.ids = np.full(self.scores.shape, np.iinfo(np.int64).max)
+        self.work = np.zeros(len(queries), np.int64)
+
+    def run(self, tree: tuple[Page, np.ndarray, float]) -> None:
+        page, centre, radius = tree
+        at_centre = self.queries @ centre
+        self.slack = SLACK * (1 + self.lengths * (float(np.linalg.norm(centre)) + radius))
+        self.work += 1
+        limits = at_centre + self.lengths * radius
+        heap, turn = [(-float(limits.max()), 0, page, np.arange(len(self.queries)), at_centre, limits)], 1
+        while heap:
+            _, _, page, rows, at_parent, limits = heapq.heappop(heap)
+            open_now = limits + self.slack[rows] >= self.scores[rows, -1]
+            rows, at_parent = rows[open_now], at_parent[open_now]
+            if not len(rows):
+                continue
+            floor = (self.scores[rows, -1] - self.slack[rows] - at_parent) / np.maximum(self.lengths[rows], 1e-300)
+            reach = page.parent + page.radii
+            hopeful = np.flatnonzero(reach >= floor.min())
+            some = floor <= reach.max()
+            rows = rows[some]
+            products = self.queries[rows] @ page.centres[hopeful].T
+            self.work[rows] += len(hopeful)
+            if page.children is None:
+                self._keep(rows, products, page.ids[hopeful])
+                continue
+            limits = products + self.lengths[rows, None] * page.radii[hopeful]
+            serves = limits + self.slack[rows, None] >= self.scores[rows, -1][:, None]
+            for at, child in enumerate(hopeful.tolist()):
+                own = serves[:, at]
+                if own.any():
+                    entry = (-float(limits[own, at].max()), turn, page.children[child], rows[own], products[own, at], limits[own, at])
+                    heapq.heappush(heap, entry)
                     turn += 1
-    return best, work
+
+    def _keep(self, rows: np.ndarray, products: np.ndarray, ids: np.ndarray) -> None:
+        products = np.where(ids == self.owns[rows, None], -np.inf, products)
+        better = np.flatnonzero((products >= self.scores[rows, -1][:, None]).any(axis=1) & np.isfinite(products).any(axis=1))
+        if not len(better):
+            return
+        rows = rows[better]
+        scores = np.concatenate([self.scores[rows], products[better]], axis=1)
+        both = np.concatenate([self.ids[rows], np.repeat(ids[None], len(rows), axis=0)], axis=1)
+        order = np.lexsort((both, -scores), axis=1)[:, : self.k]
+        self.scores[rows] = np.take_along_axis(scores, order, axis=1)
+        self.ids[rows] = np.take_along_axis(both, order, axis=1)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries and of their hits among ``scores`` and ``ids``."""
+        least = np.where(np.isfinite(self.floors), self.floors, -np.inf)
+        return np.nonzero(np.isfinite(self.scores) & (self.scores >= least[:, None]))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding", scale: int = 256, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -164,16 +193,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
     directory = cut_lineage(members.groupBy("shard").applyInPandas(measure, "shard string, centre array<double>, radius double"))
 
     def search(key, found: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(found) and len(asking):
-            tree = build_tree(_lines(found["v"], size), found["id"].to_numpy(np.int64))
-            lines = _lines(asking["v"], size)
-            for line, own, floor in zip(lines, asking["id"].tolist(), asking["floor"].tolist(), strict=True):
-                # k strangers at the bound stand for what was found elsewhere; ids under any other lose no tie.
-                start = [(float(floor) - 0.5, 0)] * k if np.isfinite(floor) else []
-                best, work = search_tree(tree, line, own, k, start)
-                out += [(own, -i, int(s), work) for s, i in best if not s < floor]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "products"])
+        if not len(found) or not len(asking):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "products": []}, dtype=np.int64)
+        tree = build_tree(_lines(found["v"], size), found["id"].to_numpy(np.int64))
+        owns = asking["id"].to_numpy(np.int64)
+        floors = asking["floor"].to_numpy(np.float64)
+        searched = Search(_lines(asking["v"], size), owns, k, np.where(np.isfinite(floors), floors, -np.inf))
+        searched.run(tree)
+        at, place = searched.found()
+        return pd.DataFrame(
+            {"query_id": owns[at], "vec_id": searched.ids[at, place], "score": searched.scores[at, place].astype(np.int64), "products": searched.work[at]}
+        )
 
     def run(asking: DataFrame) -> DataFrame:
         """``asking``: id, v, floor, shard, written. Vectors go where queries for their shard are, once a block."""

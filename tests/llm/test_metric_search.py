@@ -53,8 +53,21 @@ def test_tree_prunes_and_stays_exact():
     data = np.floor(256 * (np.repeat(draw.normal(size=(40, 8)), 100, axis=0) + 0.05 * draw.normal(size=(4000, 8))))
     ids = draw.permutation(4000)
     tree = S.build_tree(data, ids)
-    for row in range(0, 4000, 97):
-        best, work = S.search_tree(tree, data[row], int(ids[row]), 5, [])
+    asked = np.arange(0, 4000, 97)
+    together = S.Search(data[asked], ids[asked], 5, np.full(len(asked), -np.inf))
+    together.run(tree)
+    for at, row in enumerate(asked.tolist()):
+        alone = S.Search(data[[row]], ids[[row]], 5, np.array([-np.inf]))
+        alone.run(tree)
         wanted = sorted(((-s, i) for s, i in zip((data @ data[row]).tolist(), ids.tolist(), strict=True) if i != ids[row]))[:5]
-        assert sorted((-s, -i) for s, i in best) == wanted
-        assert work < 2500
+        for scores, found in ((alone.scores[0], alone.ids[0]), (together.scores[at], together.ids[at])):
+            assert list(zip((-scores).tolist(), found.tolist())) == wanted
+        assert alone.work[0] < 2500
+        # A floor leaves out what is below it, and no tie at it.
+        floor = -wanted[2][0]
+        bounded = S.Search(data[[row]], ids[[row]], 5, np.array([floor]))
+        bounded.run(tree)
+        at_least = [w for w in wanted if -w[0] >= floor]
+        place = bounded.found()[1]
+        assert sorted(zip((-bounded.scores[0, place]).tolist(), bounded.ids[0, place].tolist()))[: len(at_least)] == at_least
+        assert bounded.work[0] <= alone.work[0]
