@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from lakeqa.functions import text as text_functions
-from lakeqa.scale import BROADCAST_BYTES, broadcast_if_small, cut_lineage
+from lakeqa.scale import BROADCAST_BYTES, cut_lineage
 
 # The scoring constants of the reference results.
 K1 = 0.9

@@ -65,25 +65,39 @@ def nq_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as small field / value tables."""
+    """Orders as field / value tables, with a row for each of their lines."""
 
     def row(name, value):
         cells = [F.struct(F.lit(name).alias("text")), F.struct(value.alias("text"))]
         return F.struct(F.array(*cells).alias("cells"))
 
-    return spread(table(spark, sf_dir, "orders")).select(
+    line = row(
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")),
+        F.concat_ws(
+            " ", F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.lit("of part"), F.col("l_partkey").cast("string"),
+            "l_returnflag",
+        ),
+    )
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda l: l["line"]
+        ).alias("lines")
+    )
+    facts = F.array(
+        row("customer", F.col("o_custkey").cast("string")),
+        row("status", F.col("o_orderstatus")),
+        row("total price", F.col("o_totalprice").cast("decimal(12,2)").cast("string")),
+        row("date", F.date_format("o_orderdate", "yyyy-MM-dd")),
+    )
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return orders.select(
         F.col("o_orderkey").alias("ord"),
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("tableId"),
         F.col("o_orderpriority").alias("documentTitle"),
         F.array(
             F.struct(F.lit("field").alias("text")), F.struct(F.lit("value, as text").alias("text"))
         ).alias("columns"),
-        F.array(
-            row("customer", F.col("o_custkey").cast("string")),
-            row("status", F.col("o_orderstatus")),
-            row("total price", F.col("o_totalprice").cast("decimal(12,2)").cast("string")),
-            row("date", F.date_format("o_orderdate", "yyyy-MM-dd")),
-        ).alias("rows"),
+        F.when(F.col("lines").isNull(), facts).otherwise(F.concat(facts, "lines")).alias("rows"),
     )
 
 

@@ -67,8 +67,11 @@ LAKE = """raw_lake AS (
          [['field'], ['value, as text']], CAST([] AS VARCHAR[][]),
          [['customer', CAST(o_custkey AS VARCHAR)], ['status', o_orderstatus],
           ['total price', CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR)],
-          ['date', strftime(o_orderdate, '%Y-%m-%d')]]
-  FROM orders)"""
+          ['date', strftime(o_orderdate, '%Y-%m-%d')]] || coalesce(lines, [])
+  FROM orders LEFT JOIN (
+    SELECT l_orderkey, list(['line ' || l_linenumber, what] ORDER BY l_linenumber, what) AS lines
+    FROM (SELECT *, CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR) || ' of part ' || l_partkey || ' ' || l_returnflag AS what
+      FROM lineitem) GROUP BY l_orderkey) ON o_orderkey = l_orderkey)"""
 
 PASSAGES = """passages AS (
   SELECT item_id AS query_ord, 'q' || item_id AS query_id, text AS query_text FROM benchmark)"""

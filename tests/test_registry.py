@@ -25,7 +25,7 @@ def test_every_query_has_a_twin():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_twin(spark, name):
     db = duckdb.connect()
-    for t in "orders customer supplier documents embeddings benchmark conversations events labels".split():
+    for t in "orders lineitem customer supplier documents embeddings benchmark conversations events labels".split():
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     df = entry.queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()

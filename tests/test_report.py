@@ -106,3 +106,39 @@ def test_run_relations_and_split(spark, tmp_path):
         questions, "test", "gpt-4o-mini-2024-07-18",
     )
     assert {r.text: r.difficulty for r in split.collect()} == {"how tall": "easy", "what": "hard"}
+
+
+def test_run_files_of_any_shape_are_reported_with_all_their_names(spark, tmp_path):
+    import json
+
+    files = [
+        {"run_id": "a", "retrieval_results": {"Accuracy@1": 0.123456, "Recall@7": 0.5}, "qa_results": {"exact_match": 1, "bleu": 0.25},
+         "total_llm_cost": 2, "cutoff_context_ctr": 3, "config": {"config_name": "exp=x retriever=lib.a.B flavour=sweet", "zoom": {"next_focus_sizes": [{"num_tables": 3, "num_rows": 5}]}}},
+        {"run_id": "b", "config": {"config_name": "exp=y depth=2", "zoom": "none"}, "surprise": [1, {"deep": None}]},
+        {"qa_results": {"exact_match": None}, "config": {}},
+    ]
+    (tmp_path / "runs").mkdir()
+    for i, document in enumerate(files):
+        (tmp_path / "runs" / f"{i}.json").write_text(json.dumps(document))
+    records = report.records_of(store.read_run_documents(spark, str(tmp_path / "runs")))
+    assert report.metric_names(records) == ["Accuracy@1", "Recall@7", "bleu", "exact_match"]
+    full = report.full_report(records)
+    rows = {r["run_id"][-6:]: r for r in full.collect()}
+    first, second, third = rows["a"], rows["b"], rows["2.json"]
+    assert (first["retriever"], first["flavour"], first["exp"], first["depth"]) == ("B", "sweet", "x", None)
+    assert (first["Accuracy@1"], first["Recall@7"], first["bleu"], first["exact_match"]) == (0.12346, 0.5, 0.25, 1.0)
+    assert first["next_focus_sizes"] == "-5rows-> 3" and second["next_focus_sizes"] == ""
+    assert second["depth"] == "2" and second["bleu"] is None and third["exact_match"] is None
+    assert records.where("run_id = 'a'").first().cutoff_context_ctr == 3
+    store.write_report(full, str(tmp_path / "report"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "report"))
+    assert back.columns == full.columns and back.count() == 3
+
+
+def test_split_replaces_only_its_own_folders(spark, tmp_path):
+    fields = "partition string, difficulty string, id string"
+    path = str(tmp_path / "split")
+    store.write_split(spark.createDataFrame([("dev", "easy", "1"), ("dev", "hard", "2"), ("test", "easy", "3")], fields), path)
+    store.write_split(spark.createDataFrame([("dev", "easy", "9")], fields), path)
+    got = sorted(tuple(r) for r in store.read_split(spark, path, "id string").select("partition", "difficulty", "id").collect())
+    assert got == [("dev", "easy", "9"), ("dev", "hard", "2"), ("test", "easy", "3")]
