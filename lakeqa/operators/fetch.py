@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakeqa.scale import BROADCAST_BYTES, fits_broadcast
 
 BITS_PER_ID = 16
+# Small filters would share too many places.
+LEAST_FILTER_BYTES = 1 << 13
 # The filter goes into the plan of every task; more ids than fit well only let more rows through.
 MAX_FILTER_BYTES = 16 * 1024 * 1024
 
@@ -21,7 +23,7 @@ class IdFilter:
 
     def __init__(self, ids: DataFrame, column: str, max_bytes: int = MAX_FILTER_BYTES):
         count = ids.select(F.approx_count_distinct(column, 0.02)).first()[0]
-        self.num_bits = 8 * min(max_bytes, max(8, math.ceil(count * BITS_PER_ID / 8)))
+        self.num_bits = 8 * min(max_bytes, max(LEAST_FILTER_BYTES, math.ceil(count * BITS_PER_ID / 8)))
         self.num_hashes = max(1, min(11, round(self.num_bits / max(1, count) * math.log(2))))
         places = ids.where(F.col(column).isNotNull()).select(F.explode(F.array(*self._places(F.col(column)))).alias("place"))
         summed = places.groupBy(F.expr("place div 8").alias("at")).agg(

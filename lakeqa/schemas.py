@@ -115,10 +115,6 @@ RUN_RECORD = T.StructType(
         T.StructField("run_id", T.StringType()),
         T.StructField("cutoff_context_ctr", T.LongType()),
         T.StructField("processed_queries_ctr", T.LongType()),
-        T.StructField("off_size_ctr", T.LongType()),
-        T.StructField("failed_replies_ctr", T.LongType()),
-        T.StructField("prompt_tokens", T.LongType()),
-        T.StructField("completion_tokens", T.LongType()),
         T.StructField("retrieval_results", _metrics),
         T.StructField(
             "qa_results",

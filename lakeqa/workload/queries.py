@@ -822,10 +822,10 @@ def pipeline_answers(spark, sf_dir):
     )
     path = new_shared_path(spark, "runs")
     store.write_runs(run.record, path)
-    return store.read_runs(spark, path).select(
+    return report.records_of(store.read_run_documents(spark, path)).select(
         "config.config_name", *report.COUNTERS,
         *[F.try_element_at("retrieval_results", F.lit(f"Accuracy@{k}")).alias(f"accuracy_at_{k}") for k in evaluate.K_VALUES],
-        *[six(f"qa_results.{m}", m) for m in ("exact_match", "relaxed_match", "f1_score")],
+        *[six(F.col("qa_results")[m], m) for m in ("exact_match", "relaxed_match", "f1_score")],
         F.round("total_llm_cost", 9).alias("total_llm_cost"),
     )
 

@@ -1,5 +1,7 @@
 """Completion as a resumable stream, and look-ups in a bucketed store."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def test_stored_responses_are_not_moved(spark, tmp_path):
         # The one exchange is that of the requests, and what it moves has no prompt.
         assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
         moved = plan[plan.index("Exchange hashpartitioning") :].splitlines()[1]
-        assert "request_hash" in moved and "request#" not in moved
+        assert "request_hash" in moved and not re.search(r"(\[|, )request#", moved)
         assert contents(found) == {"0": "aa", "1": "bb", "2": "aa", "3": None}
         missing = completions.misses(requests, stored).collect()
         assert [r.request.messages for r in missing] == ["c"]

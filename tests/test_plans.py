@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lakeqa.operators import dense, evaluate
+from lakeqa.operators import evaluate, report
 from lakeqa.plans import embedders, experiment, stages
 from lakeqa.plans.meter import RunMeter
 from lakeqa.sources import store
@@ -158,12 +158,12 @@ def test_whole_run_counts_what_it_does(spark, tmp_path):
         meter, "r", "exp=x", "x", zoom=zoom, zoom_stages=steps, num_context=1,
     )
     store.write_runs(made.record, str(tmp_path / "runs"))
-    got = store.read_runs(spark, str(tmp_path / "runs")).first()
+    got = report.records_of(store.read_run_documents(spark, str(tmp_path / "runs"))).first()
     asked = 3 * len(TREES)
     assert (got.processed_queries_ctr, got.cutoff_context_ctr, got.failed_replies_ctr) == (len(TREES), 0, 0)
     assert (got.prompt_tokens, got.completion_tokens) == (100 * asked, 10 * asked)
     assert got.total_llm_cost == pytest.approx(asked * (100 * 0.15 + 10 * 0.60) / 1e6 / len(TREES))
-    assert got.retrieval_results["Accuracy@1"] == 1.0 and got.qa_results.exact_match == 1.0
+    assert got.retrieval_results["Accuracy@1"] == 1.0 and got.qa_results["exact_match"] == 1.0
     assert got.off_size_ctr == 2 * len(TREES)  # the model names one table each time
     assert [(s.num_tables, s.num_rows) for s in got.config.zoom.next_focus_sizes] == [(5, 2), (2, 1)]
     assert made.scored.count() == len(TREES)
