@@ -81,7 +81,7 @@ def test_empty_documents(spark, tmp_path):
 
 def test_registry():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
 
 
