@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from lakeqa.functions.text import ENGLISH_STOP_WORDS
@@ -200,3 +201,18 @@ def test_no_pair_moves_before_it_is_among_the_best_of_its_task(spark, tmp_path):
         plan = lexical.rank_tables(found, K)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
         assert plan.count("WindowGroupLimit") == 2
+
+
+def test_an_index_is_written_in_small_groups_of_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "RANGE_TABLES", 1)
+    texts, questions = random_lake()
+    index = lexical.build_index(lake(spark, texts).coalesce(1), {"content": "table_content"})
+    lexical.write_index(index, str(tmp_path / "stored"))
+    files = [f.removeprefix("file:") for f in index.ranges.inputFiles()] + [str(f) for f in (tmp_path / "stored/ranges").glob("*.parquet")]
+    assert len(files) == 2
+    for file in files:
+        written = pq.ParquetFile(file).metadata
+        assert written.num_rows == len(texts)
+        assert max(written.row_group(i).num_rows for i in range(written.num_row_groups)) <= lexical.GROUP_RANGES
+    read = lexical.read_index(spark, str(tmp_path / "stored"))
+    assert ranked(lexical.bm25_hits(asked(spark, questions), read, K)) == ranked(lexical.bm25_hits(asked(spark, questions), index, K))
