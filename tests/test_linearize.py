@@ -101,3 +101,11 @@ def test_title_from_text(spark):
             "table_name", L.title_of_text(F.col("table_content"), form).alias("title")
         ).collect()
         assert all(r.title == r.table_name for r in rows)
+
+
+def test_a_text_is_made_once_for_its_title(spark):
+    assert str(L.title_of_text(F.col("content"), "csv")).count("content") == 1
+    texts = ['t,plain\r\nx', '"t,1","a ""b"", c"\r\n', "t,\r\n", "no line", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
+    got = [r.title for r in rows.select("i", L.title_of_text(F.col("content"), "csv").alias("title")).orderBy("i").collect()]
+    assert got == ["plain", 'a "b", c', "", "", "", None]
