@@ -6,6 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 import __spark_entry__ as entry  # noqa: E402
+from lakeqa.workload import queries  # noqa: E402
 from lakeqa.workload.oracle import ORACLE  # noqa: E402
 from lakeqa.workload.queries import QUERIES  # noqa: E402
 
@@ -34,3 +35,10 @@ def test_query_equals_its_twin(spark, name):
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.columns, df.collect()) == rows(columns, result.fetchall())
+
+
+def test_files_of_tables_are_sorted_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_ROWS", 10)
+    path = queries.as_files(spark, spark.range(200).selectExpr("id as ord", "cast(id as string) as id"))
+    tasks = {os.path.basename(f).split("-")[1] for f in spark.read.json(path).inputFiles()}
+    assert len(tasks) > 8
