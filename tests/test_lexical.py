@@ -3,9 +3,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from lakeqa import scale
 from lakeqa.functions.text import ENGLISH_STOP_WORDS
 from lakeqa.operators import lexical
 
@@ -216,3 +219,38 @@ def test_an_index_is_written_in_small_groups_of_ranges(spark, tmp_path, monkeypa
         assert max(written.row_group(i).num_rows for i in range(written.num_row_groups)) <= lexical.GROUP_RANGES
     read = lexical.read_index(spark, str(tmp_path / "stored"))
     assert ranked(lexical.bm25_hits(asked(spark, questions), read, K)) == ranked(lexical.bm25_hits(asked(spark, questions), index, K))
+
+
+def test_workers_get_wide_rows_in_small_batches(spark):
+    rows = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).alias("wide"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    with scale.small_batches(spark, 1 << 20):
+        small = [r["n"] for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(small) == 64 and max(small) <= 8
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+def test_the_index_is_made_and_read_in_small_batches(spark, monkeypatch):
+    seen, write = [], lexical.cut_lineage
+
+    def noted(df, *more):
+        seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None))
+        return write(df, *more)
+
+    monkeypatch.setattr(lexical, "cut_lineage", noted)
+    texts, questions = random_lake()
+    index = lexical.build_index(lake(spark, texts), {"content": "table_content"}, stop_words=())
+    lexical.bm25_hits(asked(spark, questions), index, 3).count()
+    assert seen.count(f"{scale.BATCH_BYTES}b") == 3
+
+
+def test_a_task_holds_normal_forms_of_a_few_ranges_only():
+    words = lexical._Words(lambda listed: [w.lower() for w in listed], ())
+    for at in range(40):
+        words.normal(pa.array([f"W{at}x{i}" for i in range(10_000)]))
+    assert len(words.known) <= words.BOUND + 10_000 < 100_000
