@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,19 @@ def test_the_same_of_differing_responses_counts_each_time(spark, tmp_path):
     stored = replies[0].unionByName(replies[1]).unionByName(replies[2]).drop("failure")
     seen = {completions.look_up(requests, stored.repartition(n)).first().response.error for n in (1, 2, 3)}
     assert len(seen) == 1
+
+
+def test_texts_are_embedded_in_small_batches(spark, tmp_path):
+    def embed(texts):
+        def run(batches):
+            for batch in batches:
+                rows = pa.array([[float(batch.num_rows)]] * batch.num_rows, pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["text", "vector"])
+
+        return texts.mapInArrow(run, "text string, vector array<float>")
+
+    path = str(tmp_path / "vectors")
+    store.create_vector_store(spark, path)
+    wide = spark.range(0, 48, 1, 1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 1 << 20)).alias("text"))
+    found = store.embed_into_store(wide, path, embed, "sizes").collect()
+    assert len(found) == 48 and max(r["vector"][0] for r in found) <= 6
