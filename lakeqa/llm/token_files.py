@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -23,6 +24,8 @@ ROW_INDEX_STRIDE = 1000
 # Text that a task encodes at once; words are encoded once in it.
 CHUNK_BYTES = 16 << 20
 PLACED_ROWS = 1000
+# Pieces, the first it meets, whose ids a worker keeps for all its chunks: some MB.
+KEPT_PIECES = 1 << 18
 # Every character that some definition calls white space, for both kinds of regular expressions.
 _SPACE = "\\s\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\x1c-\x1f\x0b"
 _UNSAFE = f" [{_SPACE}]|[{_SPACE}] |^ | $"
@@ -55,6 +58,7 @@ class PieceEncoder:
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.ending = [] if end_id is None else [end_id]
+        self.kept = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = [c.ids for c in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,6 +80,22 @@ class PieceEncoder:
             sizes.append(counts)
         return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
 
+    def _behind_blanks(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces that stand behind a blank; those that are kept are looked up."""
+        kept, ids, sizes = self.kept
+        place = pc.index_in(pieces, value_set=kept)
+        fresh = place.is_null().to_numpy(zero_copy_only=False)
+        new = self._with_blanks(pieces.filter(pa.array(fresh)).to_pylist())
+        ids, sizes = np.concatenate([ids, new[0]]), np.concatenate([sizes, new[1]])
+        place = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[fresh] = len(kept) + np.arange(int(fresh.sum()))
+        more = min(int(fresh.sum()), KEPT_PIECES - len(kept))
+        if more > 0:
+            count = len(kept) + more
+            texts = pa.concat_arrays([kept, pieces.filter(pa.array(fresh))[:more]])
+            self.kept = texts, ids[: int(sizes[:count].sum())].copy(), sizes[:count].copy()
+        return _gathered(ids, (np.cumsum(sizes) - sizes)[place], sizes[place]), sizes[place]
+
     def _encode(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         begins = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.values
@@ -90,7 +110,7 @@ class PieceEncoder:
         tails = pc.if_else(marked, pc.struct_field(pc.extract_regex(pieces, f"(?P<t>[{_MARKS}]*)$"), "t"), "").dictionary_encode()
         number = lambda coded: coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         # The ids of a distinct piece are those of its stem and of its marks.
-        halves = [self._with_blanks(base.dictionary.to_pylist()), self._one_by_one(tails.dictionary.to_pylist())]
+        halves = [self._behind_blanks(base.dictionary), self._one_by_one(tails.dictionary.to_pylist())]
         ids, sizes = (np.concatenate(column) for column in zip(*halves, strict=True))
         codes = np.stack([number(base), len(halves[0][1]) + number(tails)], axis=1)
         whole = _gathered(ids, (np.cumsum(sizes) - sizes)[codes.ravel()], sizes[codes.ravel()]), sizes[codes].sum(axis=1)
@@ -118,6 +138,12 @@ class PieceEncoder:
         return _gathered(ids, (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
 
 
+@lru_cache(maxsize=1)
+def _encoder(definition: str, end_id: int | None) -> PieceEncoder:
+    """One for all tasks of a worker: reading a vocabulary takes as long as some MB of text."""
+    return PieceEncoder(definition, end_id)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, uid, n_tokens, ids_crc32, width and ids of every row of ``docs`` (doc_id, text), written once.
 
@@ -132,7 +158,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = PieceEncoder(definition.value, end_id)
+        encoder = _encoder(definition.value, end_id)
         width = 2 if max(len(encoder.starts) - 1, end_id) < 1 << 16 else 4
         squeeze = _codec().compress
         uid = TaskContext.get().partitionId() << 33

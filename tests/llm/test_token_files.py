@@ -132,3 +132,20 @@ def test_query_equals_brute_force(spark, tokenizer):
     found = queries.QUERIES["op12_token_files"](spark, sf_dir)
     assert found.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sorted(map(tuple, found.collect()), key=repr) == expected(tokenizer, [tuple(r) for r in docs.collect()])
+
+
+def test_pieces_of_earlier_texts_are_not_encoded_again(tokenizer, monkeypatch):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("etaoinshrdlu", k=draw.randint(1, 9)))
+    texts = [" ".join([*(word() for _ in range(80)), "Same, again."]) for _ in range(50)]
+    encoder, asked = token_files.PieceEncoder(Path(TOKENIZER).read_text()), []
+    behind = encoder._with_blanks
+    monkeypatch.setattr(encoder, "_with_blanks", lambda pieces: asked.append(len(pieces)) or behind(pieces))
+    for _ in range(2):
+        check(encoder, tokenizer, texts)
+    assert asked[0] > 2000 and sum(asked[2:]) == 0
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 3)
+    few = token_files.PieceEncoder(Path(TOKENIZER).read_text())
+    for at in range(0, 50, 10):
+        check(few, tokenizer, texts[at : at + 10] + ["", "one"])
+    assert len(few.kept[0]) == 3
