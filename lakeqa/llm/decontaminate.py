@@ -8,12 +8,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 WINDOW = 10
 # So much benchmark text is searched for in one pass over the documents; more takes more passes.
 BLOCK_BYTES = 16 << 20
 SAMPLE_EVERY = 16
+# Text of the documents that a task indexes at once, of whole texts. An index takes some tens of bytes a word.
+SHARD_BYTES = 4 << 20
 
 _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TO_WORDS = bytes(
@@ -193,6 +196,18 @@ def text_spans(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [(place(bounds[a][0]), place(bounds[b - 1][1])) for a, b in spans]
 
 
+def shards_of(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``size`` bytes of ``text``, a row at least."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
+        ends, at = np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            count = max(1, int(np.searchsorted(ends, before + size, "right")) - at)
+            yield batch.slice(at, count)
+            at += count
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -209,8 +224,8 @@ def find_contamination(
     such items are then one, a null at the end of ``hit_items`` (so it counts in its size and is not
     in its joined text). ``hit_words`` are the merged word spans
     inside any occurrence of a window, ``spans`` the same as code points of the text, ``hit_items``
-    the item ids, as sorted strings. Null texts have no words. Each Arrow batch of documents (64 MB
-    at most, or one document) is a shard with an index of its own, so rows never move. The
+    the item ids, as sorted strings. Null texts have no words. Documents of about SHARD_BYTES of text,
+    or one document, are a shard with an index of its own, so rows never move. The
     benchmark is read in blocks of at most about ``block_bytes``, each a further pass.
     """
     named = F.lit(True) if unnamed else F.col("item_id").isNotNull()
@@ -227,6 +242,7 @@ def find_contamination(
     schema = T.StructType.fromDDL(
         f"n_words bigint, hit_words {SPANS}, hit_items array<string>, spans {SPANS}"
     )
+    shard_bytes = SHARD_BYTES
     as_rows = lambda spans: [{"start": a, "end": b} for a, b in spans]
 
     for block in range(blocks):
@@ -234,7 +250,7 @@ def find_contamination(
         phrases = Phrases([(r["item"], bytes(r["body"])) for r in mine.toLocalIterator()], window)
 
         def find(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in shards_of(batches, text, shard_bytes):
                 held = dict(zip(batch.schema.names, batch.columns, strict=True))
                 bodies = held[text].cast(pa.binary()).to_pylist()
                 counts, hits, found = phrases.find(bodies)

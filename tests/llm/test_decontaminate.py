@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeqa.llm import decontaminate as D
@@ -107,3 +108,18 @@ def test_query_against_sql_with_null_ids(spark, tmp_path):
     got = QUERIES["op5_decontamination"](spark, str(tmp_path))
     wanted = base.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE['op5_decontamination']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(wanted)
+
+
+def test_documents_are_indexed_in_small_shards(spark, monkeypatch):
+    draw = random.Random(2)
+    vocabulary = [f"v{i}" for i in range(30)]
+    texts = [" ".join(draw.choices(vocabulary, k=draw.choice([0, 3, 60]))) for _ in range(300)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(D.shards_of([batch], "text", 1000))
+    assert sum(p.num_rows for p in parts) == 301 and len(parts) > 10
+    assert max(sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts) <= 1000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(str(i), texts[i]) for i in range(0, 300, 50)], "item_id string, text string")
+    whole = sorted(map(repr, D.find_contamination(docs, items, 3).collect()))
+    monkeypatch.setattr(D, "SHARD_BYTES", 500)
+    assert sorted(map(repr, D.find_contamination(docs, items, 3).collect())) == whole
