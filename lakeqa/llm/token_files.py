@@ -22,7 +22,7 @@ LEAST_SHARD_TOKENS = 1 << 20
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
 # Text that a task encodes at once; words are encoded once in it.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 PLACED_ROWS = 1000
 # Pieces, the first it meets, whose ids a worker keeps for all its chunks: some MB.
 KEPT_PIECES = 1 << 18
