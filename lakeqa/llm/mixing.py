@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lakeqa.scale import cut_lineage
+from lakeqa.scale import cut_lineage, small_batches
 
 # Contexts of 1 to 5 bytes; each has so many pages (a power of two) of counts for a half byte.
 ORDERS = (1, 2, 3, 4, 5)
@@ -27,6 +27,8 @@ GATES = 8 * (len(ORDERS) + 1) * SEEN_SIZES
 STEPS = 33  # places of the refinement's table between stretched chances of -8 and 8
 CHUNK = 4 << 20
 SCORE_CHUNK = 3 << 20
+# Slots of the page tables that are worked out at once.
+PART_SLOTS = 1 << 20
 # Words that every task holds (16 bytes each); the counts of all others are met by a join. So few that also a
 # corpus of some tens of MB has more, and that the occurrences of the others grow as the text does.
 HELD_WORDS = 1 << 18
@@ -59,12 +61,17 @@ def windows_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of every byte and every end: itself and the SPAN bytes before, as one number; and where each text starts."""
     pad, end = bytes([START]) * SPAN, bytes([END])
     joined = np.frombuffer(pad + b"".join(b + end + pad for b in bodies), np.uint8)
-    windows = np.zeros(len(joined), np.uint64)
-    for back in range(SPAN + 1):
-        windows[back:] |= joined[: len(joined) - back].astype(np.uint64) << np.uint64(8 * back)
+    shifted = joined.astype(np.uint64)
+    windows = shifted.copy()
+    for back in range(1, SPAN + 1):
+        np.left_shift(shifted, np.uint64(8), out=shifted)
+        windows[back:] |= shifted[: len(joined) - back]
+    del shifted
     sizes = np.array([len(b) + 1 for b in bodies], np.int64)
     starts = np.cumsum(sizes) - sizes
-    keep = np.arange(int(sizes.sum())) + np.repeat(SPAN * np.arange(1, len(bodies) + 1), sizes)
+    keep = np.ones(len(joined), bool)
+    pads = np.concatenate([[0], SPAN * np.arange(1, len(bodies) + 1) + starts + sizes]).astype(np.int64)
+    keep[pads[:, None] + np.arange(SPAN)] = False
     return windows[keep], starts
 
 
@@ -92,20 +99,20 @@ class MixModel:
         self.weights = np.tile(np.array([0.3] * len(ORDERS) + [0.0]), (GATES, 1))
         self.refined: np.ndarray | None = None
         self._nodes = self._stretched = None
+        self._in_task = False
 
     def __getstate__(self):
         # Most slots of a small corpus are empty, and every executor keeps a file of what is sent.
-        return self.__dict__ | {"_nodes": None, "_stretched": None, "counts": zlib.compress(self.counts.tobytes(), 1)}
+        return self.__dict__ | {"_nodes": None, "_stretched": None, "counts": zlib.compress(self.counts.data, 1)}
 
     def __setstate__(self, state):
         self.__dict__ = state | {"counts": np.frombuffer(zlib.decompress(state["counts"]), np.int32)}
-        self.nodes()
-        self.counts = None  # in tasks only the nodes are used
+        self._in_task = True
 
-    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of every page and every node of its binary tree: how often 0 and 1 followed."""
-        if self._nodes is None:
-            pages = self.counts.reshape(-1, 16).astype(np.float32)
+    def _node_parts(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Of some pages after the other, the nodes of their binary trees: how often 0 and 1 followed."""
+        for at in range(0, len(self.counts), PART_SLOTS):
+            pages = self.counts[at : at + PART_SLOTS].reshape(-1, 16).astype(np.float32)
             zero, one = np.zeros_like(pages), np.zeros_like(pages)
             for depth in range(4):
                 width = 8 >> depth
@@ -113,23 +120,31 @@ class MixModel:
                     left = 2 * width * k
                     zero[:, (1 << depth) + k] = pages[:, left : left + width].sum(1)
                     one[:, (1 << depth) + k] = pages[:, left + width : left + 2 * width].sum(1)
-            self._nodes = zero.ravel(), one.ravel()
+            yield slice(at, at + PART_SLOTS), zero.ravel(), one.ravel()
+
+    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of every page and every node of its binary tree: how often 0 and 1 followed."""
+        if self._nodes is None:
+            zero, one = (np.empty(len(self.counts), np.float32) for _ in range(2))
+            for part, zeros, ones in self._node_parts():
+                zero[part], one[part] = zeros, ones
+            self._nodes = zero, one
+            if self._in_task:
+                self.counts = None  # a task that learns needs no more than the nodes
         return self._nodes
 
     def stretched(self) -> tuple[np.ndarray, np.ndarray]:
         """Of every node: its stretched chance, and 0 where it was never seen, else one more than its size's class."""
         if self._stretched is None:
-            zero, one = self.nodes()
-            chance, size = np.empty(len(zero), np.float32), np.empty(len(zero), np.uint8)
-            for at in range(0, len(zero), 1 << 20):
-                part = slice(at, at + (1 << 20))
-                chance[part] = np.log((one[part] + PRIOR) / (zero[part] + PRIOR))
-                both = zero[part] + one[part]
+            chance, size = np.empty(len(self.counts), np.float32), np.empty(len(self.counts), np.uint8)
+            for part, zero, one in self._node_parts():
+                chance[part] = np.log((one + PRIOR) / (zero + PRIOR))
+                both = zero + one
                 classes = np.minimum(np.log2(np.maximum(both, 1)) / 2, SEEN_SIZES - 1).astype(np.uint8)
                 size[part] = np.where(both > 0, classes + 1, 0)
             self._stretched = chance, size
-            if self.counts is None:
-                self._nodes = None  # a task that scores needs no more than this
+            if self._in_task:
+                self.counts = None  # a task that scores needs no more than this
         return self._stretched
 
     @staticmethod
@@ -288,7 +303,8 @@ def count_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "n"])
 
     rows = docs.select("text").mapInArrow(gather, "kind tinyint, key bigint, n bigint")
-    sums = cut_lineage(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    with small_batches(docs.sparkSession):
+        sums = cut_lineage(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     return (
         sums.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n"),
         sums.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n"),
@@ -330,6 +346,7 @@ def train_mixer(grams: DataFrame) -> MixModel:
         held = session.sparkContext.broadcast(model)
 
         def learn(batches: Iterator[pa.RecordBatch], held=held, rate=rate) -> Iterator[pa.RecordBatch]:
+            held.value.nodes()  # once a worker
             own = MixModel.__new__(MixModel)
             own.__dict__ = held.value.__dict__ | {"weights": held.value.weights.copy()}
             load = np.zeros(GATES)
@@ -396,18 +413,22 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [c for c in docs.columns if c not in added]
     body = docs.select(*[F.col(f"`{c}`") for c in kept])
-    names = [*kept, "_uid", "n_tokens", "_known", "_base", "score", "_rare"]
+    given = [c for c in kept if c != "text"]
+    names = [*given, "_uid", "n_tokens", "_known", "_base", "score", "_rare"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, (keys, logs) = shared.value, table.value
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             bodies = _lowered(batch.column(batch.schema.get_field_index("text")))
+            batch = batch.select(given)
             for first, last in chunks_of(bodies, SCORE_CHUNK):
                 part = bodies[first:last]
                 windows, starts = windows_of(part)
                 codes, distinct = pd.factorize(windows)
+                del windows
                 scores = -np.add.reduceat(mixer.byte_costs(distinct)[codes], starts)
+                del codes, distinct
                 split = [[*text.split(), END_WORD] for text in part]
                 sizes = np.array([len(w) for w in split], np.int64)
                 words_here = word_keys(w for own in split for w in own)
@@ -422,9 +443,10 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
                 uid += len(part)
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, pa.array(uids), pa.array(sizes), pa.array(found.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(scores), rare], names=names)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema if f.name != "text"]
     fields += ["_uid bigint", "n_tokens bigint", "_known bigint", "_base double", "score double", "_rare array<bigint>"]
-    scored = cut_lineage(body.mapInArrow(score, ", ".join(fields)).drop("text"))
+    with small_batches(docs.sparkSession, SCORE_CHUNK):
+        scored = cut_lineage(body.mapInArrow(score, ", ".join(fields)))
     met = (
         scored.select("_uid", F.explode("_rare").alias("word"))
         .join(words.where(~frequent), "word")
@@ -434,7 +456,7 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
     size = math.log10(total["n"] + total["v"] + 1)
     return scored.join(met, "_uid", "left").select(
-        *[F.col(f"`{c}`") for c in kept if c != "text"],
+        *[F.col(f"`{c}`") for c in given],
         "n_tokens",
         (F.col("_known") + zero(F.col("_more"))).alias("n_known"),
         F.lit(total["n"]).cast("bigint").alias("train_tokens"),

@@ -1,5 +1,7 @@
 import math
+import pickle
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -95,3 +97,30 @@ def test_words_met_by_a_join_grow_as_the_text_does(spark, monkeypatch):
         docs = rows_of(spark, texts)
         M.score_texts(docs, docs).count()
     assert met[0] > 0 and met[1] < 8 * met[0]
+
+
+def test_a_task_works_the_tables_out_part_by_part(monkeypatch):
+    monkeypatch.setattr(M, "PAGE_BITS", (4, 5, 5, 6, 6))
+    counts = np.random.default_rng(3).integers(0, 9, 16 * sum(1 << b for b in M.PAGE_BITS)).astype(np.int32)
+    counts[::3] = 0
+    whole = M.MixModel(counts)
+    monkeypatch.setattr(M, "PART_SLOTS", 1 << 30)
+    nodes, stretched = whole.nodes(), whole.stretched()
+    monkeypatch.setattr(M, "PART_SLOTS", 64)
+    scores, learns = (pickle.loads(pickle.dumps(whole)) for _ in range(2))
+    assert all(np.array_equal(a, b) for a, b in zip(scores.stretched(), stretched, strict=True))
+    assert scores.counts is None and scores._nodes is None  # never both tables of nodes beside the chances
+    assert all(np.array_equal(a[i], b[i]) for a, b in zip(learns.nodes(), nodes, strict=True) for i in range(len(counts)) if i % 16)
+    assert learns.counts is None and learns._stretched is None
+
+
+def test_windows_take_little_beside_themselves():
+    bodies = [b"some text that repeats " * 40] * 500 + [b""]
+    tracemalloc.start()
+    try:
+        windows, _ = M.windows_of(bodies)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(windows) == sum(len(b) + 1 for b in bodies)
+    assert peak < 3 * windows.nbytes
