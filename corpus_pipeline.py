@@ -6,15 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeqa.llm import decontaminate, language, ngram_join, packing, secrets
-from lakeqa.scale import cut_lineage
+from lakeqa.scale import cut_lineage, small_batches
 
 # A document whose best language has a smaller calibrated chance is of none.
 LEAST_LANGUAGE_SCORE = 0.4
+# Texts that go to a worker at once to be tokenized; each distinct word of them is encoded once.
+TOKENIZED_BYTES = 8 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or that look like no language there is, go."""
-    found = language.predict(docs, language.learn(docs))
+    with small_batches(spark):
+        found = cut_lineage(language.predict(docs, language.learn(docs)))
     clear = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return found.where(clear).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -36,7 +39,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its sequence and its place there."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    with small_batches(spark, TOKENIZED_BYTES):
+        return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lakeqa.scale import cut_lineage, small_batches
+
 WINDOW = 10
 # So much benchmark text is searched for in one pass over the documents; more takes more passes.
 BLOCK_BYTES = 16 << 20
@@ -297,9 +299,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     ``n_chars``, if there, follows.
 
     Documents without a hit keep their text unchanged. A document that is left without words goes;
-    one that had none before stays.
+    one that had none before stays. The passages are written beside the texts.
     """
-    found = find_contamination(docs, benchmark, window, unnamed=True)
+    with small_batches(docs.sparkSession):
+        found = cut_lineage(find_contamination(docs, benchmark, window, unnamed=True))
     hit = F.aggregate("hit_words", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     left = found.where((hit == 0) | (hit < F.col("n_words")))
     new = {"text": replace_spans(F.col("text"), F.col("spans"))}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
 from lakeqa.llm.decontaminate import replace_spans, replaced_length
-from lakeqa.scale import cut_lineage
+from lakeqa.scale import cut_lineage, small_batches
 
 # Fixed values of the contract: patterns and least lengths, in the order in which kinds are listed.
 ASSIGN = re.compile(
@@ -228,7 +228,8 @@ def train(docs: DataFrame, text: str = "text", kind_windows: int = KIND_WINDOWS,
             yield rows_of(held)
 
     found = docs.select(F.col(f"`{text}`").cast("binary")).mapInArrow(label, "kind bigint, digest bigint, codes binary")
-    found = cut_lineage(found.groupBy("kind", "digest").agg(F.min("codes").alias("codes")))
+    with small_batches(docs.sparkSession):
+        found = cut_lineage(found.groupBy("kind", "digest").agg(F.min("codes").alias("codes")))
     counts = {r["kind"]: (r["n"], r["least"]) for r in found.groupBy("kind").agg(F.count("*").alias("n"), F.min("digest").alias("least")).collect()}
     if not any(k >= 0 for k in counts):
         return None
@@ -392,9 +393,10 @@ def _run_scores(bodies: list[bytes], runs: list[list[tuple[int, int]]], net: Cha
 def redact(docs: DataFrame, net: CharNet | None, filler: str = "[secret]") -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``filler``; ``n_chars``, if there, follows.
 
-    Documents without findings stay as they are; none goes.
+    Documents without findings stay as they are; none goes. The findings are written beside the texts.
     """
-    found = find_secrets(docs, net)
+    with small_batches(docs.sparkSession):
+        found = cut_lineage(find_secrets(docs, net))
     text = replace_spans(F.col("text"), F.col("masks"), filler)
     new = {"text": text}
     if "n_chars" in docs.columns:

@@ -9,6 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lakeqa import scale
+from lakeqa.llm import decontaminate, packing, secrets
 from lakeqa.llm.oracle import ORACLE
 from lakeqa.llm.queries import QUERIES
 
@@ -98,3 +100,37 @@ def test_queries_on_the_smallest_table(spark, name):
         held = [r for r in rows if r["held_out"]]
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
         assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held]) > 0.9
+
+
+def test_workers_get_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """Of each stage that sends whole texts to workers, the job that does so."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(limit, None), []
+
+    def noting(module):
+        write = module.cut_lineage
+
+        def noted(df, *more):
+            if "text" in df.columns or "ids_crc32" in df.columns:
+                seen.append((module.__name__, spark.conf.get(limit, None)))
+            return write(df, *more)
+
+        return noted
+
+    for module in (corpus_pipeline, decontaminate, secrets, packing):
+        monkeypatch.setattr(module, "cut_lineage", noting(module))
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = "the house of a friend near old river bridge and some more words"
+    rows = [(i, f"{words} {i}", "en", "web", 60) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "near copies":
+            stage(spark, docs, str(tmp_path))
+    small = f"{scale.BATCH_BYTES}b"
+    assert seen == [
+        ("corpus_pipeline", small),
+        ("lakeqa.llm.decontaminate", small),
+        ("lakeqa.llm.secrets", small),
+        ("lakeqa.llm.packing", f"{corpus_pipeline.TOKENIZED_BYTES}b"),
+    ]
+    assert spark.conf.get(limit, None) == before
