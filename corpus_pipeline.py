@@ -11,7 +11,7 @@ from lakeqa.scale import cut_lineage, small_batches
 # A document whose best language has a smaller calibrated chance is of none.
 LEAST_LANGUAGE_SCORE = 0.4
 # Texts that go to a worker at once to be tokenized; each distinct word of them is encoded once.
-TOKENIZED_BYTES = 8 << 20
+TOKENIZED_BYTES = 4 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

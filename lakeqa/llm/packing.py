@@ -23,6 +23,8 @@ ROUNDS = 6
 LOOSE_SHARE = 0.002
 # Text that a task encodes at once; words are encoded once in it.
 CHUNK_BYTES = 16 << 20
+# Words whose ids are put in place at once.
+GATHERED_CODES = 1 << 16
 END_ID = 0
 _MARKS = b".,!?;:"
 
@@ -102,12 +104,18 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The sequences of ``codes``, one behind the other; sequence c has ``sizes[c]`` of the joined ``ids``."""
-    starts, counts = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
-    kind = np.int32 if max(len(ids), int(counts.sum())) < 1 << 30 else np.int64
-    places = np.repeat((starts - (np.cumsum(counts) - counts)).astype(kind), counts)
-    places += np.arange(len(places), dtype=kind)
-    return ids[places]
+    """The sequences of ``codes``, one behind the other; sequence c has ``sizes[c]`` of the joined ``ids``.
+
+    Places are worked out for GATHERED_CODES codes at a time; those of all would be several times the result.
+    """
+    starts, parts = np.cumsum(sizes) - sizes, []
+    for at in range(0, len(codes), GATHERED_CODES):
+        part = codes[at : at + GATHERED_CODES]
+        counts = sizes[part]
+        places = np.repeat(starts[part] - (np.cumsum(counts) - counts), counts)
+        places += np.arange(len(places))
+        parts.append(ids[places])
+    return np.concatenate([ids[:0], *parts])
 
 
 def _letters(stem: bytes) -> bool:

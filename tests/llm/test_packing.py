@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -83,3 +84,21 @@ def test_pieces_and_sequences(spark, group_rows):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.pack(docs, PATH).collect() == []
+
+
+def test_ids_are_put_in_place_part_by_part():
+    random = np.random.default_rng(5)
+    sizes = random.integers(0, 5, 5000)
+    ids = np.arange(sizes.sum(), dtype=np.uint32)
+    codes = random.integers(0, len(sizes), 1_000_000)
+    tracemalloc.start()
+    found = P._gathered(ids, sizes, codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * found.nbytes
+    starts = np.cumsum(sizes) - sizes
+    for some in (slice(0, 3000), slice(P.GATHERED_CODES - 10, P.GATHERED_CODES + 10)):
+        wanted = [i for c in codes[some] for i in range(starts[c], starts[c] + sizes[c])]
+        begin = int(sizes[codes[: some.start]].sum())
+        assert found[begin : begin + len(wanted)].tolist() == wanted
+    assert P._gathered(ids, sizes, codes[:0]).tolist() == []
