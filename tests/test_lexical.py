@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeqa import scale
+from lakeqa.functions import text as text_functions
 from lakeqa.functions.text import ENGLISH_STOP_WORDS
 from lakeqa.operators import lexical
 
@@ -254,3 +255,39 @@ def test_a_task_holds_normal_forms_of_a_few_ranges_only():
     for at in range(40):
         words.normal(pa.array([f"W{at}x{i}" for i in range(10_000)]))
     assert len(words.known) <= words.BOUND + 10_000 < 100_000
+
+
+def test_words_are_cut_in_the_workers_as_the_jvm_says(spark):
+    # the letter U+0870 is younger than some tables of letters, U+00A0 and U+2003 are blanks, U+0301 is a mark
+    texts = ["", None, " ", "a", " a  b\n", "x_1-\u00e9t\u00e9, \u4e2d\u6587!", "\u0870\u0871 b\u0870c", "e\u0301a\u00a0b\u2003c", "\U0001f600k\U00010330"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord long, t string").coalesce(1)
+    found = rows.select(text_functions.words(F.col("t")).alias("w"), text_functions.spaced_words(F.col("t")).alias("s")).collect()
+    spaced = pa.array(["drop these", *(r.s for r in found)]).slice(1)
+    assert lexical._word_lists(spaced).to_pylist() == [r.w for r in found]
+    assert lexical._word_lists(pa.array([], pa.string())).to_pylist() == []
+    made = lexical.document_ranges(rows, {"content": "t"}, None, ())
+    plan = made._jdf.queryExecution().executedPlan().toString().lower()
+    assert "mapinarrow" in plan and "regexp_extract_all" not in plan
+    lens = [r.fields[0].lens for r in made.collect()]
+    assert lens == [b"".join(len(r.w).to_bytes(4, "little") for r in found)]
+
+
+def test_few_rows_are_decoded_at_once_in_small_batches(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        for own, inside in (("4096", str(scale.READ_ROWS)), ("100", "100")):
+            spark.conf.set(name, own)
+            with scale.small_batches(spark):
+                assert spark.conf.get(name) == inside
+            assert spark.conf.get(name) == own
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_statistics_of_fields_need_no_python_workers(spark):
+    rows = [("content", 3, 1.5, 0.25), ("name", 3, 1.0, -0.5)]
+    made = lexical._field_stats(spark, rows)
+    assert [tuple(r) for r in made.collect()] == rows
+    assert made._jdf.queryExecution().analyzed().toString().count("PythonRDD") == 0
+    assert lexical._field_stats(spark, []).collect() == []
