@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeqa.llm import decontaminate, language, ngram_join, packing, secrets
-from lakeqa.scale import cut_lineage, small_batches
+from lakeqa.scale import cut_lineage, short_shuffles, small_batches, small_files
 
 # A document whose best language has a smaller calibrated chance is of none.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -16,25 +16,28 @@ TOKENIZED_BYTES = 4 << 20
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or that look like no language there is, go."""
-    with small_batches(spark):
-        found = cut_lineage(language.predict(docs, language.learn(docs)))
     clear = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(clear).select(*[F.col(f"`{c}`") for c in docs.columns])
+    with small_batches(spark), small_files(spark):
+        found = language.predict(docs, language.learn(docs)).where(clear)
+        return cut_lineage(found.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def join_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 80 % of their five-word shingles the one with the smallest doc_id stays."""
-    return ngram_join.keep_one(docs, words=5, percent=80)
+    with small_batches(spark), short_shuffles(spark):
+        return ngram_join.keep_one(docs, words=5, percent=80)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with small_files(spark):
+        return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark."""
-    return secrets.redact(docs, secrets.train(docs.select("doc_id", "text")))
+    with small_files(spark):
+        return secrets.redact(docs, secrets.train(docs.select("doc_id", "text")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
-"""N-gram Jaccard join: segments of the shingle universe, one-deletion neighbourhoods, exact checks."""
+"""N-gram Jaccard join: segments of the shingle universe, one-deletion neighbourhoods, parity sketches, exact checks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakeqa.llm.components import connected
 from lakeqa.scale import broadcast_if_small, cut_lineage
@@ -20,9 +20,16 @@ PERCENT = 90
 DELETION_SEGMENTS = 1
 SPARE_SHARE = 8
 SHARED_CHANCE = 0.3
+# Keys of all sets take two to three times the space of the texts while they are dealt; near copies are
+# dropped from texts that a pipeline also holds elsewhere, so there a part of the keys is dealt at a time.
+KEEP_TURNS = 2
 # A task checks at most two blocks of a family against each other.
 BLOCK_SHINGLES = 1_000_000
 BLOCK_SETS = 1024
+# And compares the sketches of two such blocks, so many sets of one with so many of the other at once.
+SKETCH_BYTES = 2 << 20
+SKETCH_SETS = 8192
+SKETCH_TILE = 1 << 20
 SLICE_BYTES = 8 << 20
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -78,6 +85,28 @@ def differences(band: int, percent: int) -> int:
     return (100 - percent) * 2 * largest // (100 + percent)
 
 
+@lru_cache(maxsize=None)
+def sketch_bits(band: int, percent: int) -> int:
+    """Bits of a sketch in this band: a power of two, four times the differences or more.
+
+    Sets without a common origin differ in nearly half of so many, which is more than linked sets may.
+    """
+    return max(64, 1 << max(0, 4 * differences(band, percent) - 1).bit_length())
+
+
+def sketch_of(shingles: np.ndarray, percent: int) -> bytes:
+    """Whether the number of shingles is odd in each of a power of two of buckets.
+
+    Two sets differ by a shingle at least for each bucket in which their sketches do. A sketch folds to
+    half its bits; it has those of the band above its own, the wider of the two where it is compared.
+    """
+    if not len(shingles):
+        return b""
+    bits = sketch_bits(int(band_of(len(shingles), percent)) + 1, percent)
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def spare_segments(most: int) -> int:
     """Segments beyond one more than the differences: so many may each set give up."""
     return 1 + (most + 1) // SPARE_SHARE
@@ -158,16 +187,16 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
             yield batch.slice(at, rows)
 
 
-def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Written: doc_id, n (size of the set), digest of the set, for every row."""
+def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Written: doc_id, n (size of the set), digest and sketch of the set, for every row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles_of(b, words) for b in _bodies(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())], names=["doc_id", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([sketch_of(s, percent) for s in sets], pa.binary())], names=["doc_id", "n", "digest", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return cut_lineage(rows.mapInArrow(measure, "doc_id bigint, n bigint, digest binary"))
+    return cut_lineage(rows.mapInArrow(measure, "doc_id bigint, n bigint, digest binary, sketch binary"))
 
 
 # A vertex is 54 bits of a set's digest, then 8 of the band and 2 of the role: two numbers a row are
@@ -179,9 +208,11 @@ def _vertex(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True) & ~1023
 
 
-def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, words: int, percent: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """(band, a, b): of all sets that meet under a key which one of them probes, a star.
 
+    All keys take ``turns`` calls, each of which deals the keys of its ``turn``.
+
     Each task first
     joins the sets of a slice of its own that meet, and passes one of them on for each key, so a key
     that very many sets have is a row a slice when rows are dealt by key; keys are then read as
@@ -204,8 +235,14 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     vertices.append(_vertex(digest) + (band << 2) + role.astype(np.int64))
             if not keys:
                 continue
-            key, vertex = np.concatenate(keys).view(np.int64), np.concatenate(vertices)
+            key, vertex = np.concatenate(keys), np.concatenate(vertices)
             del keys, vertices
+            if turns > 1:
+                mine = key % np.uint64(turns) == turn
+                key, vertex = key[mine], vertex[mine]
+            key = key.view(np.int64)
+            if not len(key):
+                continue
             order = np.lexsort((-(vertex & _ROLE), key))
             key, vertex = key[order], vertex[order]
             fresh = np.concatenate([[True], key[1:] != key[:-1]])
@@ -245,6 +282,56 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(meet, "band int, a bigint, b bigint")
 
 
+def _hooked(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label``, the first of each group, once the groups of every ``a`` and its ``b`` are one."""
+    while True:
+        a, b = label[a], label[b]
+        apart = a != b
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def near_sets(members: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A star for all sets of one family, or of two blocks of it, that sketches of pairs connect.
+
+    ``members``: band, block, across (two blocks, not one), digest, n, sketch. Linked sets differ by no more shingles than their
+    sizes allow, so neither in more bits: all that link are connected, and few others.
+    """
+    members = members.sort_values(["n", "digest"], ignore_index=True)
+    size, n, band = len(members), members["n"].to_numpy(), int(members["band"].iloc[0])
+    words = sketch_bits(band, percent) // 64
+    sketches = np.empty((words, size), np.uint64)
+    for at, sketch in enumerate(members["sketch"]):
+        sketches[:, at] = np.bitwise_xor.reduce(np.frombuffer(sketch, "<u8").reshape(-1, words), axis=0)
+    # Of sets that are both from the band below, those of that band are told.
+    own = band_of(n, percent) == band
+    across = bool(members["across"].iloc[0])
+    first = members["block"].to_numpy() == members["block"].min()
+    rows, others = (np.flatnonzero(first), np.flatnonzero(~first)) if across else (np.arange(size),) * 2
+    sizes, label = n[others], np.arange(size)
+    step = max(1, SKETCH_TILE // max(1, len(others)))
+    for at in range(0, len(rows), step):
+        tile = rows[at : at + step]
+        # The smaller set has this share of the larger one at least.
+        least = np.searchsorted(sizes, -(-n[tile[0]] * percent // 100)) if across else at
+        against = others[least : np.searchsorted(sizes, n[tile[-1]] * 100 // percent, "right")]
+        if not len(against):
+            continue
+        differ = np.zeros((len(tile), len(against)), np.int32)
+        for word in sketches:
+            differ += np.bitwise_count(word[tile, None] ^ word[None, against])
+        a, b = np.nonzero(differ <= (100 - percent) * (n[tile[-1]] + n[against[-1]]) // (100 + percent))
+        differ, a, b = differ[a, b].astype(np.int64), tile[a], against[b]
+        near = (differ * (100 + percent) <= (100 - percent) * (n[a] + n[b])) & (own[a] | own[b]) & (a != b)
+        label = _hooked(label, a[near], b[near])
+    digests, some = members["digest"].to_numpy(), label != np.arange(size)
+    return pd.DataFrame({"band": np.full(some.sum(), band, np.int32), "a": digests[some], "b": digests[label[some]]})
+
+
 def check_pairs(members: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links among the sets of one family, or between two blocks of it: exact, from whole sets.
 
@@ -310,26 +397,43 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     repeat a doc_id are documents each; null ids are larger than any. Other columns are not looked at.
 
     Documents with equal sets are one class with a count. Classes that share a segment of the
-    shingle universe, or one but for a deletion, come into one family for each band of sizes;
-    families are checked exactly, large ones block against block, every block bounded.
+    shingle universe, or one but for a deletion, come into one family for each band of sizes.
+    A line that many documents have makes a family of them; sketches of pairs cut families down to
+    sets that may link, and those are checked exactly. Both go block against block in large families.
     """
     return _linked(docs, words, percent).drop("digest")
 
 
-def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """What ``link_documents`` gives, and the digest of each row's set."""
+def _linked(docs: DataFrame, words: int, percent: int, turns: int = 1) -> DataFrame:
+    """What ``link_documents`` gives, and the digest of each row's set; keys are dealt in ``turns``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = document_sets(docs, words)
+    sets = document_sets(docs, words, percent)
     classes = cut_lineage(
-        sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), F.max("n").alias("n"))
+        sets.where("n > 0")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    )
+    edges = reduce(
+        DataFrame.unionByName, [cut_lineage(candidate_edges(docs, words, percent, turn, turns).distinct()) for turn in range(turns)]
     )
-    edges = cut_lineage(candidate_edges(docs, words, percent).distinct())
     node = lambda c: F.xxhash64("band", c)
     nodes = edges.select("band", F.explode(F.array("a", "b")).alias("vertex")).distinct()
     labels = connected(edges.select(node("a").alias("a"), node("b").alias("b")))
     nodes = nodes.withColumn("node", node("vertex")).join(labels, "node").select("band", "vertex", F.col("label").alias("family"))
     members = cut_lineage(
-        nodes.join(classes.withColumn("vertex", _half_digest("digest")), "vertex").select("band", "family", "digest", "head", "copies", "n")
+        nodes.join(classes.withColumn("vertex", _half_digest("digest")), "vertex").select("band", "family", "digest", "head", "copies", "n", "sketch")
+    )
+
+    def compare(lot: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([near_sets(family, percent) for _, family in lot.groupby(["band", "family"], sort=True)], ignore_index=True)
+
+    sketched = _dealt(members, F.octet_length("sketch"), SKETCH_BYTES, SKETCH_SETS).select("band", "family", "block", "across", "digest", "n", "sketch", "lot")
+    near = cut_lineage(sketched.groupBy("lot").applyInPandas(compare, "band int, a binary, b binary"))
+    labels = connected(near.select(node("a").alias("a"), node("b").alias("b")))
+    members = cut_lineage(
+        members.withColumn("node", node("digest"))
+        .join(labels, "node")
+        .select("band", F.col("label").alias("family"), "digest", "head", "copies", "n")
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,21 +445,8 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     wanted = broadcast_if_small(members.select(F.col("head").alias("id")).distinct())
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
     whole = texts.mapInArrow(read, "digest binary, shingles binary")
-    loads = members.groupBy("band", "family").agg(F.sum("n").alias("load"), F.count("*").alias("sets"))
-    blocks = F.greatest(F.ceil(F.col("load") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
-    loads = loads.withColumn("blocks", blocks)
-    small = loads.where("blocks = 1").agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
-    lots = max(1, -(-small // (BLOCK_SHINGLES // 2)))
-    members = members.join(loads.select("band", "family", "blocks"), ["band", "family"])
-    members = members.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    # A set goes to each pair of blocks that its block is in; small families share lots.
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = [F.least("block", "other"), F.greatest("block", "other")]
-    lot = F.when(F.col("blocks") == 1, F.concat(F.lit("lot "), F.pmod(F.xxhash64("band", "family"), F.lit(lots)))).otherwise(
-        F.concat_ws(" ", "band", "family", *pair)
-    )
-    across = (F.col("block") != F.col("other")).alias("across")
-    work = members.select("band", "family", "block", across, "digest", "copies", "n", lot.alias("lot")).join(whole, "digest")
+    work = _dealt(members, F.col("n"), BLOCK_SHINGLES, BLOCK_SETS).select("band", "family", "block", "across", "digest", "copies", "n", "lot")
+    work = work.join(whole, "digest")
 
     def check(lot: pd.DataFrame) -> pd.DataFrame:
         found = [check_pairs(family, percent) for _, family in lot.groupby(["band", "family"], sort=True)]
@@ -382,6 +473,27 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
 
 
+def _dealt(members: DataFrame, load: Column, most: int, most_sets: int) -> DataFrame:
+    """``members`` (band, family, digest) with block, across and lot: what one task gets has one lot.
+
+    Families of more than ``most_sets`` sets, or ``most`` of ``load``, are cut into blocks.
+    """
+    loads = members.groupBy("band", "family").agg(F.sum(load).alias("load"), F.count("*").alias("sets"))
+    blocks = F.greatest(F.ceil(F.col("load") / most), F.ceil(F.col("sets") / most_sets)).cast("int")
+    loads = loads.withColumn("blocks", blocks)
+    small = loads.where("blocks = 1").agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
+    lots = max(1, -(-small // (most // 2)))
+    members = members.join(loads.select("band", "family", "blocks"), ["band", "family"])
+    members = members.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    # A set goes to each pair of blocks that its block is in; small families share lots.
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = [F.least("block", "other"), F.greatest("block", "other")]
+    lot = F.when(F.col("blocks") == 1, F.concat(F.lit("lot "), F.pmod(F.xxhash64("band", "family"), F.lit(lots)))).otherwise(
+        F.concat_ws(" ", "band", "family", *pair)
+    )
+    return members.withColumns({"across": F.col("block") != F.col("other"), "lot": lot})
+
+
 def _half_digest(column: str):
     """The bits of a digest that a vertex has: of its first eight bytes, little end first."""
     bytes_of = [F.hex(F.substring(column, i, 1)) for i in range(8, 0, -1)]
@@ -395,7 +507,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     words stay. Rows that repeat an id with different texts are documents each: those go whose own
     text is in a component with a smaller id, the others stay. Columns are those of ``docs``.
     """
-    found = cut_lineage(_linked(docs, words, percent))
+    found = cut_lineage(_linked(docs, words, percent, KEEP_TURNS))
     found = found.where("doc_id IS NOT NULL AND n_shingles > 0")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("count"))
     repeated = cut_lineage(ids.where("count > 1").select("doc_id"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lakeqa.llm import ngram_join as J
@@ -135,3 +136,58 @@ def test_components_of_a_long_path(spark):
     got = {r["node"]: r["label"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[n] for n in order[:30]}) == 1 and len({got[n] for n in order[30:]}) == 1
     assert got[order[0]] != got[order[30]]
+
+
+def test_sketches_lose_no_link():
+    draw = np.random.default_rng(5)
+    for percent in (50, 80, 90):
+        for size in (1, 2, 9, 40, 300):
+            base = draw.integers(1, 1 << 62, size).astype(np.uint64)
+            sets = [base]
+            for _ in range(30):
+                lost = int(draw.integers(0, max(1, size * (100 - percent) // 100) + 1))
+                sets.append(np.unique(np.concatenate([draw.permutation(base)[lost:], draw.integers(1, 1 << 62, int(draw.integers(0, 4))).astype(np.uint64)])))
+            sets = [s for s in sets if len(s)]
+            sets += [draw.integers(1, 1 << 62, size).astype(np.uint64) for _ in range(10)]
+            n = np.array([len(s) for s in sets])
+            bands = J.band_of(n, percent)
+            for band in set(bands.tolist()):
+                here = [k for k in range(len(sets)) if bands[k] in (band - 1, band)]
+                for parts in (1, 2):
+                    links, label = set(), {k: k for k in here}
+                    rows = pd.DataFrame({"band": band, "block": [k % parts for k in here], "across": parts > 1, "digest": [b"%4d" % k for k in here], "n": n[here], "sketch": [J.sketch_of(sets[k], percent) for k in here]})
+                    if rows["block"].nunique() < parts:
+                        continue
+                    for found in J.near_sets(rows, percent).itertuples():
+                        a, b = int(found.a), int(found.b)
+                        label = {k: label[b] if x == label[a] else x for k, x in label.items()}
+                    for i in here:
+                        for j in here:
+                            common = len(np.intersect1d(sets[i], sets[j]))
+                            if i < j and max(bands[i], bands[j]) == band and (parts == 1 or (i - j) % 2) and 100 * common >= percent * (n[i] + n[j] - common):
+                                links.add((i, j))
+                    assert all(label[i] == label[j] for i, j in links)
+
+
+@pytest.mark.parametrize("sets", [8192, 7])
+def test_documents_that_only_share_lines_are_not_read_again(spark, monkeypatch, sets):
+    """They come into families, of which each block went to every other in a shuffle of whole sets."""
+    monkeypatch.setattr(J, "SKETCH_SETS", sets)
+    draw, seen, write = random.Random(9), [], J.cut_lineage
+    lines = [" ".join(f"line{i}{c}" for c in "abcde") for i in range(8)]
+    part = lambda: " ".join(f"w{draw.randrange(9999)}" for _ in range(4))
+    texts = [" ".join(f"{line} {part()}" for line in draw.sample(lines, 8)) for _ in range(120)]
+    texts += [f"{texts[0]} more", f"{texts[1]} again"]
+    monkeypatch.setattr(J, "cut_lineage", lambda df, *more: seen.append(write(df, *more)) or seen[-1])
+    docs = list(enumerate(texts))
+    assert result(spark, docs, 5, 80) == brute(docs, 5, 80)
+    families = [df.count() for df in seen if "family" in df.columns]
+    assert families[0] > 30
+    assert families[-1] == 4
+
+
+def test_keys_dealt_in_turns(spark, monkeypatch):
+    docs = rows_of(spark, corpus(7, 20, 10))
+    whole = sorted(map(tuple, J.candidate_edges(docs, 3, 80).distinct().collect()))
+    parts = [set(map(tuple, J.candidate_edges(docs, 3, 80, turn, 3).collect())) for turn in range(3)]
+    assert all(parts) and sorted(set().union(*parts)) == whole

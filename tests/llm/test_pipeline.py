@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -134,3 +135,30 @@ def test_workers_get_texts_in_small_batches(spark, tmp_path, monkeypatch):
         ("lakeqa.llm.packing", f"{corpus_pipeline.TOKENIZED_BYTES}b"),
     ]
     assert spark.conf.get(limit, None) == before
+
+
+def test_near_copies_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[i : i + 30]) for i in range(10)]
+    docs = spark.createDataFrame([(i, f"{t} end") for i, t in enumerate([*texts, *texts])], "doc_id long, text string")
+    before = shuffled()
+    kept = corpus_pipeline.join_copies(spark, docs, "")
+    assert not shuffled() - before
+    assert len({r["text"] for r in kept.collect()}) == kept.count()
+
+
+def test_copies_of_texts_are_written_small(spark, tmp_path):
+    """Between steps; the session's own setting holds again afterwards."""
+    codec = "spark.sql.parquet.compression.codec"
+    before = spark.conf.get(codec)
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, f"the house of a friend near old river bridge and some more words {i}", "en", "web", 60) for i in range(8)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.remove_benchmark, corpus_pipeline.redact_secrets):
+        file = stage(spark, docs, str(tmp_path)).inputFiles()[0].removeprefix("file:")
+        assert pq.ParquetFile(file).metadata.row_group(0).column(1).compression == "ZSTD"
+        assert spark.conf.get(codec) == before
