@@ -321,12 +321,17 @@ def near_sets(members: pd.DataFrame, percent: int) -> pd.DataFrame:
         against = others[least : np.searchsorted(sizes, n[tile[-1]] * 100 // percent, "right")]
         if not len(against):
             continue
-        differ = np.zeros((len(tile), len(against)), np.int32)
+        most = (100 - percent) * (n[tile[-1]] + n[against[-1]]) // (100 + percent)
+        differ = np.zeros((len(tile), len(against)), np.uint16 if words < 1024 else np.int32)
+        if not across:
+            np.fill_diagonal(differ, most + 1)  # a set and itself
         for word in sketches:
             differ += np.bitwise_count(word[tile, None] ^ word[None, against])
-        a, b = np.nonzero(differ <= (100 - percent) * (n[tile[-1]] + n[against[-1]]) // (100 + percent))
+            if differ.min() > most:
+                break
+        a, b = np.nonzero(differ <= most)
         differ, a, b = differ[a, b].astype(np.int64), tile[a], against[b]
-        near = (differ * (100 + percent) <= (100 - percent) * (n[a] + n[b])) & (own[a] | own[b]) & (a != b)
+        near = (differ * (100 + percent) <= (100 - percent) * (n[a] + n[b])) & (own[a] | own[b])
         label = _hooked(label, a[near], b[near])
     digests, some = members["digest"].to_numpy(), label != np.arange(size)
     return pd.DataFrame({"band": np.full(some.sum(), band, np.int32), "a": digests[some], "b": digests[label[some]]})
